@@ -1,0 +1,50 @@
+"""Intermediate tables in the folder that driver and executors share, and joins whose broadcast side is checked."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Largest number of bytes (rows times the stated width) that a side may have to be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where that is unset (tests, one machine), a folder of its own, set for later calls."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        path = spark.sparkContext.getCheckpointDir() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+class Scratch:
+    """A folder of written tables. Writing cuts lineage; a lost executor costs a reread, never a recomputation of the past."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def path(self, name: str) -> str:
+        return f"{self.at}/{name}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def drop(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """Mark df for broadcast if rows x width bytes are few enough; otherwise Spark shuffles both sides."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
