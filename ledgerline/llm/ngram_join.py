@@ -48,8 +48,8 @@ def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 
 def _extra(n: np.ndarray, percent: int) -> np.ndarray:
-    """l of the census: a quarter of the set, and never more than the overlap."""
-    return np.minimum(np.maximum(n // 4, 1), need(n, percent))
+    """l of the census: a quarter of the overlap."""
+    return np.maximum(need(n, percent) // 4, 1)
 
 
 def set_marks(s: np.ndarray) -> tuple[int, int]:
@@ -265,7 +265,7 @@ def ngram_join(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     full = sets.where("n > 0 and doc_id is not null")
     classes = scratch.keep(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("shared").alias("shared")), "classes")
     o = F.ceil(F.col("n") * percent / 100)
-    alive = scratch.keep(classes.where(F.col("shared") >= F.least(F.greatest(F.floor(F.col("n") / 4), F.lit(1)), o)).select(F.col("rep").alias("doc_id"), "s1", "s2"), "alive")
+    alive = scratch.keep(classes.where(F.col("shared") >= F.greatest(F.floor(o / 4), F.lit(1))).select(F.col("rep").alias("doc_id"), "s1", "s2"), "alive")
     texts = docs.join(small(alive, alive.count(), 24), "doc_id")
     grams = scratch.keep(texts.mapInArrow(_rows_of_sets(k), "rep long, grams array<long>").dropDuplicates(["rep", "grams"]), "grams")
 
