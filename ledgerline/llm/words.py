@@ -31,6 +31,7 @@ class Words(NamedTuple):
     start: np.ndarray
     end: np.ndarray
     hashes: tuple[np.ndarray, ...]
+    total: np.ndarray
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -82,13 +83,13 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) ->
         at = to
 
 
-def words(column: pa.Array, lower: bool = False, hashes: int = 1) -> Words:
-    """Find and hash the words of every text; with `lower`, A-Z count as a-z."""
+def words(column: pa.Array, lower: bool = False, hashes: int = 1, apart: np.ndarray = _SPACE) -> Words:
+    """Find and hash the words of every text; with `lower`, A-Z count as a-z. `apart` marks the bytes between words."""
     data, offsets = text_bytes(column)
     if lower:
         data = _LOWER[data]
     inside = np.zeros(len(data) + 1, dtype=bool)
-    np.logical_not(_SPACE[data], out=inside[:-1])
+    np.logical_not(apart[data], out=inside[:-1])
     opens = inside[:-1].copy()
     opens[1:] &= ~inside[:-2] if len(data) > 1 else opens[1:]
     cuts = offsets[1:-1]
@@ -99,12 +100,19 @@ def words(column: pa.Array, lower: bool = False, hashes: int = 1) -> Words:
     closes[before] = inside[before]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     first = np.searchsorted(start, offsets)
-    out = []
+    out, sums = [], None
     for base in BASES[:hashes]:
         total = np.zeros(len(data) + 1, dtype=U)
         np.cumsum((data.astype(U) + U(1)) * _power(base, len(data), False), out=total[1:])
+        sums = total if sums is None else sums
         out.append(mix((total[end] - total[start]) * _power(base, len(data) + 1, True)[start]))
-    return Words(data, first, start, end, tuple(out))
+    return Words(data, first, start, end, tuple(out), sums)
+
+
+def prefix_hashes(w: Words, n: int) -> np.ndarray:
+    """The hash of each word's first n bytes; a shorter word's is its own hash."""
+    stop = np.minimum(w.start + n, w.end)
+    return mix((w.total[stop] - w.total[w.start]) * _power(BASES[0], len(w.data) + 1, True)[w.start])
 
 
 def grams(w: Words, k: int, which: int = 0) -> np.ndarray:
