@@ -43,8 +43,9 @@ _SPACES = " \t\n\x0b\f\r"
 def shingles(text: Column, k: int = 5) -> Column:
     """The hashes of all k-word shingles of a text, in order; empty for less than k words."""
     words = F.split(F.btrim(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(_SPACES)), r"[ \t\n\x0B\f\r]+")
-    several = F.size(words) >= k
-    return F.when(several, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+    # A lambda's argument, so that the words are split once and not for each shingle.
+    each = F.transform(F.array(words), lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>")))
+    return F.get(each, F.lit(0))
 
 
 def scan(docs: DataFrame, templates: Iterable[tuple[str, str]] = NOTICES, percent: int = 80, k: int = 5, bands: int = 48) -> DataFrame:
@@ -68,10 +69,14 @@ def scan(docs: DataFrame, templates: Iterable[tuple[str, str]] = NOTICES, percen
     # Evaluated once for each document: the generator keeps the shingles from being computed again for each use.
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(shingles(F.col("text"), k))).alias("doc"))
     near = hashed.where(F.arrays_overlap("doc", every)).withColumn("row", F.monotonically_increasing_id())
-    per_size = [
-        F.transform(F.filter(F.sequence(F.lit(0), F.size("doc") - 1, F.lit(size)), lambda at, size=size: F.arrays_overlap(F.slice(F.col("doc"), at + 1, F.lit(2 * size)), every)), lambda at, size=size: F.struct(F.lit(size).alias("size"), F.slice(F.col("doc"), at + 1, F.lit(2 * size)).alias("window")))
-        for size in sorted(set(sizes.values()))
-    ]
+
+    def cut(size: int) -> Column:
+        """The document's windows of one class that share a shingle with some template."""
+        window = lambda at: F.slice(F.col("doc"), at + 1, F.lit(2 * size))
+        starts = F.filter(F.sequence(F.lit(0), F.size("doc") - 1, F.lit(size)), lambda at: F.arrays_overlap(window(at), every))
+        return F.transform(starts, lambda at: F.struct(F.lit(size).alias("size"), window(at).alias("window")))
+
+    per_size = [cut(size) for size in sorted(set(sizes.values()))]
     windows = near.select("row", "doc_id", "doc", F.explode(F.flatten(F.array(*per_size))).alias("w"))
     banded = windows.select("row", "doc_id", "doc", F.col("w.size").alias("size"), F.posexplode(signature(F.col("w.window"))).alias("band", "value"))
     met = banded.join(F.broadcast(filed), ["size", "band", "value"]).select("row", "doc_id", "doc", "license").dropDuplicates(["row", "license"])
