@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, shuffle_parts, small
+from .scratch import Scratch, shuffle_parts
 from .words import U, Words, gram_starts, grams, pieces, words
 
 GRAM = 8
 #: Entries that a task holds before it sends them; bounds its memory.
-HELD = 400_000
+HELD = 200_000
+#: Bytes of text hashed at once.
+PIECE = 1 << 20
 #: A null doc_id in keys.
 NO_ID = -(1 << 63)
 KEY = ("k1", "k2")
@@ -86,7 +88,7 @@ def _fingerprints(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, most=PIECE):
                 w = words(part.column("text"))
                 at, start, n = anchors(w, window)
                 doc = np.searchsorted(w.first, start, side="right") - 1
@@ -161,7 +163,7 @@ def _candidates(window: int, buckets: int):
 
         held, many, number = [], 0, TaskContext.get().partitionId()
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, most=PIECE):
                 w = words(part.column("text"), hashes=2)
                 spans = part.column("spans")
                 flat = spans.flatten()
@@ -291,14 +293,16 @@ class SubstringIndex:
             hits = hits.unionByName(self.spark.table(name).where("kind = 0").join(self.repeated, "fp", "left_semi").select(*KEY, "start", "n"))
         return _per_document(hits)
 
-    def spans(self, docs: DataFrame) -> DataFrame:
-        """k1, k2, spans of the verified windows that repeat; `docs` are all documents appended."""
+    def spans(self, keyed: DataFrame) -> DataFrame:
+        """k1, k2, spans of the verified windows that repeat; `keyed` are all documents appended, with k1, k2 and text.
+
+        The documents are dealt by key here, and a caller that joins the spans with the same `keyed` in the same
+        query finds them dealt already: Spark reuses the exchange, so texts are shuffled once.
+        """
         hits = self.scratch.keep(self.candidates(), "candidates")
-        entries = hits.agg(F.coalesce(F.sum(F.size("spans") * 8 + 24), F.lit(0))).first()[0]
-        texts = _keyed(docs).select(*KEY, F.col("text").cast("string"))
-        sent = texts.join(small(hits, entries, 1), list(KEY)).mapInArrow(_candidates(self.window, 8 * self.parts), "bucket int, body binary")
+        sent = keyed.join(hits, list(KEY)).mapInArrow(_candidates(self.window, 8 * self.parts), "bucket int, body binary")
         found = sent.groupBy("bucket").applyInArrow(_confirm, "k1 long, k2 long, start int, n int")
-        return self.scratch.keep(_per_document(found), "spans")
+        return _per_document(found)
 
 
 def _cut(window: int, columns: list[str]):
@@ -336,10 +340,9 @@ def dedup_substrings(docs: DataFrame, window: int = 35, batches: int = 2, carry:
     index = SubstringIndex(docs.sparkSession, window)
     for i in range(batches):
         index.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i) if batches > 1 else docs)
-    spans = index.spans(docs)
-    weight = spans.agg(F.coalesce(F.sum(F.size("spans") * 8 + 24), F.lit(0))).first()[0]
     columns = list(dict.fromkeys(carry))
-    rows = _keyed(docs.select(*[F.col(c) for c in dict.fromkeys([*columns, "doc_id", "text"])])).join(small(spans, weight, 1), list(KEY), "left")
+    keyed = _keyed(docs.select(*[F.col(c) for c in dict.fromkeys([*columns, "doc_id", "text"])])).select(*dict.fromkeys([*columns, "text", *KEY]))
+    rows = keyed.join(index.spans(keyed), list(KEY), "left")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     need = list(dict.fromkeys([*columns, "text", "spans"]))
     return rows.select(*need).mapInArrow(_cut(window, columns), f"{out}, n_words long, n_removed long, kept_text string")
