@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import calibration
+from . import calibration, warehouse
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "calibration"]
+__all__ = ["ORACLES", "QUERIES", "calibration", "warehouse"]
