@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import area, box, intersection_area
 from ..functions.text import normalise, ratio
@@ -101,4 +102,4 @@ def group_rows(words: DataFrame, within: float = 0.0035) -> DataFrame:
             out.append(row)
         return page.assign(row=pd.array(out, dtype="int32"))
 
-    return words.groupBy("document", "page").applyInPandas(scan, words.schema.add("row", "int"))
+    return words.groupBy("document", "page").applyInPandas(scan, T.StructType([*words.schema.fields, T.StructField("row", T.IntegerType())]))

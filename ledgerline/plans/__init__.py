@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import calibration, warehouse
+from . import calibration, documents, warehouse
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "calibration", "warehouse"]
+__all__ = ["ORACLES", "QUERIES", "calibration", "documents", "warehouse"]
