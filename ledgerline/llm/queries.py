@@ -89,4 +89,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_SHINGLES = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+
+
+def _notices() -> str:
+    from .licenses import NOTICES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in NOTICES)
+
+
+ORACLES: dict[str, str] = {
+    "op5_decontamination": f"""WITH d AS (SELECT doc_id, unnest({_SHINGLES}) AS g FROM (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents)),
+i AS (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS.format(_LOWER)} AS w FROM benchmark)), e AS (SELECT item_id, len(s) AS n_item, unnest(s) AS g FROM i)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM d JOIN e USING (g) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item""",
+    "op6_license_scan": f"""WITH t(license, text) AS (VALUES {_notices()}), d AS (SELECT doc_id, unnest(s) AS g FROM (SELECT doc_id, {_SHINGLES} AS s, len(w) AS n FROM (SELECT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents)) WHERE n >= 5),
+e AS (SELECT license, len(s) AS n_template, unnest(s) AS g FROM (SELECT license, {_SHINGLES} AS s FROM (SELECT license, {_WORDS.format("lower(text)")} AS w FROM t)))
+SELECT doc_id, license, n_template, count(*) AS n_shared FROM d JOIN e USING (g) GROUP BY doc_id, license, n_template HAVING 100 * count(*) >= 80 * n_template""",
+    "op7_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), x AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS k, w FROM w WHERE len(w) >= 35), y AS (SELECT doc_id, k, array_to_string(w[k:k + 34], ' ') AS s FROM x),
+hit AS (SELECT doc_id, k FROM y JOIN (SELECT s FROM y GROUP BY s HAVING count(*) > 1) USING (s)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w),
+marked AS (SELECT e.doc_id, e.word, e.k, coalesce(max(h.k IS NOT NULL) OVER (PARTITION BY e.doc_id ORDER BY e.k ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone FROM each e LEFT JOIN hit h ON h.doc_id = e.doc_id AND h.k = e.k)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(m.n_removed, 0) AS n_removed, sha256(coalesce(m.kept, '')) AS kept_sha256 FROM w LEFT JOIN (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id) m USING (doc_id)""",
+    "op9_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op10_ngram_join": f"""WITH RECURSIVE s AS (SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents)), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.other) AS component_id FROM s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s""",
+}
