@@ -53,15 +53,22 @@ def unmerge(entities: DataFrame, groups: DataFrame) -> DataFrame:
     return entities.join(split, "entity_id", "left").join(checked.select("mention_id", "keep_together"), "mention_id", "left").select("mention_id", new.alias("entity_id"), "canonical_name")
 
 
-def candidates(mentions: DataFrame, least: float = 0.88) -> DataFrame:
-    """Pairs of similar but unequal names, for a human; never an edge. Blocked by the first token and near lengths."""
+def candidates(mentions: DataFrame, least: float = 0.88, entities: DataFrame | None = None) -> DataFrame:
+    """Pairs of similar but unequal names, for a human; never an edge. Blocked by the first token and near lengths.
+
+    Given the resolved entities, pairs that are one entity already are left out.
+    """
     name = normalise(F.col("name"), ["whitespace", "case"])
     own = mentions.select("mention_id", name.alias("key")).where("key <> ''").withColumn("block", F.split("key", " ")[0]).groupBy("block", "key").agg(F.min("mention_id").alias("mention_id"))
     a, b = own.alias("a"), own.alias("b")
     # 2 * shorter / (sum of lengths) bounds the ratio from above.
     near = 2.0 * F.least(F.length("a.key"), F.length("b.key")) / (F.length("a.key") + F.length("b.key")) >= least
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.key") < F.col("b.key")) & near)
-    return pairs.select(F.col("a.mention_id").alias("left_id"), F.col("b.mention_id").alias("right_id"), ratio(F.col("a.key"), F.col("b.key")).alias("similarity")).where(F.col("similarity") >= least)
+    out = pairs.select(F.col("a.mention_id").alias("left_id"), F.col("b.mention_id").alias("right_id"), ratio(F.col("a.key"), F.col("b.key")).alias("similarity")).where(F.col("similarity") >= least)
+    if entities is None:
+        return out
+    of = lambda side: entities.select(F.col("mention_id").alias(f"{side}_id"), F.col("entity_id").alias(f"{side}_entity"))
+    return out.join(of("left"), "left_id").join(of("right"), "right_id").where("left_entity <> right_entity").select("left_id", "right_id", "similarity")
 
 
 def edit_candidates(mentions: DataFrame, most: int) -> DataFrame:
