@@ -118,6 +118,6 @@ def attribute_tokens(docs: DataFrame, sections: DataFrame | None = None, rule: s
         raise ValueError(f"unknown rule {rule}")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if sections is not None:
-        known = sections.where("section is not null and start is not null and stop is not null").select(F.col("doc_id").cast("long"), F.struct(F.col("section").cast("long"), F.col("start").cast("long"), F.col("stop").cast("long")).alias("s"))
+        known = sections.where("section is not null and start is not null and stop is not null").select(F.col("doc_id").cast("long"), F.struct(*[F.col(c).cast("long").alias(c) for c in ("section", "start", "stop")]).alias("s"))
         docs = docs.join(known.groupBy("doc_id").agg(F.collect_list("s").alias("sections")), "doc_id", "left").select("doc_id", "text", "sections")
     return docs.mapInArrow(_count(rule, sections is not None, ranks), "doc_id long, section long, start long, stop long, n_tokens long, doc_tokens long")

@@ -306,7 +306,7 @@ class SubstringIndex:
 
 
 def _cut(window: int, columns: list[str]):
-    """(columns, text, spans) -> the columns with n_words, n_removed and kept_text."""
+    """(carried, text, spans) -> the columns with n_words, n_removed and kept_text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,7 +326,8 @@ def _cut(window: int, columns: list[str]):
                     total.append(len(found))
                 gone.append(total[-1] - len(found))
                 kept.append(b" ".join(found).decode())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*columns, "n_words", "n_removed", "kept_text"])
+            others = iter(batch.column("carried").flatten()[1:])
+            yield pa.RecordBatch.from_arrays([*(batch.column("text") if c == "text" else next(others) for c in columns), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*columns, "n_words", "n_removed", "kept_text"])
 
     return run
 
@@ -341,8 +342,9 @@ def dedup_substrings(docs: DataFrame, window: int = 35, batches: int = 2, carry:
     for i in range(batches):
         index.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i) if batches > 1 else docs)
     columns = list(dict.fromkeys(carry))
-    keyed = _keyed(docs.select(*[F.col(c) for c in dict.fromkeys([*columns, "doc_id", "text"])])).select(*dict.fromkeys([*columns, "text", *KEY]))
+    # In a struct, so that no carried column clashes with those of the index; the text is sent once.
+    others = F.struct(F.lit(True).alias("row"), *[F.col(c) for c in columns if c != "text"]).alias("carried")
+    keyed = _keyed(docs.select(others, "doc_id", F.col("text").cast("string").alias("text"))).select("carried", "text", *KEY)
     rows = keyed.join(index.spans(keyed), list(KEY), "left")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    need = list(dict.fromkeys([*columns, "text", "spans"]))
-    return rows.select(*need).mapInArrow(_cut(window, columns), f"{out}, n_words long, n_removed long, kept_text string")
+    return rows.select("carried", "text", "spans").mapInArrow(_cut(window, columns), f"{out}, n_words long, n_removed long, kept_text string")

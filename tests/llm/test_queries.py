@@ -1,0 +1,108 @@
+"""The registered queries at the smallest size, against SQL or a brute-force version."""
+
+import zlib
+
+import pytest
+from oracle import rows_of, same
+
+from ledgerline.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_its_sql(name, spark, data):
+    same(queries.QUERIES[name], queries.ORACLES[name], spark, data)
+
+
+def test_packing_round_trip(spark, data):
+    """Every id in exactly one piece, sequences gapless from 0 and full but the last."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tool.encode_special_tokens = True
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    ids = {r["doc_id"]: np.array(tool.encode(r["text"] or "", add_special_tokens=False).ids + [1], dtype="<u4") for r in docs}
+    rows = queries.op1_packing(spark, data).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(by_doc) == set(ids)
+    for doc, own in by_doc.items():
+        at = 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert r["start"] == at and r["length"] > 0 and r["doc_tokens"] == len(ids[doc])
+            assert r["ids_crc32"] == zlib.crc32(ids[doc][at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids[doc])
+    for number, own in by_sequence.items():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at == 2048 or number == max(by_sequence)
+
+
+def test_language_held_out_accuracy(spark, data):
+    found = queries.op4_language_id(spark, data).alias("f").join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    judged = [r for r in found if r["held_out"] and r["lang"] is not None and r["lang_pred"] != "und"]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in found)
+    assert sum(r["lang"] == r["lang_pred"] for r in judged) >= 0.9 * len(judged)
+
+
+def test_toxicity_ranks_held_out_documents(spark):
+    found = queries.op8_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
+    judged = [(r["score"], r["toxic"]) for r in found if r["held_out"] and r["toxic"] is not None]
+    pairs = [(a > b) + (a == b) / 2 for a, t in judged for b, u in judged if t == 1 and u == 0]
+    assert pairs and sum(pairs) / len(pairs) >= 0.85
+    assert all(r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in found)
+
+
+def test_html_keeps_the_article(spark, data):
+    """Brute force for these pages: what stands between <article> and its end, without markup."""
+    import html
+    import re
+
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    found = queries.op2_html_extraction(spark, data).collect()
+    assert sorted(r["page_id"] for r in found) == sorted(pages)
+    alike = judged = 0
+    for r in found:
+        assert r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
+        inner = re.search(r"<article[^>]*>(.*?)</article>", pages[r["page_id"]]["html"] or "", re.S)
+        if inner and not re.search(r"<(aside|nav|form|script|style|section|footer|header|noscript)", inner[1]):
+            plain = html.unescape(re.sub(r"<!--.*?-->|</?(?:a|b|em|i|span|strong|u|code)\b[^>]*>", "", inner[1], flags=re.S))
+            judged += 1
+            alike += re.sub(r"<[^>]*>", " ", plain).split() == r["text"].split()
+    assert judged and alike >= 0.95 * judged
+
+
+def test_token_counts_add_up(spark, data):
+    rows = queries.op3_token_counts(spark, data).collect()
+    sums, wanted = {}, {}
+    for r in rows:
+        sums[r["doc_id"]] = sums.get(r["doc_id"], 0) + r["n_tokens"]
+        wanted[r["doc_id"]] = r["doc_tokens"]
+    assert sums == wanted
+
+
+def test_pipeline(spark, data):
+    """Stage by stage: what a stage drops is what its operator says, and clean documents stay."""
+    import corpus_pipeline
+    from oracle import rows_of_sql
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert [name for name, _ in corpus_pipeline.STAGES][-1] == "packing"
+    kept = {}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, data)
+        assert now.columns == docs.columns
+        kept[name] = {r["doc_id"] for r in now.select("doc_id").collect()}
+    groups = rows_of_sql(queries.ORACLES["op10_ngram_join"], data)[1]
+    assert kept["ngram_jaccard_join"] <= kept["language_id"]
+    assert {d for c, d, _ in groups if c == d} & kept["language_id"] <= kept["ngram_jaccard_join"]
+    packed = {r["doc_id"] for r in corpus_pipeline.run(spark, data).select("doc_id").collect()}
+    assert packed == kept["benchmark_decontamination"]
+    assert rows_of(now.select("doc_id"))[1]
