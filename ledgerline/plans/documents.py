@@ -162,10 +162,10 @@ def grounding(spark, sf_dir):
     return classify.grounded(proposals, classify.distinguishing(notes))
 
 
-@query("""WITH c AS (SELECT user_id AS goods_id, event_type AS code, round(avg(value) / 200, 4) AS score, max(event_id % 17 = 0) AS contested FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY goods_id ORDER BY score DESC, code) AS place, lead(score) OVER (PARTITION BY goods_id ORDER BY score DESC, code) AS nxt FROM c)
+@query("""WITH c AS (SELECT user_id AS goods_id, event_type AS code, (sum(round(value * 100)::BIGINT) // (2 * count(*)))::DOUBLE / 10000 AS score, max(event_id % 17 = 0) AS contested FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY goods_id ORDER BY score DESC, code) AS place, lead(score) OVER (PARTITION BY goods_id ORDER BY score DESC, code) AS nxt FROM c)
 SELECT goods_id, code, score, CASE WHEN score < 0.35 THEN 'below_minimum' WHEN contested THEN 'contested' WHEN score - coalesce(nxt, 0) < 0.08 THEN 'close' ELSE 'proposed' END AS outcome FROM r WHERE place = 1""")
 def classification_decision(spark, sf_dir):
-    c = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("goods_id"), F.col("event_type").alias("code")).agg(F.round(F.avg("value") / 200, 4).alias("score"), F.max(F.col("event_id") % 17 == 0).alias("contested"))
+    c = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("goods_id"), F.col("event_type").alias("code")).agg(F.expr("(sum(cast(round(value * 100) AS bigint)) div (2 * count(*))) / 10000D").alias("score"), F.max(F.col("event_id") % 17 == 0).alias("contested"))
     return classify.decide(c)
 
 
