@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, Words, gram_counts, gram_starts, grams, mix, pieces, words
+from .words import U, Words, gram_counts, gram_starts, grams, mix, pieces, thrifty, words
 
 #: Bytes of shingles of one block of items.
 BLOCK = 16 << 20
@@ -150,6 +150,6 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 80, k: int = 5,
                     ids = part.column("doc_id").take(pa.array([h[0] for h in hits], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array([h[c] for h in hits], pa.int64()) for c in (1, 2, 3))], names=["doc_id", "item_id", "n_item", "n_shared"])
 
-        one = texts.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long")
+        one = texts.mapInArrow(thrifty(run), "doc_id long, item_id long, n_item long, n_shared long")
         found = one if found is None else found.unionByName(one)
     return found

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, mix
+from .words import U, mix, thrifty
 
 DIMENSIONS = 1024
 _SPACE = 32
@@ -143,7 +143,7 @@ def train(docs: DataFrame, sample: int = 1500) -> tuple[list[str], np.ndarray]:
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = counts.select("lang", (F.lit(float(sample)) / F.col("n")).alias("share"))
     picked = rows.join(F.broadcast(share), "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < F.col("share"))
-    parts = picked.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_bundle, "lang string, v array<long>")
+    parts = picked.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(thrifty(_bundle), "lang string, v array<long>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).collect()
     sums.sort(key=lambda r: r["lang"])
     table = np.array([r["v"] for r in sums], dtype=np.float64).reshape(len(sums), DIMENSIONS)
@@ -173,7 +173,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, carry: tu
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, f"{out}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(thrifty(run), f"{out}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 5, held: int = 0, sample: int = 1500, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch, shuffle_parts, small
-from .words import U, mix, pieces, shingle_sets, words
+from .words import U, mix, pieces, shingle_sets, thrifty, words
 
 #: n-grams that a task holds before it sends them; bounds its memory.
 HELD = 2_000_000
@@ -250,7 +250,7 @@ def ngram_join(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     scratch = Scratch(spark, "ngram-join")
     buckets = 8 * shuffle_parts(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    base = scratch.keep(docs.mapInArrow(_census_rows(k, percent, buckets), BASE), "base")
+    base = scratch.keep(docs.mapInArrow(thrifty(_census_rows(k, percent, buckets)), BASE), "base")
 
     # 1. How many of each document's lowest n-grams occur elsewhere.
     shared = base.where("kind = 1").select("flush", "bucket", "body").groupBy("bucket").applyInArrow(_count_shared, "flush long, counts binary")
@@ -267,7 +267,7 @@ def ngram_join(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     o = F.ceil(F.col("n") * percent / 100)
     alive = scratch.keep(classes.where(F.col("shared") >= F.greatest(F.floor(o / 4), F.lit(1))).select(F.col("rep").alias("doc_id"), "s1", "s2"), "alive")
     texts = docs.join(small(alive, alive.count(), 24), "doc_id")
-    grams = scratch.keep(texts.mapInArrow(_rows_of_sets(k), "rep long, grams array<long>").dropDuplicates(["rep", "grams"]), "grams")
+    grams = scratch.keep(texts.mapInArrow(thrifty(_rows_of_sets(k)), "rep long, grams array<long>").dropDuplicates(["rep", "grams"]), "grams")
 
     # 3. Prefixes, rarest first. An n-gram of one class alone joins nothing, but takes its place in the order.
     flat = grams.select("rep", F.size("grams").alias("n"), F.explode("grams").alias("g"))

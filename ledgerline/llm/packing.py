@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import runs
+from .words import runs, thrifty
 
 #: Distinct chunks of text whose ids a task remembers; bounds its memory.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _ODD_SPACE = re.compile(r"\s | \s")
 
 
@@ -183,7 +183,7 @@ def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, length: in
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    coded = scratch.keep(texts.mapInArrow(_encode(end, ranks), "doc_id long, source string, task int, place long, n long, ids binary"), "ids")
+    coded = scratch.keep(texts.mapInArrow(thrifty(_encode(end, ranks)), "doc_id long, source string, task int, place long, n long, ids binary"), "ids")
 
     totals = coded.groupBy("source", "task").agg(F.sum("n").alias("n"))
     # The largest sources, at most queues - 1 of them, get queues of their own; rank -1 is all the rest.
@@ -204,4 +204,4 @@ def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, length: in
     places = scratch.keep(named.select("source", "task", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "places")
     met = coded.join(places, coded["source"].eqNullSafe(places["source"]) & (coded["task"] == places["task"]))
     return met.select("doc_id", (F.col("place") + F.col("base")).alias("at"), "queue", "ids").mapInArrow(
-        _pieces(parts, counts, tails, quantum, length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        thrifty(_pieces(parts, counts, tails, quantum, length)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

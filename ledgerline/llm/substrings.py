@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, shuffle_parts
-from .words import U, Words, gram_starts, grams, pieces, words
+from .words import U, Words, gram_starts, grams, pieces, thrifty, words
 
 GRAM = 8
 #: Entries that a task holds before it sends them; bounds its memory.
 HELD = 200_000
 #: Bytes of text hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: A null doc_id in keys.
 NO_ID = -(1 << 63)
 KEY = ("k1", "k2")
@@ -258,7 +258,7 @@ class SubstringIndex:
     def append(self, docs: DataFrame) -> None:
         """Add a batch (doc_id, text): a new run, merge-joined with those before it."""
         batch = self.made
-        rows = self.scratch.keep(_keyed(docs).select(*KEY, F.col("text").cast("string")).mapInArrow(_fingerprints(self.window), "kind int, fp long, k1 long, k2 long, start int, n int"), f"fp{batch}")
+        rows = self.scratch.keep(_keyed(docs).select(*KEY, F.col("text").cast("string")).mapInArrow(thrifty(_fingerprints(self.window)), "kind int, fp long, k1 long, k2 long, start int, n int"), f"fp{batch}")
         self.settled.append(rows.where("kind = 1").select(*KEY, "start", "n"))
         name = self._run(rows.where("kind <> 1"))
         # A witness stands for at least two anchors that are settled already.
@@ -300,7 +300,7 @@ class SubstringIndex:
         query finds them dealt already: Spark reuses the exchange, so texts are shuffled once.
         """
         hits = self.scratch.keep(self.candidates(), "candidates")
-        sent = keyed.join(hits, list(KEY)).mapInArrow(_candidates(self.window, 8 * self.parts), "bucket int, body binary")
+        sent = keyed.join(hits, list(KEY)).mapInArrow(thrifty(_candidates(self.window, 8 * self.parts)), "bucket int, body binary")
         found = sent.groupBy("bucket").applyInArrow(_confirm, "k1 long, k2 long, start int, n int")
         return _per_document(found)
 
@@ -347,4 +347,4 @@ def dedup_substrings(docs: DataFrame, window: int = 35, batches: int = 2, carry:
     keyed = _keyed(docs.select(others, "doc_id", F.col("text").cast("string").alias("text"))).select("carried", "text", *KEY)
     rows = keyed.join(index.spans(keyed), list(KEY), "left")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return rows.select("carried", "text", "spans").mapInArrow(_cut(window, columns), f"{out}, n_words long, n_removed long, kept_text string")
+    return rows.select("carried", "text", "spans").mapInArrow(thrifty(_cut(window, columns)), f"{out}, n_words long, n_removed long, kept_text string")

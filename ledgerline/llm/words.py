@@ -6,7 +6,8 @@ the word's bytes only, so every task on every machine computes the same ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -51,11 +52,24 @@ def _power(base: int, n: int, inverse: bool) -> np.ndarray:
         have = np.full(max(n, 1 << 16), step, dtype=U)
         have[0] = 1
         np.cumprod(have, out=have)
-        if n <= 1 << 22:  # a single huge text does not stay in memory
+        if n <= 1 << 20:  # what a long text needs does not stay in memory
             _powers[base, inverse] = have
     return have[:n]
 
 
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker gives the memory that it no longer uses back to the system: Spark keeps workers for later tasks."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's, where it has it
+        if trim is not None:
+            trim(0)
+
+    return each
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column, end to end, and each document's offsets. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -71,7 +85,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `most` bytes of text; a longer text is a run of its own."""
     if not batch.num_rows:
         return
