@@ -53,18 +53,55 @@ def unmerge(entities: DataFrame, groups: DataFrame) -> DataFrame:
     return entities.join(split, "entity_id", "left").join(checked.select("mention_id", "keep_together"), "mention_id", "left").select("mention_id", new.alias("entity_id"), "canonical_name")
 
 
-def candidates(mentions: DataFrame, least: float = 0.88, entities: DataFrame | None = None) -> DataFrame:
-    """Pairs of similar but unequal names, for a human; never an edge. Blocked by the first token and near lengths.
+def _prefixes(keys: DataFrame, least: float) -> DataFrame:
+    """rule, key, prefix: the rarest grams of a key, of which any key as similar as `least` has one in its own prefix.
 
-    Given the resolved entities, pairs that are one entity already are left out.
+    The ratio is 2m / s for m matched characters and lengths of sum s, and the matched characters are a common subsequence,
+    so two keys share m characters and at least 3m - s - 1 bigrams, counted with repeats. For m >= least s / 2 and least over
+    0.8 that is at least one for all unequal keys; below, characters take the bigrams' place. A key of n grams that must share
+    o of them has one of the shared among its first n - o + 1 in any fixed order.
     """
-    name = normalise(F.col("name"), ["whitespace", "case"])
-    own = mentions.select("mention_id", name.alias("key")).where("key <> ''").withColumn("block", F.split("key", " ")[0]).groupBy("block", "key").agg(F.min("mention_id").alias("mention_id"))
-    a, b = own.alias("a"), own.alias("b")
+    q = 2 if least > 0.8 else 1
+    n = F.length("key")
+    # The least sum of lengths that a partner within the length bound, and an unequal one at all, can make.
+    total = F.greatest(n + F.ceil(n * (least / (2 - least)) - 1e-9), F.lit(1 / max(1 - least, 1e-9)))
+    shared = F.greatest(F.ceil(((1.5 * least - 1) * total - 1 if q == 2 else least / 2 * total) - 1e-9), F.lit(1))
+    gram = F.expr(f"transform(sequence(1, length(key) - {q - 1}), i -> substring(key, i, {q}))")
+    long = keys.where(n >= q).select("rule", "key", (n - (q - 1) - shared + 1).cast("int").alias("keep"), F.explode(gram).alias("gram"))
+    # A gram's repeats are told apart by number, so that sets count them.
+    counted = long.groupBy("rule", "key", "keep", "gram").agg(F.count("*").cast("int").alias("times"))
+    each = counted.select("rule", "key", "keep", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"), "gram")
+    ranked = each.join(each.groupBy("rule", "gram", "time").agg(F.count("*").alias("df")), ["rule", "gram", "time"])
+    order = F.sort_array(F.collect_list(F.struct("df", "gram", "time")))
+    return ranked.groupBy("rule", "key", "keep").agg(order.alias("order")).where("keep > 0").select("rule", "key", F.slice("order", F.lit(1), F.col("keep")).alias("prefix"))
+
+
+def candidates(mentions: DataFrame, least: float = 0.88, entities: DataFrame | None = None, rules=MATCH_RULES) -> DataFrame:
+    """Pairs of similar but unequal names with the best ratio over all rules, for a human; never an edge.
+
+    Names that no rule tells apart count as one, under their first mention. Each rule's keys are compared where their rare grams
+    meet (see _prefixes), which loses no pair, the smaller key as the wanted one. Given the resolved entities, pairs that are one
+    entity already are left out.
+    """
+    own = F.array(*[normalise(F.col("name"), list(steps)) for _, steps, _ in rules])
+    names = mentions.where("name is not null").select("mention_id", own.alias("keys")).groupBy("keys").agg(F.min("mention_id").alias("mention_id"))
+    # First key first, so that the left name is the one with the smaller first key.
+    of_rule = names.select(F.struct(F.col("keys"), F.col("mention_id")).alias("who"), F.posexplode("keys").alias("rule", "key")).where("key <> ''")
+    prefixes = _prefixes(of_rule.select("rule", "key").distinct(), least)
+    posted = prefixes.select("rule", "key", "prefix", F.explode("prefix").alias("g"))
+    a, b = posted.alias("a"), posted.alias("b")
+    lengths = F.length("a.key") + F.length("b.key")
     # 2 * shorter / (sum of lengths) bounds the ratio from above.
-    near = 2.0 * F.least(F.length("a.key"), F.length("b.key")) / (F.length("a.key") + F.length("b.key")) >= least
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.key") < F.col("b.key")) & near)
-    out = pairs.select(F.col("a.mention_id").alias("left_id"), F.col("b.mention_id").alias("right_id"), ratio(F.col("a.key"), F.col("b.key")).alias("similarity")).where(F.col("similarity") >= least)
+    near = 2.0 * F.least(F.length("a.key"), F.length("b.key")) / lengths >= least
+    once = F.array_intersect("a.prefix", "b.prefix")[0] == F.col("a.g")
+    met = a.join(b, (F.col("a.rule") == F.col("b.rule")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.key") < F.col("b.key")) & near & once)
+    # Nor are there more edits than unmatched characters.
+    met = met.where(F.levenshtein("a.key", "b.key") <= (1 - least) * lengths + 1e-9)
+    close = met.select(F.col("a.rule").alias("rule"), F.col("a.key").alias("ka"), F.col("b.key").alias("kb"), ratio(F.col("a.key"), F.col("b.key")).alias("similarity")).where(F.col("similarity") >= least)
+    side = lambda key, who: of_rule.select("rule", F.col("key").alias(key), F.col("who").alias(who))
+    named = close.join(side("ka", "x"), ["rule", "ka"]).join(side("kb", "y"), ["rule", "kb"])
+    left, right = F.least("x", "y"), F.greatest("x", "y")
+    out = named.groupBy(left["mention_id"].alias("left_id"), right["mention_id"].alias("right_id")).agg(F.max("similarity").alias("similarity"))
     if entities is None:
         return out
     of = lambda side: entities.select(F.col("mention_id").alias(f"{side}_id"), F.col("entity_id").alias(f"{side}_entity"))
@@ -72,11 +109,27 @@ def candidates(mentions: DataFrame, least: float = 0.88, entities: DataFrame | N
 
 
 def edit_candidates(mentions: DataFrame, most: int) -> DataFrame:
-    """Pairs of unequal names within `most` edits, blocked by first token and length."""
-    own = mentions.select("mention_id", F.lower("name").alias("key")).withColumn("block", F.split("key", " ")[0])
-    a, b = own.alias("a"), own.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.mention_id") < F.col("b.mention_id")) & (F.col("a.key") != F.col("b.key")) & (F.abs(F.length("a.key") - F.length("b.key")) <= most))
-    return pairs.where(F.levenshtein("a.key", "b.key") <= most).select(F.col("a.mention_id").alias("left_id"), F.col("b.mention_id").alias("right_id"), F.levenshtein("a.key", "b.key").alias("edits"))
+    """Pairs of unequal names within `most` edits.
+
+    The shorter of two such names, cut into `most` + 1 parts, has one part that the longer one holds too, at most `most`
+    characters away; names meet in these parts, so no pair is lost.
+    """
+    own = mentions.select("mention_id", F.lower("name").alias("key")).where("key is not null")
+    keys = own.select("key").distinct()
+    n, parts = F.length("key"), most + 1
+
+    def part(length, i, shift=0):
+        start, end = F.floor(length * i / parts).cast("int"), F.floor(length * (i + 1) / parts).cast("int")
+        return F.struct(length.alias("length"), F.lit(i).alias("i"), F.substring(F.col("key"), start + shift + 1, end - start).alias("text")), (start + shift >= 0) & (end + shift <= n) & (length >= 0)
+
+    held = keys.select("key", F.explode(F.array(*[part(n, i)[0] for i in range(parts)])).alias("part"))
+    found = [F.when(ok, p) for i in range(parts) for d in range(most + 1) for shift in range(-most, most + 1) for p, ok in [part(n - d, i, shift)]]
+    sought = keys.select("key", F.explode(F.array_distinct(F.array(*found))).alias("part")).where("part is not null")
+    s, l = held.alias("s"), sought.alias("l")
+    met = s.join(l, (F.col("s.part") == F.col("l.part")) & ((F.length("s.key") < F.length("l.key")) | (F.col("s.key") < F.col("l.key"))))
+    close = met.select(F.col("s.key").alias("ka"), F.col("l.key").alias("kb")).distinct().withColumn("edits", F.levenshtein("ka", "kb")).where(F.col("edits") <= most)
+    side = lambda key, who: own.select(F.col("key").alias(key), F.col("mention_id").alias(who))
+    return close.join(side("ka", "x"), "ka").join(side("kb", "y"), "kb").where("x <> y").select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "edits")
 
 
 def purity(entities: DataFrame, truth: DataFrame) -> DataFrame:

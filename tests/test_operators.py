@@ -68,6 +68,48 @@ def test_entities(spark):
     assert entities.evidence(m, got).where("mentions = 2").count() >= 1
 
 
+def test_similar_pairs_are_all_found(spark):
+    """Against every pair by brute force; names that differ in the first word, or are alike after a rule only, are among them."""
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    names = ["N0RTHBRIDGE Forwarding", "NORTHBRIDGE Forwarding", "Muller GmbH", "Mueller GmbH", "Nor-th Sea. Oil Ltd", "North Sea Oyl", "a", "b", "ab", "", "aaaaaaaa", "aaaaaaaaa", "Größe AG", "Grösse", "x"]
+    for _ in range(60):
+        name = "".join(rng.choice("abc -.") for _ in range(rng.randint(1, 24)))
+        at = rng.randrange(len(name))
+        names += [name, name[:at] + rng.choice("abcd ") + name[at + 1 :], name[:at] + name[at + 1 :], name + " Ltd"]
+    m = table(spark, "mention_id int, name string", *enumerate(names), (len(names), None)).cache()
+    steps = [F.array(*[entities.normalise(F.col("name"), list(rule[1])) for rule in entities.MATCH_RULES]).alias("keys")]
+    first = {}
+    for r in m.where("name is not null").select("mention_id", *steps).orderBy("mention_id").collect():
+        first.setdefault(tuple(r["keys"]), r["mention_id"])
+    for least in (0.88, 0.7):
+        wanted = {}
+        for x in first:
+            for y in first:
+                if x < y:
+                    best = max((difflib.SequenceMatcher(None, *sorted((p, q))).ratio() for p, q in zip(x, y) if p and q and p != q), default=0)
+                    if best >= least:
+                        wanted[first[x], first[y]] = best
+        assert {(r["left_id"], r["right_id"]): r["similarity"] for r in entities.candidates(m, least).collect()} == wanted
+        assert {(0, 1), (3, 2)} <= set(wanted)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+        return row[-1]
+
+    low = [n.lower() for n in names]
+    for most in (1, 2):
+        wanted = {(i, j): e for i, a in enumerate(low) for j, b in enumerate(low) if i < j and a != b and abs(len(a) - len(b)) <= most and (e := edits(a, b)) <= most}
+        rows = entities.edit_candidates(m, most).collect()
+        assert len(rows) == len(wanted) and {(r["left_id"], r["right_id"]): r["edits"] for r in rows} == wanted
+
+
 def test_versions_and_decisions(spark):
     rows = table(spark, "document string, field string, value string, reader string", ("d", "a", "1", "r@1"), ("d", "b", "2", "r@1"), ("d", "c", "3", "r@1+review"))
     decisions = table(spark, "document string, field string, decision string, supplied string", ("d", "a", "corrected", "9"), ("d", "b", "rejected", None), ("d", "c", "approved", None))
