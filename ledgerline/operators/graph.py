@@ -1,21 +1,14 @@
-"""Connected components by alternating rounds of stars; each round cuts lineage with a written table."""
+"""Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
-from __future__ import annotations
+Every round is one or two shuffles of the edges and ends in a written table; no vertex, edge list or component passes through the driver.
+"""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of its own only where that is unset (tests on one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from ledgerline.shared import Scratch
 
 
 def _round(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,14 +27,19 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of the vertices of `edges` (a, b); vertices without edges do not appear."""
-    spark = edges.sparkSession
-    at = f"{shared_dir(spark)}/connected-{uuid.uuid4().hex}"
-    now, before, step = edges.select("a", "b").where("a <> b").distinct(), None, 0
+    """node, component (its least node) of the vertices of `edges` (a, b); loops and repeated edges do nothing.
+
+    Vertices without edges do not appear; empty edges give an empty table.
+    """
+    scratch, step, before = Scratch(edges.sparkSession, "connected"), 0, None
+    now = edges.select("a", "b").where("a <> b").distinct()
     while True:
-        _round(_round(now, True), False).write.parquet(f"{at}/{step}")
-        now = spark.read.parquet(f"{at}/{step}")
+        now = scratch.keep(_round(_round(now, True), False), f"{step}")
+        if step:
+            scratch.drop(f"{step - 1}")
+        # A star forest is stable: the multiset of edges no longer changes.
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before, step = mark, step + 1

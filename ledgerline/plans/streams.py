@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_dir
+from ..shared import shared_dir
 from ..streaming import jobs
 from .registry import query, table
 from .warehouse import BANDS, traffic
