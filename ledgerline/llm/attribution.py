@@ -33,8 +33,10 @@ def token_bytes(tool: Encoder) -> np.ndarray:
     """The number of bytes of every id."""
     if not hasattr(tool, "bytes_of"):
         table = tool.encoding._mergeable_ranks
-        tool.bytes_of = np.zeros(max(table.values()) + 1, dtype=np.int64)
-        tool.bytes_of[list(table.values())] = [len(x) for x in table]
+        sizes = {number: len(x) for x, number in table.items()}
+        sizes.update({int(np.frombuffer(number, "<u4")[0]): len(text.encode()) for text, number in tool.added.items()})
+        tool.bytes_of = np.zeros(max(sizes) + 1, dtype=np.int64)
+        tool.bytes_of[list(sizes)] = list(sizes.values())
     return tool.bytes_of
 
 

@@ -7,10 +7,13 @@ Search. Items are partitioned by size: class c holds those of up to 2**c shingle
 document is covered by windows of 2 x 2**c shingles that start every 2**c, so a passage as long as an item lies whole in one window, and the
 window is at most four times the item. That turns containment 0.8 into a Jaccard similarity of at least 0.19 for any document length,
 and `hashes` = 48 single MinHash bands miss such a pair with probability 0.81**48 = 4e-5 (an exact copy: 1e-6). Minima of
-windows come from the minima of their halves, so the work is linear in the text. Every band match is verified against the whole document.
+windows come from the minima of their halves, so the work is linear in the text. Every band match is verified against the whole document:
+by hashes first, and what they leave word by word, so n_item and n_shared count shingles of words and not of hashes.
 
 Size. The items' index goes to all tasks in blocks of bounded size (`BLOCK` bytes of shingles); one pass over the documents for each block.
-For a benchmark of some thousand items that is one pass, and no shuffle of documents at all.
+For a benchmark of some thousand items that is one pass, and no shuffle of documents at all. Each block costs one more read of the
+documents, so with B blocks this reads B x their size, where a shuffle of band values would move about 2 x 48 values of 8 bytes for each
+shingle: reading is cheaper up to some hundred blocks (about 2 GB of item shingles).
 
 Rows: null or empty texts (items or documents) match nothing. Repeated items and repeated documents are reported as often as they
 occur. Empty tables give an empty result.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, Words, gram_counts, gram_starts, grams, mix, pieces, thrifty, words
+from .words import U, Words, gram_counts, gram_starts, grams, mix, pieces, shingles_of, thrifty, words
 
 #: Bytes of shingles of one block of items.
 BLOCK = 16 << 20
@@ -39,6 +42,7 @@ class Part(NamedTuple):
     size: int
     ids: np.ndarray
     sets: list[np.ndarray]
+    texts: list[str]
     minima: np.ndarray  # hashes x items
 
 
@@ -62,20 +66,20 @@ def _items(k: int):
         for batch in batches:
             for part in pieces(batch):
                 rows = list(item_sets(words(part.column("text"), lower=True), k))
-                yield pa.RecordBatch.from_pydict({"item_id": part.column("item_id"), "k": pa.array([a for a, _ in rows], pa.int32()), "grams": pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"item_id": part.column("item_id"), "text": part.column("text"), "k": pa.array([a for a, _ in rows], pa.int32()), "grams": pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))})
 
     return run
 
 
-def partition(rows: list[tuple[int, int, np.ndarray]], hashes: int) -> list[Part]:
-    """(item, k, set) by shingle length and size class."""
-    found: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-    for item, k, s in rows:
-        found.setdefault((k, 1 << max(int(len(s) - 1).bit_length(), 0)), []).append((item, s))
+def partition(rows: list[tuple[int, int, np.ndarray, str]], hashes: int) -> list[Part]:
+    """(item, k, set, text) by shingle length and size class."""
+    found: dict[tuple[int, int], list[tuple[int, np.ndarray, str]]] = {}
+    for item, k, s, text in rows:
+        found.setdefault((k, 1 << max(int(len(s) - 1).bit_length(), 0)), []).append((item, s, text))
     out = []
     for (k, size), own in sorted(found.items(), key=lambda x: x[0]):
-        minima = np.array([[(s * m).min() for _, s in own] for m in multipliers(hashes)], dtype=U)
-        out.append(Part(k, size, np.array([i for i, _ in own]), [s for _, s in own], minima))
+        minima = np.array([[(s * m).min() for _, s, _ in own] for m in multipliers(hashes)], dtype=U)
+        out.append(Part(k, size, np.array([i for i, _, _ in own]), [s for _, s, _ in own], [t for _, _, t in own], minima))
     return out
 
 
@@ -86,6 +90,13 @@ def _window_minima(x: np.ndarray, blocks: np.ndarray, last: np.ndarray) -> np.nd
     return np.where(last, low, both)
 
 
+def _confirmed(w: Words, places: np.ndarray, k: int, text: str) -> tuple[int, int]:
+    """The item's distinct shingles, and how many of them the document has at one of `places`, by their words."""
+    wanted = shingles_of(text, k)
+    spans = [(w.start[i : i + k].tolist(), w.end[i : i + k].tolist()) for i in places.tolist()]
+    return len(wanted), len(wanted & {tuple(w.data[a:b].tobytes() for a, b in zip(*span)) for span in spans})
+
+
 def search(w: Words, parts: list[Part], percent: int, hashes: int) -> list[tuple[int, int, int, int]]:
     """(document, item, the item's shingles, those the document has) of every verified pair, in order."""
     out = []
@@ -126,21 +137,25 @@ def search(w: Words, parts: list[Part], percent: int, hashes: int) -> list[tuple
                 own, item = sets[d], p.sets[j]
                 shared = int((own[np.minimum(np.searchsorted(own, item), len(own) - 1)] == item).sum())
                 if 100 * shared >= percent * len(item):
-                    out.append((d, int(p.ids[j]), len(item), shared))
+                    here = g[first[d] : first[d + 1]]
+                    places = starts[first[d] : first[d + 1]][item[np.minimum(np.searchsorted(item, here), len(item) - 1)] == here]
+                    size, shared = _confirmed(w, places, k, p.texts[j])
+                    if 100 * shared >= percent * size:
+                        out.append((d, int(p.ids[j]), size, shared))
     return sorted(out)
 
 
 def contained(docs: DataFrame, items: DataFrame, percent: int = 80, k: int = 5, hashes: int = 48) -> DataFrame:
     """doc_id, item_id, n_item (the item's shingles), n_shared for each item (item_id, text) that a document (doc_id, text) contains."""
     spark = docs.sparkSession
-    sets = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_items(k), "item_id long, k int, grams array<long>").where("k > 0")
-    size = sets.agg(F.coalesce(F.sum(F.size("grams") * 8 + 64), F.lit(0))).first()[0]
+    sets = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_items(k), "item_id long, text string, k int, grams array<long>").where("k > 0")
+    size = sets.agg(F.coalesce(F.sum(F.size("grams") * 8 + F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = None
     for block in range(blocks):
         rows = sets.where(F.pmod(F.xxhash64("item_id", "grams"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["k"], np.array(r["grams"], dtype=np.int64).view(U)) for r in rows])
+        shared = spark.sparkContext.broadcast([(r["item_id"], r["k"], np.array(r["grams"], dtype=np.int64).view(U), r["text"]) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             parts = partition(shared.value, hashes)

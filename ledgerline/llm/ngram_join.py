@@ -9,13 +9,15 @@ first n - ceil(t n) + 1 of that order, so only those prefix n-grams are joined.
    set's lowest hashes: of the lowest n - o + l (o = ceil(t n)) a linked pair shares l. Tasks settle n-grams that they meet twice
    themselves and send each other once, in buckets of the hash space, so a common n-gram or a huge group of
    copies costs one entry a task. Counts come back as one array a task and bucket.
-2. Equal sets become one class.
+2. Equal sets become one class, named by the number of one of its rows.
 3. The surviving classes' n-grams are counted exactly, sorted rarest first, and the prefixes kept.
-4. Each class gets a hub, a document that leads one of its prefix n-grams. Classes that share a prefix n-gram meet
-   in the group of their two hubs, where an inverted index over the prefixes finds the pairs, the filters drop most,
-   and each remaining pair is verified exactly, once, unless it is already connected. Hubs are split by the number
-   of n-grams that they gather, so a group has bounded memory however large a cluster of near copies is.
-5. Links become components (see components.py).
+4. Each class gets a hub, a document that leads one of its prefix n-grams; hubs are split by the number of n-grams that they
+   gather, so a group has bounded memory. First the classes of each split meet each other and the hub's document, which connects
+   a cluster of near copies however many splits it takes. Then classes that share a prefix n-gram and are not connected yet
+   meet in the group of their two splits, so a large cluster meets others but not its own splits.
+   In a group an inverted index over the prefixes finds the pairs, the filters drop most, and each remaining pair is verified
+   once, unless it is already connected: by hashes, and what they would link word by word.
+5. Links become components (see operators/graph.py).
 
 Results: one row per input row with n_shingles and component_id. Rows without words (or null text) have
 an empty set and link with nothing. A null doc_id links with nothing and has a null component_id. Rows that
@@ -31,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .scratch import Scratch, shuffle_parts, small
-from .words import U, mix, pieces, shingle_sets, thrifty, words
+from ledgerline.operators.graph import connected
+from ledgerline.shared import Scratch, shuffle_parts, small
+from .words import U, mix, pieces, shingle_sets, shingles_of, thrifty, words
 
 #: n-grams that a task holds before it sends them; bounds its memory.
 HELD = 2_000_000
 #: n-grams of the sets that meet in one group; bounds a group's memory.
 GROUP = 2_000_000
-BASE = "kind int, flush long, bucket int, doc array<long>, n array<int>, s1 array<long>, s2 array<long>, lo array<int>, body binary"
+BASE = "kind int, flush long, bucket int, row array<long>, doc array<long>, n array<int>, s1 array<long>, s2 array<long>, lo array<int>, body binary"
 
 
 def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -78,14 +80,14 @@ def _census_rows(k: int, percent: int, buckets: int):
         one, own, one_at = one[by], own[by], one_at[by]
         by = np.argsort(many_at, kind="stable")
         many, many_at = many[by], many_at[by]
-        rows: dict[str, list] = {x: [] for x in ("kind", "flush", "bucket", "doc", "n", "s1", "s2", "lo", "body")}
+        rows: dict[str, list] = {x: [] for x in ("kind", "flush", "bucket", "row", "doc", "n", "s1", "s2", "lo", "body")}
 
         def add(kind, bucket, body=None, **lists):
             for key in rows:
                 rows[key].append({"kind": kind, "flush": number, "bucket": bucket, "body": body}.get(key, lists.get(key)))
 
         marks = [set_marks(s) for s in sets]
-        add(0, -1, doc=ids, n=n.tolist(), s1=[a for a, _ in marks], s2=[b for _, b in marks], lo=known.tolist())
+        add(0, -1, row=[(number << 16) + i for i in range(len(sets))], doc=ids, n=n.tolist(), s1=[a for a, _ in marks], s2=[b for _, b in marks], lo=known.tolist())
         here = np.unique(np.concatenate((one_at, many_at)))
         five = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()  # noqa: E731  the upper 40 bits; a chance match only keeps a document that the join then refuses
         for b, (i, j), (p, q) in zip(here.tolist(), _ranges(one_at, here), _ranges(many_at, here)):
@@ -96,7 +98,7 @@ def _census_rows(k: int, percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, ids, sets, held = TaskContext.get().partitionId() << 32, [], [], 0
+        number, ids, sets, held = TaskContext.get().partitionId() << 24, [], [], 0
         for batch in batches:
             for part in pieces(batch):
                 ids += part.column("doc_id").to_pylist()
@@ -116,7 +118,7 @@ def _census_rows(k: int, percent: int, buckets: int):
 
 
 def _base_schema() -> pa.Schema:
-    return pa.schema([("kind", pa.int32()), ("flush", pa.int64()), ("bucket", pa.int32()), ("doc", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("s1", pa.list_(pa.int64())), ("s2", pa.list_(pa.int64())), ("lo", pa.list_(pa.int32())), ("body", pa.binary())])
+    return pa.schema([("kind", pa.int32()), ("flush", pa.int64()), ("bucket", pa.int32()), ("row", pa.list_(pa.int64())), ("doc", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("s1", pa.list_(pa.int64())), ("s2", pa.list_(pa.int64())), ("lo", pa.list_(pa.int32())), ("body", pa.binary())])
 
 
 def _ranges(sorted_keys: np.ndarray, keys: np.ndarray) -> list[tuple[int, int]]:
@@ -148,7 +150,8 @@ def _count_shared(table: pa.Table) -> pa.Table:
         if len(again) and len(part):
             at = np.minimum(np.searchsorted(again, part), len(again) - 1)
             hit = owner[again[at] == part].astype(np.int64)
-        outs.append(np.bincount(hit, minlength=docs).astype(np.uint16 if not len(hit) or np.bincount(hit).max() > 255 else np.uint8).astype(np.uint16).tobytes())
+        number, count = np.unique(hit, return_counts=True)
+        outs.append(np.array([docs, len(number)], np.uint32).tobytes() + number.astype(np.uint16).tobytes() + count.astype(np.uint32).tobytes())
     return pa.table({"flush": pa.array(flushes, pa.int64()), "counts": pa.array(outs, pa.binary())})
 
 
@@ -156,43 +159,73 @@ def _add_up(table: pa.Table) -> pa.Table:
     """One task's counts from all buckets, added."""
     total = None
     for c in table["counts"]:
-        x = np.frombuffer(c.as_buffer(), dtype=np.uint16).astype(np.int64)
-        total = x.copy() if total is None else total + x
+        raw = c.as_py()
+        docs, m = np.frombuffer(raw, np.uint32, 2).tolist()
+        total = np.zeros(docs, np.int64) if total is None else total
+        total[np.frombuffer(raw, np.uint16, m, 8)] += np.frombuffer(raw[8 + 2 * m :], np.uint32)
     return pa.table({"flush": table["flush"].slice(0, 1).cast(pa.int64()), "total": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
 
 def _rows_of_sets(k: int):
-    """(doc_id, s1, s2, text) -> the document's n-grams, if it is the text that the class stands for."""
+    """(cls, s1, s2, text) -> the text and its n-grams, if it is one that the class stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 sets = shingle_sets(words(part.column("text"), lower=True), k)
-                ids, own1, own2 = (part.column(c).to_pylist() for c in ("doc_id", "s1", "s2"))
+                own1, own2 = (part.column(c).to_pylist() for c in ("s1", "s2"))
                 good = [i for i, s in enumerate(sets) if len(s) and set_marks(s) == (own1[i], own2[i])]
-                yield pa.RecordBatch.from_pydict({"rep": pa.array([ids[i] for i in good], pa.int64()), "grams": pa.array([sets[i].view(np.int64) for i in good], pa.list_(pa.int64()))})
+                pick = pa.array(good, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("cls").take(pick), part.column("text").take(pick), pa.array([sets[i].view(np.int64) for i in good], pa.list_(pa.int64()))], names=["cls", "text", "grams"])
 
     return run
 
 
-def links_in_group(table: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Exact links among one group's sets, less those within what is already connected.
+class _Exact:
+    """Whether two of a group's texts link by their words; remembers the sets of some texts."""
 
-    Columns: rep, hub, ga, gb, n, prefix (n-grams), at (their positions in the rare-first order), grams (sorted).
-    Where the group is of two hubs, only pairs across them are looked at.
+    def __init__(self, texts: pa.ChunkedArray, percent: int, k: int):
+        self.texts, self.percent, self.k, self.sets, self.size = texts, percent, k, {}, 0
+
+    def of(self, i: int) -> frozenset:
+        if i not in self.sets:
+            if self.size > 200_000:
+                self.sets, self.size = {}, 0
+            self.sets[i] = shingles_of(self.texts[i].as_py(), self.k)
+            self.size += len(self.sets[i])
+        return self.sets[i]
+
+    def linked(self, i: int, j: int) -> bool:
+        a, b = self.of(i), self.of(j)
+        shared = len(a & b)
+        return 100 * shared >= self.percent * (len(a) + len(b) - shared)
+
+
+def links_in_group(table: pa.Table, percent: int, k: int) -> list[tuple[int, int]]:
+    """Exact links among one group's classes, less those within what is already connected.
+
+    Columns: cls, hub, comp (equal where connected already), ga, gb, n, prefix (n-grams), at (their positions in the rare-first
+    order), text. Where the group is of two hubs, only pairs across them are looked at.
     """
-    order = np.lexsort((table["rep"].to_numpy(), table["n"].to_numpy()))
-    table = table.take(pa.array(order))
-    rep, n, hub = table["rep"].to_numpy(), table["n"].to_numpy(), table["hub"].to_numpy()
+    order = np.lexsort((table["cls"].to_numpy(), table["n"].to_numpy()))
+    first = np.unique(table["cls"].to_numpy()[order], return_index=True)[1]  # a hub's document may be there twice
+    if len(first) < 2:
+        return []
+    table = table.take(pa.array(order[np.sort(first)]))
+    cls, n, hub = table["cls"].to_numpy(), table["n"].to_numpy(), table["hub"].to_numpy()
     across = table["ga"][0].as_py() != table["gb"][0].as_py()
-    flat = table["grams"].combine_chunks().flatten().to_numpy()
+    texts = table["text"].cast(pa.large_string())
+    exact = _Exact(texts, percent, k)
+    flat = np.concatenate([s for part in pieces(pa.table({"text": texts}).combine_chunks().to_batches()[0]) for s in shingle_sets(words(part.column("text"), lower=True), k)])
     codes = np.unique(flat, return_inverse=True)[1]
     at = np.concatenate(([0], np.cumsum(n)))
     # Suffix filter: the sets' counts in 64 cells of the hash order bound their Hamming distance from below.
-    cells = np.zeros((len(rep), 64), dtype=np.int32)
-    np.add.at(cells, (np.repeat(np.arange(len(rep)), n), (flat.view(U) >> U(58)).astype(np.int64)), 1)
+    cells = np.zeros((len(cls), 64), dtype=np.int32)
+    np.add.at(cells, (np.repeat(np.arange(len(cls)), n), (flat >> U(58)).astype(np.int64)), 1)
+    del flat
     mark = np.zeros(int(codes.max()) + 1, dtype=np.int32)
-    up = list(range(len(rep)))
+    up = np.unique(table["comp"].to_numpy(), return_index=True, return_inverse=True)
+    up = up[1][up[2]].tolist()
 
     def top(i: int) -> int:
         while up[i] != i:
@@ -203,7 +236,7 @@ def links_in_group(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     index: dict[int, list[tuple[int, int]]] = {}
     links = []
     prefixes, places = table["prefix"].to_pylist(), table["at"].to_pylist()
-    for i in range(len(rep)):
+    for i in range(len(cls)):
         seen: dict[int, int] = {}
         mine = top(i)
         for g, p in zip(prefixes[i], places[i]):
@@ -229,16 +262,16 @@ def links_in_group(table: pa.Table, percent: int) -> list[tuple[int, int]]:
             where = np.repeat(at[block], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             shared = np.add.reduceat(mark[codes[where]], np.cumsum(size) - size)
             for j in block[100 * shared >= percent * (size + n[i] - shared)].tolist():
-                if top(j) != top(i):
+                if top(j) != top(i) and exact.linked(i, j):
                     up[top(j)] = top(i)
-                    links.append((int(rep[i]), int(rep[j])))
+                    links.append((int(cls[i]), int(cls[j])))
         mark[codes[at[i] : at[i + 1]]] = 0
     return links
 
 
-def _group_links(percent: int):
+def _group_links(percent: int, k: int):
     def run(table: pa.Table) -> pa.Table:
-        links = links_in_group(table, percent)
+        links = links_in_group(table, percent, k)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
@@ -255,46 +288,59 @@ def ngram_join(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     # 1. How many of each document's lowest n-grams occur elsewhere.
     shared = base.where("kind = 1").select("flush", "bucket", "body").groupBy("bucket").applyInArrow(_count_shared, "flush long, counts binary")
     totals = shared.groupBy("flush").applyInArrow(_add_up, "flush long, total array<long>")
-    per_flush = base.where("kind = 0").select("flush", "doc", "n", "s1", "s2", "lo").join(totals, "flush", "left")
+    per_flush = base.where("kind = 0").select("flush", "row", "doc", "n", "s1", "s2", "lo").join(totals, "flush", "left")
     total = F.coalesce("total", F.array_repeat(F.lit(0).cast("long"), F.size("doc")))
     sets = scratch.keep(
-        per_flush.select(F.inline(F.arrays_zip("doc", "n", "s1", "s2", "lo", total.alias("total"))))
-        .select(F.col("doc").alias("doc_id"), "n", "s1", "s2", (F.col("lo") + F.col("total")).alias("shared")), "sets")
+        per_flush.select(F.inline(F.arrays_zip("row", "doc", "n", "s1", "s2", "lo", total.alias("total"))))
+        .select("row", F.col("doc").alias("doc_id"), "n", "s1", "s2", (F.col("lo") + F.col("total")).alias("shared")), "sets")
+    scratch.drop("base")
 
     # 2. Classes of equal sets.
     full = sets.where("n > 0 and doc_id is not null")
-    classes = scratch.keep(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("shared").alias("shared")), "classes")
+    classes = scratch.keep(full.groupBy("s1", "s2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("shared").alias("shared")), "classes")
     o = F.ceil(F.col("n") * percent / 100)
-    alive = scratch.keep(classes.where(F.col("shared") >= F.greatest(F.floor(o / 4), F.lit(1))).select(F.col("rep").alias("doc_id"), "s1", "s2"), "alive")
-    texts = docs.join(small(alive, alive.count(), 24), "doc_id")
-    grams = scratch.keep(texts.mapInArrow(thrifty(_rows_of_sets(k)), "rep long, grams array<long>").dropDuplicates(["rep", "grams"]), "grams")
+    alive = scratch.keep(classes.where(F.col("shared") >= F.greatest(F.floor(o / 4), F.lit(1))).select(F.col("rep").alias("doc_id"), "cls", "s1", "s2"), "alive")
+    texts = docs.join(small(alive, alive.count(), 32), "doc_id").select("cls", "s1", "s2", "text")
+    grams = scratch.keep(texts.mapInArrow(thrifty(_rows_of_sets(k)), "cls long, text string, grams array<long>").dropDuplicates(["cls"]), "grams")
 
     # 3. Prefixes, rarest first. An n-gram of one class alone joins nothing, but takes its place in the order.
-    flat = grams.select("rep", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    flat = grams.select("cls", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     df = flat.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    known = flat.join(df, "g").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("order"))
+    known = flat.join(df, "g").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("order"))
     first = F.col("n") - F.size("order")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = known.where(length > first).select("rep", "n", F.slice("order", F.lit(1), (length - first).cast("int")).alias("order"), first.alias("first"))
-    tokens = scratch.keep(prefix.select("rep", "n", F.expr("transform(order, x -> x.g)").alias("prefix"), F.expr("transform(sequence(1, size(order)), i -> int(first + i - 1))").alias("at"), F.expr("aggregate(order, 0L, (s, x) -> s + x.df)").alias("weight")), "tokens")
+    prefix = known.where(length > first).select("cls", "n", F.slice("order", F.lit(1), (length - first).cast("int")).alias("order"), first.alias("first"))
+    tokens = scratch.keep(prefix.select("cls", "n", F.expr("transform(order, x -> x.g)").alias("prefix"), F.expr("transform(sequence(1, size(order)), i -> int(first + i - 1))").alias("at"), F.expr("aggregate(order, 0L, (s, x) -> s + x.df)").alias("weight")), "tokens")
 
     # 4. Hubs, and the groups in which classes meet.
-    rows = tokens.select("rep", "weight", F.explode("prefix").alias("g"))
-    lead = rows.groupBy("g").agg(F.max_by("rep", F.struct("weight", "rep")).alias("lead"), F.count("*").alias("m")).where("m > 1")
-    led = rows.join(lead, "g")
-    votes = led.groupBy("rep", "lead").agg(F.count("*").alias("votes")).groupBy("rep").agg(F.max_by("lead", F.struct("votes", "lead")).alias("hub")).join(tokens.select("rep", "n"), "rep")
-    load = votes.groupBy("hub").agg(F.sum("n").alias("load"))
-    hubs = scratch.keep(votes.join(load, "hub").select("rep", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), F.ceil(F.col("load") / GROUP))).alias("hub")), "hubs")
-    at = led.select("g", "rep").join(hubs, "rep")
-    met = at.select("g", F.col("hub").alias("other")).distinct()
-    pairs = at.join(met, "g").select("rep", "hub", F.least("hub", "other").alias("ga"), F.greatest("hub", "other").alias("gb")).distinct()
-    # A group of one hub alone is needed only where two of its classes share an n-gram, one of two hubs by construction.
-    shipped = pairs.join(tokens.select("rep", "n", "prefix", "at"), "rep").join(grams, "rep")
-    links = shipped.groupBy("ga", "gb").applyInArrow(_group_links(percent), "a long, b long")
+    rows = tokens.select("cls", "weight", F.explode("prefix").alias("g"))
+    lead = rows.groupBy("g").agg(F.max_by("cls", F.struct("weight", "cls")).alias("lead"), F.count("*").alias("m")).where("m > 1")
+    led = scratch.keep(rows.join(lead, "g").select("g", "cls", "lead"), "led")
+    votes = led.groupBy("cls", "lead").agg(F.count("*").alias("votes")).groupBy("cls").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead")).join(tokens.select("cls", "n"), "cls")
+    load = votes.groupBy("lead").agg(F.sum("n").alias("load"))
+    hubs = scratch.keep(votes.join(load, "lead").select("cls", "lead", F.xxhash64("lead", F.pmod(F.xxhash64("cls"), F.ceil(F.col("load") / GROUP))).alias("hub")), "hubs")
+    sent = tokens.select("cls", "n", "prefix", "at").join(grams.select("cls", "text"), "cls")
+
+    def meet(groups: DataFrame) -> DataFrame:
+        return groups.join(sent, "cls").groupBy("ga", "gb").applyInArrow(_group_links(percent, k), "a long, b long")
+
+    own = hubs.select("cls", "hub").unionByName(hubs.select(F.col("lead").alias("cls"), "hub").distinct())
+    near = scratch.keep(meet(own.select("cls", "hub", F.col("cls").alias("comp"), F.col("hub").alias("ga"), F.col("hub").alias("gb"))), "near")
+    joined = connected(near)
+    placed = scratch.keep(hubs.select("cls", "hub").join(joined, F.col("cls") == F.col("node"), "left").select("cls", "hub", F.coalesce("component", "cls").alias("comp")), "placed")
+    at = led.select("g", "cls").join(placed, "cls")
+    open_ = at.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("g")
+    at = scratch.keep(at.join(open_, "g"), "open")
+    met = at.select("g", F.col("hub").alias("other"), F.col("comp").alias("others")).distinct()
+    pairs = at.join(met, "g").where("hub <> other and comp <> others").select("cls", "hub", "comp", F.least("hub", "other").alias("ga"), F.greatest("hub", "other").alias("gb")).distinct()
+    far = meet(pairs)
 
     # 5. Components; a document with several rows ties its classes together.
-    member = full.join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
-    twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    label = components(scratch.keep(links.unionByName(twice), "links"), scratch)
-    named = sets.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left").join(label, F.col("rep") == F.col("node"), "left")
-    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))).otherwise(F.col("doc_id")).alias("component_id"))
+    member = full.join(classes.select("s1", "s2", "cls"), ["s1", "s2"]).select("doc_id", "cls")
+    several = member.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("doc_id", "a")
+    twice = member.join(several, "doc_id").where("a <> cls").select("a", F.col("cls").alias("b"))
+    label = connected(scratch.keep(near.unionByName(far).unionByName(twice), "links"))
+    low = label.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
+    named = sets.join(classes.select("s1", "s2", "cls", "rep"), ["s1", "s2"], "left").join(label.join(low, "component"), F.col("cls") == F.col("node"), "left")
+    scratch.drop("alive", "grams", "tokens", "led", "hubs", "near", "placed", "open", "links")
+    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "rep"))).otherwise(F.col("doc_id")).alias("component_id"))

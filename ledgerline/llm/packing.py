@@ -25,6 +25,7 @@ as they occur. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator, Mapping
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ledgerline.shared import Scratch
 from .words import runs, thrifty
 
 #: Distinct chunks of text whose ids a task remembers; bounds its memory.
@@ -45,17 +46,20 @@ _ODD_SPACE = re.compile(r"\s | \s")
 class Encoder(dict):
     """Ids of the byte-level BPE vocabulary, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pattern never joins text across a single space that stands between two other characters, save
+    A text is first cut at the added tokens of the vocabulary file (such as <|endoftext|>), each of which has one id
+    and joins with nothing, as `tokenizers` does by default. The vocabulary's pattern never joins text across a single space that stands between two other characters, save
     that the space goes with what follows. So a text is encoded chunk by chunk, and chunks are remembered; a text
     with any other white space next to a space is encoded whole.
     """
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, pattern: str, added: Mapping[str, int]):
         import tiktoken
 
         with open(ranks, "rb") as file:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.added = {text: np.array([number], dtype="<u4").tobytes() for text, number in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
@@ -67,24 +71,35 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        if self.cut is not None and self.cut.search(text):
+            return b"".join(self.added[x] if x in self.added else self.plain(x) for x in self.cut.split(text) if x)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
             return self.whole(text)
         head, *rest = text.split(" ")
         return self.whole(head) + b"".join(map(self.__getitem__, rest))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, str], Encoder] = {}
+
 
+def encoder(ranks: str | None = None, pattern: str | None = None, vocabulary: str | None = None) -> Encoder:
+    """This process's encoder; by default of the vocabulary byte_bpe_50k.
 
-def encoder(ranks: str | None = None, pattern: str | None = None) -> Encoder:
-    """This process's encoder; by default of the vocabulary byte_bpe_50k."""
-    if ranks is None or pattern is None:
+    `ranks` is the path of the rank file, `vocabulary` that of the `tokenizers` file of the same vocabulary, which names the added tokens.
+    """
+    if ranks is None or pattern is None or vocabulary is None:
         import public_tokenizers
 
         ranks, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    if (ranks, pattern) not in _encoders:
-        _encoders[ranks, pattern] = Encoder(ranks, pattern)
-    return _encoders[ranks, pattern]
+        vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    if (ranks, pattern, vocabulary) not in _encoders:
+        with open(vocabulary, encoding="utf-8") as file:
+            added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+        _encoders[ranks, pattern, vocabulary] = Encoder(ranks, pattern, added)
+    return _encoders[ranks, pattern, vocabulary]
 
 
 def _encode(end: int, ranks: str | None):

@@ -7,10 +7,12 @@ Index. Each window has a fingerprint: the least hash among its 8-word runs. Neig
 place of that minimum (an anchor), so about one entry in fourteen windows is kept, and equal windows have equal
 fingerprints. A batch of documents becomes one immutable run of anchors, bucketed and sorted by fingerprint. It is
 merge-joined with the runs before it, bucket by bucket and without a shuffle, to find the fingerprints that repeat;
-when there are more than `fan_in` runs they are compacted into one.
+when there are more than `fan_in` runs they are compacted into one. An index with a folder of its own outlives the session: each
+append ends by writing a manifest, and `open` goes on from the last one that is whole.
 
 Verification. Anchors that repeat are only candidates. Their documents are read again and each candidate window is
-compared by 96 bits of two independent hashes over all its 35 words.
+compared by 128 bits of two independent hashes over all its 35 words, which no regularity of the words cancels
+(see words.py): two windows that differ agree with probability 2**-128, about 1e-12 in all for 1e13 windows.
 
 Skew. A task settles the repeats that it sees itself and sends only one witness of them, so a passage that a
 third of all documents hold costs one entry a task and not one a document.
@@ -22,6 +24,8 @@ Texts below 35 words lose nothing. An empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, shuffle_parts
+from ledgerline.shared import Scratch, shuffle_parts
 from .words import U, Words, gram_starts, grams, pieces, thrifty, words
 
 GRAM = 8
@@ -180,7 +184,7 @@ def _candidates(window: int, buckets: int):
                 g = grams(w, k)
                 bucket = (g[_least_at(g, window - k + 1)[place]] % U(buckets)).astype(np.int32)
                 k1, k2 = _keys(part)
-                held.append((grams(w, window)[place], grams(w, window, 1)[place] >> U(32), bucket, k1[doc], k2[doc], place - w.first[doc]))
+                held.append((grams(w, window)[place], grams(w, window, 1)[place], bucket, k1[doc], k2[doc], place - w.first[doc]))
                 many += len(place)
                 if many >= 2 * HELD:
                     yield flush(held, number)
@@ -192,14 +196,14 @@ def _candidates(window: int, buckets: int):
 
 
 def _pack(spans: np.ndarray, one: np.ndarray, two: np.ndarray, settled: bool) -> bytes:
-    return np.array([settled, len(spans), len(one)], dtype=np.uint32).tobytes() + spans.tobytes() + one.tobytes() + two.astype(np.uint32).tobytes()
+    return np.array([settled, len(spans), len(one)], dtype=np.uint32).tobytes() + spans.tobytes() + one.tobytes() + two.tobytes()
 
 
 def _unpack(body) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray]:
     raw = bytes(body)
     settled, n, m = np.frombuffer(raw, np.uint32, 3).tolist()
     at = 12 + n * SPAN.itemsize
-    return bool(settled), np.frombuffer(raw, SPAN, n, 12), np.frombuffer(raw, U, m, at), np.frombuffer(raw, np.uint32, m, at + 8 * m)
+    return bool(settled), np.frombuffer(raw, SPAN, n, 12), np.frombuffer(raw, U, m, at), np.frombuffer(raw, U, m, at + 8 * m)
 
 
 def _confirm(table: pa.Table) -> pa.Table:
@@ -236,61 +240,107 @@ def _per_document(spans: DataFrame) -> DataFrame:
 
 
 class SubstringIndex:
-    """Sorted immutable runs of anchors. `append` adds a batch, `spans` gives the verified windows that repeat."""
+    """Sorted immutable runs of anchors. `append` adds a batch, `spans` gives the verified windows that repeat.
 
-    def __init__(self, spark: SparkSession, window: int = 35, fan_in: int = 4):
+    With `at`, a folder of the shared store, the index stays there, and a later session opens it again; without, it is gone
+    with the application.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = 35, fan_in: int = 4, at: str | None = None):
         self.spark, self.window, self.fan_in = spark, window, fan_in
-        self.scratch = Scratch(spark, "substrings")
+        self.scratch = Scratch(spark, "substrings", at)
         self.parts = min(shuffle_parts(spark), 100_000)
         self.runs: list[str] = []
-        self.settled: list[DataFrame] = []
-        self.repeated: DataFrame | None = None
+        self.settled: list[str] = []
+        self.repeated: str | None = None
         self.made = 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, at: str, window: int = 35, fan_in: int = 4) -> SubstringIndex:
+        """The index in the folder `at`, as its last whole manifest has it; a new one if there is none."""
+        index = cls(spark, window, fan_in, at)
+        whole = [x for x in index.scratch.names("manifest") if "_SUCCESS" in index.scratch.names(f"manifest/{x}")]
+        if whole:
+            state = json.loads(spark.read.text(index.scratch.path(f"manifest/{max(whole)}")).first()[0])
+            if state["window"] != window:
+                raise ValueError(f"the index has windows of {state['window']} words")
+            index.parts, index.runs, index.settled, index.repeated, index.made = (state[x] for x in ("parts", "runs", "settled", "repeated", "made"))
+        return index
+
+    def _save(self) -> None:
+        """The manifest: a batch counts once it is there, and a failed append leaves the one before."""
+        state = json.dumps({"window": self.window, "parts": self.parts, "runs": self.runs, "settled": self.settled, "repeated": self.repeated, "made": self.made})
+        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(self.scratch.path(f"manifest/{self.made:09d}"))
+
+    def _table(self, name: str) -> DataFrame:
+        """One run; a session that does not know the table yet learns that its files are bucketed and sorted."""
+        if not self.spark.catalog.tableExists(name):
+            columns = "fp BIGINT, k1 BIGINT, k2 BIGINT, start INT, n INT, kind INT"
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.parts} BUCKETS LOCATION '{self.scratch.path(name)}'")
+        return self.spark.table(name)
+
     def _run(self, rows: DataFrame) -> str:
         """Write one run: a table bucketed and sorted by fingerprint, one file a bucket."""
         self.made += 1
-        name = f"run_{self.made}_{self.scratch.at.rpartition('-')[2]}"
+        name = f"run_{self.made}_{uuid.uuid4().hex}"
         (rows.select("fp", *KEY, "start", "n", "kind").repartition(self.parts, "fp").sortWithinPartitions("fp").write
             .bucketBy(self.parts, "fp").sortBy("fp").option("compression", "zstd").option("path", self.scratch.path(name)).saveAsTable(name))
         return name
 
     def append(self, docs: DataFrame) -> None:
         """Add a batch (doc_id, text): a new run, merge-joined with those before it."""
-        batch = self.made
-        rows = self.scratch.keep(_keyed(docs).select(*KEY, F.col("text").cast("string")).mapInArrow(thrifty(_fingerprints(self.window)), "kind int, fp long, k1 long, k2 long, start int, n int"), f"fp{batch}")
-        self.settled.append(rows.where("kind = 1").select(*KEY, "start", "n"))
+        mark = uuid.uuid4().hex
+        rows = self.scratch.keep(_keyed(docs).select(*KEY, F.col("text").cast("string")).mapInArrow(thrifty(_fingerprints(self.window)), "kind int, fp long, k1 long, k2 long, start int, n int"), f"fp_{mark}")
+        self.scratch.keep(rows.where("kind = 1").select(*KEY, "start", "n"), f"settled_{mark}")
         name = self._run(rows.where("kind <> 1"))
         # A witness stands for at least two anchors that are settled already.
-        counts = self.spark.table(name).groupBy("fp").agg(F.count("*").alias("m"), F.max("kind").alias("kind"))
+        counts = self._table(name).groupBy("fp").agg(F.count("*").alias("m"))
         fresh = counts.where("m > 1").select("fp")
         for old in self.runs:
-            fresh = fresh.unionByName(counts.select("fp").join(self.spark.table(old).select("fp").distinct(), "fp"))
+            fresh = fresh.unionByName(counts.select("fp").join(self._table(old).select("fp").distinct(), "fp"))
         if self.repeated is not None:
-            fresh = fresh.unionByName(self.repeated)
-        self.repeated = self.scratch.keep(fresh.distinct(), f"repeated{batch}")
+            fresh = fresh.unionByName(self.scratch.kept(self.repeated))
+        self.scratch.keep(fresh.distinct(), f"repeated_{mark}")
+        before, self.repeated = self.repeated, f"repeated_{mark}"
+        self.settled.append(f"settled_{mark}")
         self.runs.append(name)
-        if len(self.runs) > self.fan_in:
-            self.compact()
+        old = self._merge() if len(self.runs) > self.fan_in else []
+        self._save()
+        self._forget(old)
+        self.scratch.drop(f"fp_{mark}", *([before] if before else []))
 
     def compact(self) -> None:
         """Merge all runs into one."""
-        merged = self.spark.table(self.runs[0])
-        for name in self.runs[1:]:
-            merged = merged.unionByName(self.spark.table(name))
-        new = self._run(merged)
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
+        old = self._merge()
+        self._save()
+        self._forget(old)
+
+    def _merge(self) -> list[str]:
+        """Make one run of all, and return those that it replaces."""
+        old = self.runs
+        merged = self._table(old[0])
+        for name in old[1:]:
+            merged = merged.unionByName(self._table(name))
+        self.runs = [self._run(merged)]
+        return old
+
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             self.scratch.drop(name)
-        self.runs = [new]
+
+    def close(self) -> None:
+        """Take the runs out of the session's catalog; their files stay."""
+        for name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def candidates(self) -> DataFrame:
         """k1, k2, spans of the windows whose fingerprint repeats."""
-        hits = self.settled[0]
-        for more in self.settled[1:]:
-            hits = hits.unionByName(more)
+        hits = self.spark.createDataFrame([], "k1 long, k2 long, start int, n int")
+        for name in self.settled:
+            hits = hits.unionByName(self.scratch.kept(name))
         for name in self.runs:
-            hits = hits.unionByName(self.spark.table(name).where("kind = 0").join(self.repeated, "fp", "left_semi").select(*KEY, "start", "n"))
+            hits = hits.unionByName(self._table(name).where("kind = 0").join(self.scratch.kept(self.repeated), "fp", "left_semi").select(*KEY, "start", "n"))
         return _per_document(hits)
 
     def spans(self, keyed: DataFrame) -> DataFrame:
@@ -299,7 +349,7 @@ class SubstringIndex:
         The documents are dealt by key here, and a caller that joins the spans with the same `keyed` in the same
         query finds them dealt already: Spark reuses the exchange, so texts are shuffled once.
         """
-        hits = self.scratch.keep(self.candidates(), "candidates")
+        hits = Scratch(self.spark, "candidates").keep(self.candidates(), "candidates")
         sent = keyed.join(hits, list(KEY)).mapInArrow(thrifty(_candidates(self.window, 8 * self.parts)), "bucket int, body binary")
         found = sent.groupBy("bucket").applyInArrow(_confirm, "k1 long, k2 long, start int, n int")
         return _per_document(found)
@@ -332,13 +382,13 @@ def _cut(window: int, columns: list[str]):
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = 35, batches: int = 2, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Add `docs` to an index in `batches` batches and cut every repeated window out.
+def dedup_substrings(docs: DataFrame, window: int = 35, batches: int = 3, fan_in: int = 2, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Add `docs` to an index in `batches` batches (compacted beyond `fan_in` runs) and cut every repeated window out.
 
     Returns, for every row, the columns named in `carry` and n_words, n_removed, kept_text (the words that stay,
     joined by one space).
     """
-    index = SubstringIndex(docs.sparkSession, window)
+    index = SubstringIndex(docs.sparkSession, window, fan_in)
     for i in range(batches):
         index.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i) if batches > 1 else docs)
     columns = list(dict.fromkeys(carry))
@@ -346,5 +396,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, batches: int = 2, carry:
     others = F.struct(F.lit(True).alias("row"), *[F.col(c) for c in columns if c != "text"]).alias("carried")
     keyed = _keyed(docs.select(others, "doc_id", F.col("text").cast("string").alias("text"))).select("carried", "text", *KEY)
     rows = keyed.join(index.spans(keyed), list(KEY), "left")
+    index.close()
+    index.scratch.drop(*index.scratch.names())  # what is still needed is written apart
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     return rows.select("carried", "text", "spans").mapInArrow(thrifty(_cut(window, columns)), f"{out}, n_words long, n_removed long, kept_text string")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import fold_of
-from .scratch import small
+from ledgerline.shared import small
 from .words import U, pieces, prefix_hashes, words
 
 STEMS = (6, 4)

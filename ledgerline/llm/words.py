@@ -1,7 +1,9 @@
 """Array-at-a-time words, n-gram hashes and distinct sets of Arrow text columns.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D.  Hashes are 64-bit and depend on
-the word's bytes only, so every task on every machine computes the same ones.
+the word's bytes only, so every task on every machine computes the same ones.  They are chains of
+mixers that no power of a base runs through, so texts have no common structure by which they could
+collide: words of up to eight bytes of one length never do, others by chance alone (2**-64 a pair and hash).
 """
 
 from __future__ import annotations
@@ -12,16 +14,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Odd multipliers of the polynomial hashes (arbitrary, fixed so that runs agree).
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_GRAM_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_powers: dict[tuple[int, bool], np.ndarray] = {}
+#: Seeds and odd multipliers of the independent hashes (arbitrary, fixed so that runs agree).
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_STEPS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Words beyond this many bytes are hashed one by one.
+_LONG = 64
+#: The lowest n bytes of a 64-bit number.
+_LOWEST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
 
 
 class Words(NamedTuple):
@@ -32,7 +38,6 @@ class Words(NamedTuple):
     start: np.ndarray
     end: np.ndarray
     hashes: tuple[np.ndarray, ...]
-    total: np.ndarray
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -45,16 +50,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def _power(base: int, n: int, inverse: bool) -> np.ndarray:
-    have = _powers.get((base, inverse))
-    if have is None or len(have) < n:
-        step = U(pow(base, -1, 1 << 64) if inverse else base)
-        have = np.full(max(n, 1 << 16), step, dtype=U)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if n <= 1 << 20:  # what a long text needs does not stay in memory
-            _powers[base, inverse] = have
-    return have[:n]
+def _spell(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """The hash of each run of bytes start:end: eight bytes at a time, each step mixed into the last."""
+    size = end - start
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    seed, step = U(SEEDS[which]), U(_STEPS[which])
+    out = mix((eight[start] & _LOWEST[np.minimum(size, 8)]) ^ mix(size.astype(U) + seed))
+    left, done = np.flatnonzero(size > 8), 8
+    while len(left) and done < _LONG:
+        more = eight[start[left] + done] & _LOWEST[np.minimum(size[left] - done, 8)]
+        out[left] = mix(out[left] * step + mix(more + seed))
+        done += 8
+        left = left[size[left] > done]
+    for i in left.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), SEEDS[which])
+    return out
 
 
 def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -114,31 +125,29 @@ def words(column: pa.Array, lower: bool = False, hashes: int = 1, apart: np.ndar
     closes[before] = inside[before]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     first = np.searchsorted(start, offsets)
-    out, sums = [], None
-    for base in BASES[:hashes]:
-        total = np.zeros(len(data) + 1, dtype=U)
-        np.cumsum((data.astype(U) + U(1)) * _power(base, len(data), False), out=total[1:])
-        sums = total if sums is None else sums
-        out.append(mix((total[end] - total[start]) * _power(base, len(data) + 1, True)[start]))
-    return Words(data, first, start, end, tuple(out), sums)
+    return Words(data, first, start, end, tuple(_spell(data, start, end, i) for i in range(hashes)))
 
 
 def prefix_hashes(w: Words, n: int) -> np.ndarray:
     """The hash of each word's first n bytes; a shorter word's is its own hash."""
-    stop = np.minimum(w.start + n, w.end)
-    return mix((w.total[stop] - w.total[w.start]) * _power(BASES[0], len(w.data) + 1, True)[w.start])
+    return _spell(w.data, w.start, np.minimum(w.start + n, w.end), 0)
 
 
 def grams(w: Words, k: int, which: int = 0) -> np.ndarray:
     """The hash of the k words from each position on; see `gram_starts` for where that is meaningful."""
-    h = w.hashes[which]
-    n = len(h) - k + 1
-    if n <= 0:
+    run, step = w.hashes[which], U(_STEPS[1 - which])
+    if len(run) < k:
         return np.zeros(0, dtype=U)
-    base = _GRAM_BASES[which]
-    total = np.zeros(len(h) + 1, dtype=U)
-    np.cumsum(h * _power(base, len(h), False), out=total[1:])
-    return mix((total[k:] - total[:-k]) * _power(base, n, True) + U(k))
+    out, have, span = None, 0, 1
+    while True:  # runs of 1, 2, 4, ... words, of which the binary digits of k say which make up the k words
+        if k & span:
+            n = len(w.hashes[which]) - have - span + 1
+            out = run[have : have + n] if out is None else mix(out[:n] * step + mix(run[have : have + n] + U(have)))
+            have += span
+        if have == k:
+            return mix(out + U(k))
+        run = mix(run[:-span] * step + run[span:])
+        span *= 2
 
 
 def gram_counts(w: Words, k: int) -> np.ndarray:
@@ -160,14 +169,18 @@ def runs(n: np.ndarray) -> np.ndarray:
 
 def shingle_sets(w: Words, k: int = 5) -> list[np.ndarray]:
     """Each document's sorted distinct k-word shingles; a shorter text is one shingle, an empty one none."""
-    g = grams(w, k)
+    by = {k: grams(w, k)}
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
-        if b - a >= k:
-            own = np.sort(g[a : b - k + 1])
-            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
-        elif b > a:
-            out.append(mix(mix(w.hashes[0][a:b]) * _power(_GRAM_BASES[0], b - a, False)).sum(keepdims=True, dtype=U) + U(b - a))
-        else:
-            out.append(np.zeros(0, dtype=U))
+        n = min(b - a, k)
+        if n not in by:
+            by[n] = grams(w, n) if n else np.zeros(0, dtype=U)
+        own = np.sort(by[n][a : b - n + 1]) if n else by[n]
+        out.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if n else own)
     return out
+
+
+def shingles_of(text: str | None, k: int = 5) -> frozenset[tuple[bytes, ...]]:
+    """One text's shingles word by word (A-Z lower-cased), to confirm what hashes suggest."""
+    found = (text or "").encode().lower().split()
+    return frozenset(zip(*(found[i:] for i in range(k)))) if len(found) >= k else frozenset([tuple(found)] if found else [])

@@ -7,14 +7,13 @@ import numpy as np
 import pytest
 
 from ledgerline.llm.attribution import attribute, attribute_tokens
-from ledgerline.llm.components import components
+from ledgerline.operators.graph import connected
 from ledgerline.llm.decontam import contained
 from ledgerline.llm.langid import identify
 from ledgerline.llm.licenses import NOTICES, scan
 from ledgerline.llm.ngram_join import ngram_join
 from ledgerline.llm.packing import encoder, pack, turn_places
-from ledgerline.llm.scratch import Scratch
-from ledgerline.llm.substrings import SubstringIndex, dedup_substrings
+from ledgerline.llm.substrings import SubstringIndex, _keyed, dedup_substrings
 from ledgerline.llm.template_text import extract, main_text
 from ledgerline.llm.topk import top_k
 from ledgerline.llm.toxicity import segments, toxicity
@@ -78,9 +77,64 @@ def test_ngram_join_against_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(up))
 
 
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_cancel_in_power_sums_differ(spark):
+    """The Thue-Morse word and its complement, on which hashes by powers modulo 2**64 agree whatever the base."""
+    one, two = thue_morse(2048)
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"{one} {LONG[:400]}"), (4, f"{two} {LONG[:400]}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join(docs.where("doc_id < 3")).collect()} == {1: 1, 2: 2}
+    words = " ".join(f"w{i}" for i in range(34))
+    pair = spark.createDataFrame([(1, f"{one} {words}"), (2, f"{two} {words}")], "doc_id long, text string")
+    assert {r["n_removed"] for r in dedup_substrings(pair).collect()} == {0}
+    items = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert [r["doc_id"] for r in contained(docs.where("doc_id < 3"), items).collect()] == [1]
+    runs = [" ".join(t) for t in (one, two)]  # the same among words
+    assert {r["n_removed"] for r in dedup_substrings(spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string"), window=1024).collect()} == {brute_dedup(runs, 1024)[0][1]}
+
+
+def test_one_doc_id_on_near_texts_of_different_lengths(spark):
+    """Rows that repeat a doc_id are one document: its links are those of all its rows."""
+    a = [f"a{i}" for i in range(60)]
+    b, c = [f"b{i}" for i in range(90)], [f"c{i}" for i in range(40)]
+    rows = [(1, a), (1, a + ["x"]), (1, b), (2, b + ["y"]), (3, c), (4, c + ["z"]), (5, a[1:] + ["q"]), (6, [*c[:20], "m", *c[21:]])]
+    found = ngram_join(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 1), (6, 6)}
+    assert sorted(r["n_shingles"] for r in found if r["doc_id"] == 1) == [56, 57, 86]
+
+
+def test_a_cluster_over_many_splits(spark, monkeypatch):
+    """With tiny groups one cluster of near copies takes many splits and is still one component."""
+    import ledgerline.llm.ngram_join as module
+
+    monkeypatch.setattr(module, "GROUP", 300)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        own[int(rng.integers(0, 80))] = f"x{i}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"o{i}_{j}" for j in range(50)) for i in range(5)] + [" ".join([*base[:40], *[f"p{i}_{j}" for j in range(40)]]) for i in range(5)]
+    sets = [sets_of(t) for t in texts]
+    wanted = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and wanted[i] != wanted[j]:
+                low, high = sorted((wanted[i], wanted[j]))
+                wanted = [low if x == high else x for x in wanted]
+    found = ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(wanted))
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
-    found = components(spark.createDataFrame(rows, "a long, b long"), Scratch(spark, "test")).collect()
+    found = connected(spark.createDataFrame(rows, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in found} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
@@ -119,6 +173,34 @@ def test_substring_index_compacts(spark):
     assert {r["k1"] for r in index.candidates().collect()} == {0, 4}
 
 
+def test_substring_index_outlives_its_session(spark, tmp_path):
+    """Two sessions append, the second opens what the first wrote, meets its history, and compacts."""
+    at = f"file://{tmp_path}/index"
+    index = SubstringIndex.open(spark, at, window=4, fan_in=2)
+    days = [[(1, "a b c d e"), (2, "v w x y z")], [(3, "q a b c d"), (4, "k l m n o")], [(5, "v w x y q"), (6, "r s t u")]]
+    for day in days[:2]:
+        index.append(spark.createDataFrame(day, "doc_id long, text string"))
+    index.close()
+    assert index.made == 2 and not any(spark.catalog.tableExists(x) for x in index.runs)
+    again = SubstringIndex.open(spark.newSession(), at, window=4, fan_in=2)
+    assert again.runs == index.runs
+    again.append(spark.createDataFrame(days[2], "doc_id long, text string"))
+    assert len(again.runs) == 1 and again.made == 4
+    assert {r["k1"] for r in again.candidates().collect()} == {1, 2, 3, 5}
+    every = [row for day in days for row in day]
+    keyed = _keyed(spark.createDataFrame(every, "doc_id long, text string")).select("k1", "k2", "text")
+    assert {r["k1"]: [(s["start"], s["n"]) for s in r["spans"]] for r in again.spans(keyed).collect()} == {1: [(0, 1)], 3: [(1, 1)], 2: [(0, 1)], 5: [(0, 1)]}
+    again.close()
+    with pytest.raises(ValueError):
+        SubstringIndex.open(spark, at, window=5)
+
+
+def test_dedup_leaves_no_tables(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    dedup_substrings(spark.createDataFrame([(1, LONG), (2, LONG)], "doc_id long, text string")).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_packing_edges(docs, empty):
     assert pack(empty).collect() == []
     rows = pack(docs).collect()
@@ -142,7 +224,17 @@ def test_turns_follow_the_deficits(weights):
 
 def test_encoder_is_the_plain_encoding():
     for t in (*[t for t in TEXTS[1:6]], TEXTS[-1], "a  b   c \n d's it's I'll 12 3, 4. ", "<|endoftext|> x", " lead", "trail "):
-        assert encoder().encode(t) == encoder().whole(t)
+        assert encoder().plain(t) == encoder().whole(t)
+
+
+def test_added_tokens_have_their_own_id():
+    """As `tokenizers` does by default."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  c", "<|endoftext| >", "  <|endoftext|>\n\n z", "plain"):
+        assert np.frombuffer(encoder().encode(t), "<u4").tolist() == tool.encode(t, add_special_tokens=False).ids
 
 
 def test_attribution(docs, empty, spark):

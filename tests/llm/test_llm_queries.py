@@ -20,7 +20,6 @@ def test_packing_round_trip(spark, data):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     ids = {r["doc_id"]: np.array(tool.encode(r["text"] or "", add_special_tokens=False).ids + [1], dtype="<u4") for r in docs}
     rows = queries.op1_packing(spark, data).collect()
