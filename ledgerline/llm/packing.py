@@ -4,16 +4,21 @@ Every source is a queue: its documents' token ids end to end, each document clos
 `quantum` tokens. In each round a queue's deficit grows by its weight, and it is served when that reaches the middle of its next
 turn; a deficit that is not spent is carried on, through sequences and partitions alike. Turn j of a queue with weight w therefore
 falls due at round (2j + 1) / 2w. Because that is a closed form, the place of any turn in the whole stream is the number of turns of all
-queues that fall due before it (ties: in order of the queues). Each partition computes its own turns' places from the queues' totals, so
-the carried deficits are exact across partitions although nothing runs one after another. What a queue holds beyond whole turns (less than a
-turn) comes at the end of the stream, queue after queue.
+queues that fall due before it (ties: heavier queues first, then longer ones, then by a hash and the name). Each partition computes its own turns' places
+from the queues' totals, so the carried deficits are exact across partitions although nothing runs one after another. What a queue holds beyond whole
+turns (less than a turn) comes at the end of the stream, queue after queue.
+
+Every source has a queue of its own, however many there are. Weights are whole numbers that add up to about 2**20, so at most some 1,500 of them
+are distinct, and queues of one weight are alike but for their lengths: tasks get one table of (weight, turns, number of
+such queues), of at most 2**21 + tokens / (2**20 turns) rows, and count turns weight by weight. A source's own weight, turns and rank reach its
+documents by a join.
 
 The stream is cut every `length` tokens: all sequences but the last are full, so nothing is padded but the last.
-At any point each queue's tokens differ from its share by less than one turn plus rounding of the weights (one part in 2**20).
+After any number of rounds each queue has had its weight in tokens to within one turn, plus rounding of the weights (one part in 2**20);
+of the tokens so far it has its share to within one turn and its share of half a turn of every queue.
 
 Weights: by default the queues' own token counts, the one mixture that lasts until all documents are packed; or
-`weights`, after which queues that run out leave their share to the others. Queues are the `queues - 1` sources with the most
-tokens and one for all others, so the table of queues that every task gets is bounded.
+`weights`, after which queues that run out leave their share to the others.
 
 Work: one pass encodes texts and writes the ids with running totals per task and source; the totals (tasks x sources) give each
 row's place in its queue; a second pass cuts pieces. Ids are never shuffled unless those totals outgrow a broadcast.
@@ -29,6 +34,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -131,32 +137,52 @@ def unpack_ids(body: bytes) -> np.ndarray:
     return np.frombuffer(body, dtype="<u2").astype("<u4") if len(body) % 2 == 0 else np.frombuffer(body[1:], dtype="<u4")
 
 
-def turn_places(queue: np.ndarray, turns: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How many turns, of all queues, come before turn turns[i] of queue[i].
+class Turns:
+    """How many turns, of all queues, come before a given one; from (weight, turns, number of queues with both)."""
+
+    def __init__(self, weights: np.ndarray, turns: np.ndarray, queues: np.ndarray):
+        self.total = int((turns * queues).sum())
+        self.by: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for weight in np.unique(weights)[::-1].tolist():
+            own = weights == weight
+            order = np.argsort(turns[own])
+            n, many = turns[own][order], queues[own][order]
+            self.by.append((weight, n, np.concatenate(([0], np.cumsum(many))), np.concatenate(([0], np.cumsum(n * many)))))
+
+    def before(self, weight: np.ndarray, turn: np.ndarray, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """For turn `turn` of a queue of this weight and `length` turns, the rank-th (from 0) of those that share both."""
+        out = np.zeros(len(turn), dtype=np.int64)
+        for v, n, many, sums in self.by:
+            # Turns i of a queue of weight v that are due before: (2i + 1) / v < (2j + 1) / w; heavier queues also if equal.
+            reach, left = np.divmod((2 * turn + 1) * v, weight)
+            x = (reach + 1) // 2 - ((v <= weight) & (left == 0) & (reach % 2 == 1))
+            at = np.searchsorted(n, x, side="right")
+            out += sums[at] + x * (many[-1] - many[at])
+            own = v == weight  # of queues of the same weight, the longer ones take the same turn before
+            out[own] += many[-1] - many[np.searchsorted(n, length[own], side="right")] + rank[own]
+        return out
+
 
-    weights: positive integers of at most 2**20; counts: whole turns of each queue. Turn j is due at (2j + 1) / 2w.
-    """
-    out = np.zeros(len(turns), dtype=np.int64)
-    step = max(1, (1 << 20) // len(weights))
-    for at in range(0, len(turns), step):
-        own = queue[at : at + step, None]
-        # Turns i of another queue with (2i + 1) / w' < due / w, or equal and of an earlier queue.
-        reach, left = np.divmod((2 * turns[at : at + step, None] + 1) * weights[None, :], weights[own])
-        later = (np.arange(len(weights))[None, :] >= own) & (left == 0) & (reach % 2 == 1)
-        out[at : at + step] = np.minimum((reach + 1) // 2 - later, np.maximum(counts[None, :], 0)).sum(axis=1)
-    return out
-
-
-def cut_pieces(start: np.ndarray, n: np.ndarray, queue: np.ndarray, weights: np.ndarray, counts: np.ndarray, tails: np.ndarray, quantum: int, length: int) -> tuple[np.ndarray, ...]:
+class Queue(NamedTuple):
+    """For each document its queue's weight, whole turns, rank among queues with both, and where the queue's end comes."""
+
+    weight: np.ndarray
+    turns: np.ndarray
+    rank: np.ndarray
+    tail: np.ndarray
+
+
+def cut_pieces(start: np.ndarray, n: np.ndarray, queue: Queue, turns: Turns, quantum: int, length: int) -> tuple[np.ndarray, ...]:
     """(document, start within it, length, place in the stream) of the pieces of documents of n tokens at `start` of their queues."""
     first = start // quantum
     m = (start + n - 1) // quantum - first + 1
     doc = np.repeat(np.arange(len(n)), m)
     turn = first[doc] + runs(m)
     low, high = np.maximum(turn * quantum, start[doc]), np.minimum((turn + 1) * quantum, (start + n)[doc])
-    whole = turn < counts[queue[doc]]
-    place = int(counts.sum()) * quantum + tails[queue[doc]] + low - turn * quantum
-    place[whole] = turn_places(queue[doc][whole], turn[whole], weights, counts) * quantum + (low - turn * quantum)[whole]
+    whole = turn < queue.turns[doc]
+    place = turns.total * quantum + queue.tail[doc] + low - turn * quantum
+    own = doc[whole]
+    place[whole] = turns.before(queue.weight[own], turn[whole], queue.turns[own], queue.rank[own]) * quantum + (low - turn * quantum)[whole]
     size = high - low
     # Only the ends of the queues can lie across a sequence's edge, and across one at most.
     over = np.flatnonzero(place // length != (place + size - 1) // length)
@@ -169,14 +195,14 @@ def cut_pieces(start: np.ndarray, n: np.ndarray, queue: np.ndarray, weights: np.
     return doc, low - start[doc], size, place
 
 
-def _pieces(weights: np.ndarray, counts: np.ndarray, tails: np.ndarray, quantum: int, length: int):
+def _pieces(turns: Turns, quantum: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 raw = [unpack_ids(x.as_py()).tobytes() for x in batch.column("ids")]
                 n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-                doc, start, size, place = cut_pieces(batch.column("at").to_numpy(), n, batch.column("queue").to_numpy().astype(np.int64), weights, counts, tails, quantum, length)
+                doc, start, size, place = cut_pieces(batch.column("at").to_numpy(), n, Queue(*(batch.column(c).to_numpy() for c in Queue._fields)), turns, quantum, length)
                 views = [memoryview(x) for x in raw]
                 sums = [zlib.crc32(views[d][4 * x : 4 * (x + y)]) for d, x, y in zip(doc.tolist(), start.tolist(), size.tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -186,7 +212,7 @@ def _pieces(weights: np.ndarray, counts: np.ndarray, tails: np.ndarray, quantum:
     return run
 
 
-def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, length: int = 2048, quantum: int = 128, end: int = 1, queues: int = 1024, ranks: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, length: int = 2048, quantum: int = 128, end: int = 1, ranks: str | None = None) -> DataFrame:
     """Pack all documents (doc_id, source, text); one row per piece.
 
     doc_id, start (the document's ids before the piece), length, ids_crc32 (of its ids as little-endian unsigned
@@ -200,23 +226,44 @@ def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, length: in
     texts = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
     coded = scratch.keep(texts.mapInArrow(thrifty(_encode(end, ranks)), "doc_id long, source string, task int, place long, n long, ids binary"), "ids")
 
-    totals = coded.groupBy("source", "task").agg(F.sum("n").alias("n"))
-    # The largest sources, at most queues - 1 of them, get queues of their own; rank -1 is all the rest.
-    sums = totals.groupBy("source").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(queues - 1).collect()
-    rest = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] - sum(r["n"] for r in top)
-    tokens = np.array([r["n"] for r in top] + ([rest] if rest else []), dtype=np.int64)
-    if not len(tokens):
-        tokens = np.array([1], dtype=np.int64)
-    share = tokens.astype(float) if weights is None else np.array([max(float(weights.get(r["source"], 0.0)), 0.0) for r in top] + ([float(weights.get("", 0.0))] if rest else []) or [1.0])
-    parts = np.maximum(np.rint(share / max(share.sum(), 1e-300) * (1 << 20)), 1).astype(np.int64)
-    counts = tokens // quantum
-    tails = np.concatenate(([0], np.cumsum(tokens % quantum)[:-1]))
-
-    names = spark.createDataFrame([(r["source"], i) for i, r in enumerate(top)], "source string, queue int")
-    named = totals.join(F.broadcast(names), totals["source"].eqNullSafe(names["source"]), "left").select(totals["source"], "task", "n", F.coalesce("queue", F.lit(len(top))).alias("queue"))
-    order = Window.partitionBy("queue").orderBy("task", F.asc_nulls_first("source")).rowsBetween(Window.unboundedPreceding, -1)
-    places = scratch.keep(named.select("source", "task", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "places")
+    totals = scratch.keep(coded.groupBy("source", "task").agg(F.sum("n").alias("n")), "totals")
+    queues = scratch.keep(_queues(totals, weights, quantum), "queues")
+    alike = queues.where("turns > 0").groupBy("weight", "turns").agg(F.count("*").alias("queues")).toPandas()
+    turns = spark.sparkContext.broadcast(Turns(*(alike[c].to_numpy(dtype=np.int64) for c in ("weight", "turns", "queues"))))
+    before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("source", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    places = scratch.keep(_with(base, queues, "weight", "turns", "rank", "tail"), "places")
     met = coded.join(places, coded["source"].eqNullSafe(places["source"]) & (coded["task"] == places["task"]))
-    return met.select("doc_id", (F.col("place") + F.col("base")).alias("at"), "queue", "ids").mapInArrow(
-        thrifty(_pieces(parts, counts, tails, quantum, length)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pieces(turns.value, quantum, length)(batches)
+
+    return met.select("doc_id", (F.col("place") + F.col("base")).alias("at"), *Queue._fields, "ids").mapInArrow(
+        thrifty(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+
+def _with(rows: DataFrame, queues: DataFrame, *columns: str) -> DataFrame:
+    """`rows` with columns of their source's queue; a null source is a source."""
+    return rows.join(queues.select(F.col("source").alias("own"), *columns), F.col("source").eqNullSafe(F.col("own"))).drop("own")
+
+
+def _queues(totals: DataFrame, weights: Mapping[str, float] | None, quantum: int) -> DataFrame:
+    """source, weight, turns, rank (among queues with equal weight and turns), tail (of the ends of queues, those before its own)."""
+    sums = totals.groupBy("source").agg(F.sum("n").alias("n"))
+    if weights is None:
+        shares = sums.withColumn("share", F.col("n").cast("double"))
+    else:
+        given = totals.sparkSession.createDataFrame([(k, max(float(v), 0.0)) for k, v in weights.items()] or [("", 0.0)], "name string, share double")
+        shares = sums.join(given, F.col("source").eqNullSafe(F.col("name")), "left").select("source", "n", F.coalesce("share", F.lit(0.0)).alias("share"))
+    every = shares.agg(F.sum("share")).first()[0] or 1.0
+    weight = F.greatest(F.rint(F.col("share") / every * (1 << 20)), F.lit(1.0)).cast("long")
+    own = shares.select("source", weight.alias("weight"), F.floor(F.col("n") / quantum).alias("turns"), (F.col("n") % quantum).alias("rest"), F.pmod(F.xxhash64("source"), F.lit(256)).alias("part"))
+    # Ranks and sums over all queues: within a part by a window, and the parts before it by another over at most 256 rows.
+    by_name = F.asc_nulls_first("source")
+    each = Window.partitionBy("weight", "turns", "part").orderBy(by_name)
+    parts = own.groupBy("weight", "turns", "part").agg(F.count("*").alias("many"))
+    earlier = parts.select("weight", "turns", "part", F.coalesce(F.sum("many").over(Window.partitionBy("weight", "turns").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    ends = own.groupBy("part").agg(F.sum("rest").alias("rest")).select("part", F.coalesce(F.sum("rest").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ends"))
+    inner = F.coalesce(F.sum("rest").over(Window.partitionBy("part").orderBy(by_name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = own.withColumns({"row": F.row_number().over(each), "inner": inner})
+    return ranked.join(earlier, ["weight", "turns", "part"]).join(F.broadcast(ends), "part").select("source", "weight", "turns", (F.col("row") - 1 + F.col("earlier")).cast("long").alias("rank"), (F.col("inner") + F.col("ends")).alias("tail"))

@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from ledgerline.llm.decontam import contained
 from ledgerline.llm.langid import identify
 from ledgerline.llm.licenses import NOTICES, scan
 from ledgerline.llm.ngram_join import ngram_join
-from ledgerline.llm.packing import encoder, pack, turn_places
+from ledgerline.llm.packing import Turns, encoder, pack
 from ledgerline.llm.substrings import SubstringIndex, _keyed, dedup_substrings
 from ledgerline.llm.template_text import extract, main_text
 from ledgerline.llm.topk import top_k
@@ -212,14 +213,43 @@ def test_packing_edges(docs, empty):
     assert all(n == 2048 for s, n in tokens.items() if s != max(tokens))
 
 
-@pytest.mark.parametrize("weights", [[3, 1], [5, 5, 1], [1 << 20, 1]])
+@pytest.mark.parametrize("weights", [[3, 1], [5, 5, 1], [1 << 20, 1], [2, 2, 2, 6, 1, 1, 3]])
 def test_turns_follow_the_deficits(weights):
     """The closed form against serving the queues one turn at a time, earliest due first."""
-    weights, counts = np.array(weights), np.array([9, 7, 4][: len(weights)])
-    due = sorted(((2 * j + 1) / (2 * w), q, j) for q, w in enumerate(weights.tolist()) for j in range(counts[q]))
-    order = {(q, j): at for at, (_, q, j) in enumerate(due)}
-    queue, turn = np.array([q for q, _ in order]), np.array([j for _, j in order])
-    assert turn_places(queue, turn, weights, counts).tolist() == list(order.values())
+    counts = [9, 7, 4, 12, 4, 4, 1][: len(weights)]
+    queues = sorted(range(len(weights)), key=lambda q: (-weights[q], -counts[q], q))
+    due = sorted((Fraction(2 * j + 1, 2 * weights[q]), queues.index(q), q, j) for q in queues for j in range(counts[q]))
+    alike = Counter(zip(weights, counts))
+    turns = Turns(*(np.array(x) for x in ([w for w, _ in alike], [c for _, c in alike], list(alike.values()))))
+    rank = [sum((weights[p], counts[p]) == (weights[q], counts[q]) for p in range(q)) for q in range(len(weights))]
+    found = turns.before(*(np.array(x) for x in ([weights[q] for *_, q, _ in due], [j for *_, j in due], [counts[q] for *_, q, _ in due], [rank[q] for *_, q, _ in due])))
+    assert turns.total == len(due) and found.tolist() == list(range(len(due)))
+
+
+@pytest.mark.parametrize("weights", [None, {"s3": 5.0, "s7": 1.0, "hot": 1.0}])
+def test_every_source_keeps_its_proportion(spark, weights):
+    """Some hundred sources, one with a third of all: at every edge of a sequence each is as near to its share as turns of 128 allow."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f"s{i % 100}" if i % 3 else "hot", " ".join(["token"] * int(rng.integers(50, 400)))) for i in range(1500)] + [(9999, None, "end")]
+    found = pack(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7), weights).collect()
+    source = {i: x for i, x, _ in rows}
+    sums = Counter()
+    for r in found:
+        sums[source[r["doc_id"]]] += r["length"]
+    if weights is not None:
+        sums = {k: v for k, v in sums.items() if k in weights}
+        last = min(sum(sums.values()), *(int(v * 7 / weights[k]) for k, v in sums.items())) // 2048 // 2
+    else:
+        last = sum(sums.values()) // 2048 - 10
+    place = sorted((r["sequence_id"] * 2048 + r["offset"], r["length"], source[r["doc_id"]]) for r in found)
+    assert all(a + n == b for (a, n, _), (b, _, _) in zip(place, place[1:]))
+    share = {k: (weights[k] / 7 if weights else v / sum(sums.values())) for k, v in sums.items()}
+    seen, done = Counter(), 0
+    for at, n, name in place:
+        seen[name] += n
+        done = at + n
+        if done % 2048 == 0 and done // 2048 <= last:
+            assert all(abs(seen[k] - share[k] * done) <= 128 + share[k] * 64 * len(share) + 1e-3 * done for k in share), (done, seen)
 
 
 def test_encoder_is_the_plain_encoding():
