@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm.attribution import attribute, attribute_tokens
 from ledgerline.operators.graph import connected
@@ -16,7 +17,7 @@ from ledgerline.llm.ngram_join import ngram_join
 from ledgerline.llm.packing import Turns, encoder, pack
 from ledgerline.llm.substrings import SubstringIndex, _keyed, dedup_substrings
 from ledgerline.llm.template_text import extract, main_text
-from ledgerline.llm.topk import top_k
+from ledgerline.llm.topk import block_of, digits, possible, top_k
 from ledgerline.llm.toxicity import segments, toxicity
 
 #: Columns that clash with names the operators use themselves.
@@ -347,6 +348,46 @@ def test_top_k_edges(spark):
     assert top_k(df.where("false"), df.where("false")).collect() == []
 
 
+def brute_top(rows, queries, k):
+    """Plain Python: (query, rank, vec_id, score) of every query row."""
+    from fractions import Fraction
+    from math import floor
+
+    v = [(i, [floor(64 * Fraction(e)) for e in x]) for i, x in rows]
+    hold = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    out = []
+    for i, x in ((i, x) for i, x in v if i in queries):
+        wanted = sorted((-hold(sum(a * b for a, b in zip(x, y))), j) for j, y in v if j != i and len(y) == len(x))[:k]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(wanted)]
+    return sorted(out)
+
+
+def test_top_k_with_large_components_and_repeated_rows(spark, monkeypatch):
+    import ledgerline.llm.topk as module
+
+    monkeypatch.setattr(module, "ROUND", 400)
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0, 1.0]), (1, [2e6, 0.0]), (2, [1.0, 0.0]), (3, [1e7, -1e7]), (4, [1e200, 1e-5]), (5, [-1e308, 1.7e308]), (6, []), (7, []), (8, [-0.01, 0.01]), (8, [-0.01, 0.01])]
+    rows += [(20, [3.0, -1.0]), (20, [0.5, 9.0]), (40, [4e6, 3.0])] + [(50 + i, rng.normal(size=2).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = {0, 4, 6, 20, 40, 55}
+    found = top_k(df, df.where(F.col("vec_id").isin(*asked)), k=4, rows=7).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == brute_top(rows, asked, 4)
+
+
+def test_few_segments_prove_the_rest_out():
+    """On skewed components the bounds stop long before all segments are added, and never lose a member."""
+    rng = np.random.default_rng(2)
+    v = np.rint(rng.standard_t(3, size=(16, 5000)) * 20).astype(np.int64)
+    block = block_of(np.arange(5000), digits(v))
+    for i in range(20):
+        q = v[:, i]
+        here = possible(block, q, np.array([i]), 5, -np.inf)
+        scores = q @ v
+        scores[i] = -(1 << 40)
+        assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(here.tolist()) and len(here) <= 5000 // 64
+
+
 def test_html_edges(spark):
     assert main_text(None) == "" and main_text("") == "" and main_text("plain &amp; simple") == "plain & simple"
     assert main_text("<nav>menu</nav><article><h1>T</h1><p>a <b>b</b>\n c<p>d<script>x</script></article><footer>f</footer>") == "T a b c d"
@@ -363,7 +404,5 @@ def test_template_separates_repeated_text(spark):
 
 
 def test_kept_sha_of_nothing(spark):
-    from pyspark.sql import functions as F
-
     row = dedup_substrings(spark.createDataFrame([(1, None)], "doc_id long, text string")).select(F.sha2("kept_text", 256)).first()[0]
     assert row == hashlib.sha256(b"").hexdigest()
