@@ -5,14 +5,17 @@ A template is found in a document if the document has at least `percent` of the
 Templates are partitioned by size: class c holds those of up to 2**c shingles and more than half of that. Documents are covered by windows of
 2 x 2**c shingles that start every 2**c, so a text as long as the template lies whole in one window, which is at most four
 times as large. Containment 0.8 is then a Jaccard similarity of at least 0.19, and with `bands` = 48 bands of one row the chance that no
-band collides is 0.81**48 = 4e-5 (1e-6 for an unchanged template). Bands are computed for windows that share a shingle with
-some template; no other window can collide. Each collision is verified over the whole document.
+band collides is 0.81**48 = 4e-5 (1e-6 for an unchanged template). Each collision is verified over the whole document.
 
-Templates are a parameter with a checked bound (`MOST` shingles in all), so they are literals of the plan and
-broadcast as bands; documents are scanned once and never shuffled for the search.
+Bands are computed for windows that may share a shingle with some template, which a bitmap of the templates' shingles tells (two bits
+each, without false negatives); no other window can collide. The bitmap is the only part of the templates in the plan, at most
+2**22 bits, whatever their number; their bands and shingles are broadcast only below a checked size and joined by a shuffle beyond it.
 
-Rows: null or empty texts match nothing, nor do templates below five words. Repeated documents are reported each. An empty table gives
-an empty result.
+Templates are `NOTICES` (short notices made by a rule from license names, notices for file headers, and full texts of short
+licenses) or any other: pairs of name and text, or a table (license, text).
+
+Rows: null or empty texts match nothing, nor do templates below five words. Repeated documents are reported each, a template that is given
+twice once. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,22 +25,108 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The most shingles that all templates may have together.
-MOST = 50_000
-
-# The license notices that are looked for.
-NOTICES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("mit", "Released under the MIT License."),
-    ("mit-header", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
+from ledgerline.shared import Scratch, small
+
+# Names of licenses as notices print them.
+NAMES = (
+    ("mit", "the MIT License"),
+    ("apache-2.0", "the Apache License, Version 2.0"),
+    ("gpl-2.0", "the GNU General Public License, version 2"),
+    ("gpl-3.0", "the GNU General Public License, version 3"),
+    ("lgpl-2.1", "the GNU Lesser General Public License, version 2.1"),
+    ("lgpl-3.0", "the GNU Lesser General Public License, version 3"),
+    ("agpl-3.0", "the GNU Affero General Public License, version 3"),
+    ("mpl-2.0", "the Mozilla Public License, version 2.0"),
+    ("bsd-3-clause", "the BSD 3-Clause License"),
+    ("bsd-2-clause", "the BSD 2-Clause License"),
+    ("isc", "the ISC License"),
+    ("epl-2.0", "the Eclipse Public License, version 2.0"),
+    ("cc0-1.0", "CC0 1.0 Universal"),
+    ("cc-by-4.0", "CC BY 4.0"),
+    ("cc-by-sa-4.0", "CC BY-SA 4.0"),
+    ("cc-by-nc-4.0", "CC BY-NC 4.0"),
+    ("cc-by-nd-4.0", "CC BY-ND 4.0"),
+    ("cc-by-nc-sa-4.0", "CC BY-NC-SA 4.0"),
+    ("cc-by-4.0", "a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
+)
+# How notices begin.
+FORMS = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This project is licensed under")
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(kind: str, version: str) -> str:
+    """The notice that the GNU licenses ask to be put into each file."""
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software "
+        f"Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        f"GNU {kind} for more details."
+    )
+
+
+# Public license wording.
+TEXTS = (
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+     "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+     "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS
+     + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+     "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+     "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD "
+     "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+     "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE "
+     "OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd-2-clause", _BSD + _BSD_END),
+    ("bsd-3-clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+     "this software without specific prior written permission. " + _BSD_END),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+     "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+     "redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you "
+     "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+     "required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may "
+     "not be removed or altered from any source distribution."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+     "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that "
+     "recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain."),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+     "this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, "
+     "and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a "
+     "copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the "
+     "License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
+     "language governing permissions and limitations under the License."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+     "obtain one at http://mozilla.org/MPL/2.0/."),
+    ("gpl-2.0", _gnu("General Public License", "2")),
+    ("gpl-3.0", _gnu("General Public License", "3")),
+    ("lgpl-3.0", _gnu("Lesser General Public License", "3")),
+    ("agpl-3.0", _gnu("Affero General Public License", "3")),
 )
+#: (license, text) of all templates.
+NOTICES = tuple((license, f"{form} {name}{stop}") for license, name in NAMES for form in FORMS for stop in (".", "")) + TEXTS
 
 _SPACES = " \t\n\x0b\f\r"
+#: Most bits of the bitmap of shingles.
+BITS = 1 << 22
 
 
 def shingles(text: Column, k: int = 5) -> Column:
@@ -48,37 +137,60 @@ def shingles(text: Column, k: int = 5) -> Column:
     return F.get(each, F.lit(0))
 
 
-def scan(docs: DataFrame, templates: Iterable[tuple[str, str]] = NOTICES, percent: int = 80, k: int = 5, bands: int = 48) -> DataFrame:
+def _bitmap(own: DataFrame) -> tuple[Column, int]:
+    """The bitmap of the shingles in `own` (h) as an array of longs, and how many bits it has."""
+    spark = own.sparkSession
+    bits = 1 << 12
+    while bits < min(BITS, 128 * own.count()):
+        bits *= 2
+    both = own.select(F.explode(F.array(*_bits(F.col("h"), bits))).alias("bit"))
+    words = both.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("word"))
+    found = {r["at"]: r["word"] for r in words.collect()}  # at most BITS / 64 rows
+    text = ",".join(str(found.get(i, 0)) for i in range(bits // 64))
+    return F.split(F.lit(text), ",").cast("array<bigint>"), bits
+
+
+def _bits(h: Column, bits: int) -> tuple[Column, Column]:
+    """The two bits that a shingle sets: from its lower and from its upper half."""
+    return h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(bits - 1))
+
+
+def scan(docs: DataFrame, templates: DataFrame | Iterable[tuple[str, str]] = NOTICES, percent: int = 80, k: int = 5, bands: int = 48) -> DataFrame:
     """doc_id, license, n_template (the template's shingles), n_shared for each template that a row of `docs` (doc_id, text) contains."""
     spark = docs.sparkSession
-    known = spark.createDataFrame(list(templates), "license string, text string").select("license", F.array_distinct(shingles(F.col("text"), k)).alias("own")).where(F.size("own") > 0).collect()
-    if sum(len(r["own"]) for r in known) > MOST:
-        raise ValueError(f"templates have more than {MOST} shingles")
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(list(templates), "license string, text string")
+    distinct = templates.select(F.col("license").cast("string"), F.col("text").cast("string")).distinct()
+    named = distinct.select(F.xxhash64("license", "text").alias("template"), "license", F.array_distinct(shingles(F.col("text"), k)).alias("own")).where(F.size("own") > 0)
+    table = Scratch(spark, "licenses").keep(named.withColumn("size", F.expr("int(power(2, length(bin(size(own) - 1)) - if(size(own) = 1, 1, 0)))")), "templates")
+    facts = table.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.size("own")).alias("shingles")).collect()
     out = "doc_id long, license string, n_template long, n_shared long"
-    if not known:
+    if not facts:
         return spark.createDataFrame([], out)
-    sizes = {r["license"]: 1 << max((len(r["own"]) - 1).bit_length(), 0) for r in known}
-    every = F.array(*[F.lit(h) for h in sorted({h for r in known for h in r["own"]})])
-    table = spark.createDataFrame([(r["license"], sizes[r["license"]], r["own"]) for r in known], "license string, size int, own array<bigint>")
+    sizes, number, total = sorted(r["size"] for r in facts), sum(r["n"] for r in facts), sum(r["shingles"] for r in facts)
+    bitmap, bits = _bitmap(table.select(F.explode("own").alias("h")))
+
+    def known(h: Column) -> Column:
+        one, two = (F.getbit(F.get(bitmap, F.shiftright(x, 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1 for x in _bits(h, bits))
+        return one & two
 
     def signature(window: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda i: F.array_min(F.transform(window, lambda h: F.xxhash64(h, i))))
 
-    filed = table.select("license", "size", F.posexplode(signature(F.col("own"))).alias("band", "value"))
+    filed = table.select("template", "size", F.posexplode(signature(F.col("own"))).alias("band", "value"))
 
     # Evaluated once for each document: the generator keeps the shingles from being computed again for each use.
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(shingles(F.col("text"), k))).alias("doc"))
-    near = hashed.where(F.arrays_overlap("doc", every)).withColumn("row", F.monotonically_increasing_id())
+    near = hashed.where(F.exists("doc", known)).withColumn("row", F.monotonically_increasing_id())
 
     def cut(size: int) -> Column:
-        """The document's windows of one class that share a shingle with some template."""
+        """The document's windows of one class that may share a shingle with some template."""
         window = lambda at: F.slice(F.col("doc"), at + 1, F.lit(2 * size))
-        starts = F.filter(F.sequence(F.lit(0), F.size("doc") - 1, F.lit(size)), lambda at: F.arrays_overlap(window(at), every))
+        starts = F.filter(F.sequence(F.lit(0), F.size("doc") - 1, F.lit(size)), lambda at: F.exists(window(at), known))
         return F.transform(starts, lambda at: F.struct(F.lit(size).alias("size"), window(at).alias("window")))
 
-    per_size = [cut(size) for size in sorted(set(sizes.values()))]
-    windows = near.select("row", "doc_id", "doc", F.explode(F.flatten(F.array(*per_size))).alias("w"))
+    windows = near.select("row", "doc_id", "doc", F.explode(F.flatten(F.array(*map(cut, sizes)))).alias("w"))
     banded = windows.select("row", "doc_id", "doc", F.col("w.size").alias("size"), F.posexplode(signature(F.col("w.window"))).alias("band", "value"))
-    met = banded.join(F.broadcast(filed), ["size", "band", "value"]).select("row", "doc_id", "doc", "license").dropDuplicates(["row", "license"])
-    shared = met.join(F.broadcast(table), "license").select("doc_id", "license", F.size("own").cast("long").alias("n_template"), F.size(F.array_intersect("doc", "own")).cast("long").alias("n_shared"))
+    met = banded.join(small(filed, number * bands, 40), ["size", "band", "value"]).select("row", "doc_id", "doc", "template").dropDuplicates(["row", "template"])
+    shared = met.join(small(table, total + 8 * number, 8), "template").select("doc_id", "license", F.size("own").cast("long").alias("n_template"), F.size(F.array_intersect("doc", "own")).cast("long").alias("n_shared"))
     return shared.where(F.col("n_shared") * 100 >= F.col("n_template") * percent)

@@ -12,7 +12,8 @@ from ledgerline.llm.attribution import attribute, attribute_tokens
 from ledgerline.operators.graph import connected
 from ledgerline.llm.decontam import contained
 from ledgerline.llm.langid import identify
-from ledgerline.llm.licenses import NOTICES, scan
+from ledgerline.llm.licenses import TEXTS as LICENSES
+from ledgerline.llm.licenses import scan
 from ledgerline.llm.ngram_join import ngram_join
 from ledgerline.llm.packing import Turns, encoder, pack
 from ledgerline.llm.substrings import SubstringIndex, _keyed, dedup_substrings
@@ -303,10 +304,32 @@ def test_contained_at_the_threshold(spark):
 
 
 def test_licenses(docs, empty, spark):
-    assert scan(empty).collect() == [] and scan(docs).collect() == []
-    text = dict(NOTICES)["gpl-header"]
-    rows = spark.createDataFrame([(1, LONG + " " + text.upper().replace(" ", " \n") + " " + LONG), (1, text), (2, text[: len(text) // 2])], "doc_id long, text string")
-    assert Counter((r["doc_id"], r["license"]) for r in scan(rows).collect()) == Counter({(1, "gpl-header"): 2})
+    assert scan(empty).collect() == [] and scan(docs).collect() == [] and scan(docs, []).collect() == []
+    text = dict(LICENSES)["gpl-3.0"]
+    rows = spark.createDataFrame([(1, LONG + " " + text.upper().replace(" ", " \n") + " " + LONG), (1, text), (2, text[: len(text) // 2]), (3, "It is released under the MIT License and more."), (4, "Released under the MIT License.")], "doc_id long, text string")
+    found = Counter((r["doc_id"], r["license"]) for r in scan(rows).collect())
+    assert found[1, "gpl-3.0"] == 2 and {d for d, _ in found} == {1, 3, 4}
+    table = spark.createDataFrame([("own", "one two three four five six"), ("own", "one two three four five six"), (None, None)], "license string, text string")
+    assert [r["license"] for r in scan(spark.createDataFrame([(9, "zero one two three four five six")], "doc_id long, text string"), table).collect()] == ["own"]
+
+
+def test_license_recall_on_edited_texts(spark):
+    """Full texts with some words replaced, dropped or added, in longer documents: all that contain 80 % are found."""
+    rng = np.random.default_rng(6)
+    rows, wanted = [], set()
+    sets = {text: sets_of(text.lower()) for _, text in LICENSES}
+    for i in range(300):
+        license, text = LICENSES[i % len(LICENSES)]
+        own = [w for w in text.split() if rng.random() > 0.01]
+        for at in rng.integers(0, len(own), int(rng.integers(0, 6))).tolist():
+            own[at] = f"edit{at}"
+        filler = [f"f{x}" for x in rng.integers(0, 500, int(rng.integers(0, 300)))]
+        cut = int(rng.integers(0, len(filler) + 1))
+        rows.append((i, " ".join(filler[:cut] + own + filler[cut:])))
+        have = sets_of(rows[-1][1].lower())
+        wanted |= {(i, name, len(s)) for (name, t), s in ((x, sets[x[1]]) for x in LICENSES) if 100 * len(have & s) >= 80 * len(s)}
+    found = {(r["doc_id"], r["license"], r["n_template"]) for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), LICENSES).collect()}
+    assert len(wanted) > 200 and found <= wanted and len(found) >= 0.995 * len(wanted)
 
 
 def test_segments_against_brute_force():
