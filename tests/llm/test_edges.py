@@ -17,7 +17,7 @@ from ledgerline.llm.licenses import scan
 from ledgerline.llm.ngram_join import ngram_join
 from ledgerline.llm.packing import Turns, encoder, pack
 from ledgerline.llm.substrings import SubstringIndex, _keyed, dedup_substrings
-from ledgerline.llm.template_text import extract, main_text
+from ledgerline.llm.template_text import extract, main_text, templates
 from ledgerline.llm.topk import block_of, digits, possible, top_k
 from ledgerline.llm.toxicity import segments, toxicity
 
@@ -417,6 +417,20 @@ def test_html_edges(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "http://a/b", "", "x"), (2, "http://a/b", "<p>hi</p>", "x"), (None, "", "<p>" + "w " * 50_000, "x")], "page_id long, url string, html string, host string")
     assert sorted(r["n_chars"] for r in extract(pages).collect()) == [0, 0, 2, 99_999]
     assert extract(pages.where("false")).collect() == []
+    named = pages.withColumns({"main": F.lit("m"), "layout": F.lit(1), "kept": F.lit("k")})
+    assert {(r["main"], r["layout"], r["kept"], r["host"]) for r in extract(named, carry=("page_id", "main", "layout", "kept", "host")).collect()} == {("m", 1, "k", "x")}
+
+
+def test_html_of_great_depth(spark):
+    """Memory and time in proportion to the length, however deep the markup and however many end tags match nothing."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    deep = "<div>" * 100_000 + "inner words" + "</section>" * 50_000 + "</div>" * 100_000
+    assert main_text(deep) == "inner words"
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+    pages = spark.createDataFrame([(i, "http://deep.example/", deep.replace("inner", f"inner{i}")) for i in range(2)], "page_id long, url string, html string")
+    assert {r["text"] for r in extract(pages).collect()} == {"inner0 words", "inner1 words"}
 
 
 def test_template_separates_repeated_text(spark):
@@ -426,6 +440,29 @@ def test_template_separates_repeated_text(spark):
     assert {r["page_id"]: r["text"] for r in extract(pages).collect()} == {i: f"p{i} unique words of page p{i} and some more of them" for i in range(12)}
 
 
+def test_template_of_a_host_with_odd_pages(spark):
+    """An error page, a page without the menu, and pages that share a paragraph leave the host's template as it is."""
+    menu, foot = "<div><ul><li>Home page<li>All our products<li>Contact us</ul></div>", "<div>Imprint and terms of this site</div>"
+    article = lambda i: f"<div><h1>Title {i}</h1><p>First words of article {i}.<p>A paragraph that all of them share.<p>Last words of {i * i}.</div>"
+    rows = [(i, "http://odd.example/", f"<html><body>{menu}{article(i)}{foot}</body></html>") for i in range(12)]
+    rows.append((12, "http://odd.example/", "<html><body><h1>Not found</h1></body></html>"))
+    rows.append((13, "http://odd.example/", f"<html><body>{article(13)}{foot}</body></html>"))
+    found = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda i: f"Title {i} First words of article {i}. A paragraph that all of them share. Last words of {i * i}."
+    assert {i: found[i] for i in range(12)} == {i: text(i) for i in range(12)}
+    assert found[12] == "Not found" and found[13].startswith(text(13))
+
+
+def test_classes_nest(spark):
+    """The template's tokens: equal vectors are one class, and each stands below its parent."""
+    rows = [(i, "http://n.example/", f"<body><ul><li>one<li>two</ul><main><p>text {i}</main>") for i in range(4)]
+    found = templates(spark.createDataFrame(rows, "page_id long, url string, html string")).where("layout is not null").collect()
+    elements = {r["token"]: r for r in found if r["kind"] == 0}
+    assert len(elements) == 6 and all(r["parent"] in elements or r["depth"] == 0 for r in elements.values())
+    assert len({r["vector"] for r in elements.values()}) == 2  # once a page, and the two items
+    assert len([r for r in found if r["kind"] == 1]) == 2 and {r["vector"] for r in found if r["kind"] == 1} < {r["vector"] for r in elements.values()}
+
+
 def test_kept_sha_of_nothing(spark):
     row = dedup_substrings(spark.createDataFrame([(1, None)], "doc_id long, text string")).select(F.sha2("kept_text", 256)).first()[0]
     assert row == hashlib.sha256(b"").hexdigest()
