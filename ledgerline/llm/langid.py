@@ -11,6 +11,11 @@ Training: at most about `sample` labelled texts of each language, those with the
 whatever the partitions; `sample` is the bound on what is fitted, everything else reads all rows. Prototypes
 are languages x dimensions numbers, independent of the corpus.
 
+Rejection (`reject`): random letters score near one half, since prototypes are centred, but seldom below it. So a text is
+rejected, as `und`, whose distance from one half is less than half of what all but one in a thousand of the rightly labelled training texts
+of its length (in powers of four letters) have. Lengths with less than 100 such texts use the next shorter one's; short texts are
+hardly ever rejected.
+
 Rows: null text, and text without a letter, is `und` with score 0. Ties go to the first language in order. Without any
 training text, every row is `und`. Repeated rows are judged alike. An empty table gives an empty result.
 """
@@ -18,7 +23,7 @@ training text, every row is `und`. Repeated rows are judged alike. An empty tabl
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -136,14 +141,19 @@ def fold(doc_id: int, folds: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
 
 
-def train(docs: DataFrame, sample: int = 1500) -> tuple[list[str], np.ndarray]:
-    """Prototypes (unit vectors) of the languages in `docs` (doc_id, text, lang), which are all for training."""
+def _picked(docs: DataFrame, sample: int) -> DataFrame:
+    """lang and text of at most about `sample` rows of each language."""
     rows = docs.where("lang is not null and text is not null")
     # Two passes over narrow columns: how many there are, then those under the hash that leaves about `sample`.
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = counts.select("lang", (F.lit(float(sample)) / F.col("n")).alias("share"))
-    picked = rows.join(F.broadcast(share), "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < F.col("share"))
-    parts = picked.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(thrifty(_bundle), "lang string, v array<long>")
+    picked = rows.join(share, "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < F.col("share"))
+    return picked.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+
+
+def train(docs: DataFrame, sample: int = 1500) -> tuple[list[str], np.ndarray]:
+    """Prototypes (unit vectors) of the languages in `docs` (doc_id, text, lang), which are all for training."""
+    parts = _picked(docs, sample).mapInArrow(thrifty(_bundle), "lang string, v array<long>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).collect()
     sums.sort(key=lambda r: r["lang"])
     table = np.array([r["v"] for r in sums], dtype=np.float64).reshape(len(sums), DIMENSIONS)
@@ -153,8 +163,11 @@ def train(docs: DataFrame, sample: int = 1500) -> tuple[list[str], np.ndarray]:
     return [r["lang"] for r in sums], (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-30)).astype(np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in `carry` with lang_pred and score: half of one plus the cosine, so within 0 and 1."""
+def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, carry: tuple[str, ...] = ("doc_id",), cuts: Mapping[int, float] | None = None) -> DataFrame:
+    """The columns named in `carry` with lang_pred and score: half of one plus the cosine, so within 0 and 1.
+
+    `cuts` are least scores by length class; a text below its own is `und`.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((langs, prototypes))
     columns = list(dict.fromkeys(carry))
 
@@ -168,16 +181,41 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, carry: tu
                     some[:] = False
                 cosine = vectors @ table.T if len(names) else np.zeros((len(texts), 1))
                 best = cosine.argmax(axis=1)
+                own = [min(max((1 + float(cosine[i, b])) / 2, 0.0), 1.0) if some[i] else 0.0 for i, b in enumerate(best.tolist())]
+                if cuts:
+                    some &= np.array([x >= cuts.get(length_class(t), 0.0) for x, t in zip(own, texts)])
                 found += [names[b] if ok else "und" for b, ok in zip(best.tolist(), some.tolist())]
-                scores += [min(max((1 + float(cosine[i, b])) / 2, 0.0), 1.0) if some[i] else 0.0 for i, b in enumerate(best.tolist())]
+                scores += own
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(thrifty(run), f"{out}, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, folds: int = 5, held: int = 0, sample: int = 1500, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Learn from the rows outside the held-out fold, and predict every row."""
+def length_class(text: str | None) -> int:
+    """The power of four that the text's letters reach; 0 below four."""
+    return (max(len(letters(text)) if text else 0, 1).bit_length() - 1) // 2
+
+
+def least_scores(docs: DataFrame, langs: list[str], prototypes: np.ndarray, sample: int = 1500) -> dict[int, float]:
+    """The score below which a text of each length class is rejected, from the rows in `docs`, which are all for training."""
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([length_class(t) for t in batch.column("text").to_pylist()], pa.int32()), batch.column("score")], names=["length", "score"])
+
+    right = predict(_picked(docs, sample), langs, prototypes, ("lang", "text")).where("lang = lang_pred").select("text", "score")
+    rows = right.mapInArrow(lengths, "length int, score double").groupBy("length").agg(F.count("*").alias("n"), F.expr("percentile(score, 0.001)").alias("low")).collect()
+    found = {r["length"]: r["low"] for r in rows if r["n"] >= 100}
+    out, last = {}, 0.0
+    for length in range(32):
+        last = 0.5 + (found[length] - 0.5) / 2 if length in found else last
+        out[length] = last
+    return out
+
+
+def identify(docs: DataFrame, folds: int = 5, held: int = 0, sample: int = 1500, carry: tuple[str, ...] = ("doc_id",), reject: bool = False) -> DataFrame:
+    """Learn from the rows outside the held-out fold, and predict every row; with `reject`, what is like no language is `und`."""
     learn = docs.where(F.coalesce(fold_of(F.col("doc_id"), folds) != held, F.lit(False)))
     langs, prototypes = train(learn, sample)
-    return predict(docs, langs, prototypes, carry)
+    return predict(docs, langs, prototypes, carry, least_scores(learn, langs, prototypes, sample) if reject else None)
