@@ -7,8 +7,9 @@ Templates are partitioned by size: class c holds those of up to 2**c shingles an
 times as large. Containment 0.8 is then a Jaccard similarity of at least 0.19, and with `bands` = 48 bands of one row the chance that no
 band collides is 0.81**48 = 4e-5 (1e-6 for an unchanged template). Each collision is verified over the whole document.
 
-Bands are computed for windows that may share a shingle with some template, which a bitmap of the templates' shingles tells (two bits
-each, without false negatives); no other window can collide. The bitmap is the only part of the templates in the plan, at most
+Bands are computed for windows that share a shingle with some template of their class; no other window can collide. A bitmap of
+all templates' shingles (two bits each, without false negatives) tells which documents may have any; their shingles are written once, and
+windows, bands and verification read them. The bitmap is the only part of the templates in the plan, at most
 2**22 bits, whatever their number; their bands and shingles are broadcast only below a checked size and joined by a shuffle beyond it.
 
 Templates are `NOTICES` (short notices made by a rule from license names, notices for file headers, and full texts of short
@@ -162,12 +163,13 @@ def scan(docs: DataFrame, templates: DataFrame | Iterable[tuple[str, str]] = NOT
         templates = spark.createDataFrame(list(templates), "license string, text string")
     distinct = templates.select(F.col("license").cast("string"), F.col("text").cast("string")).distinct()
     named = distinct.select(F.xxhash64("license", "text").alias("template"), "license", F.array_distinct(shingles(F.col("text"), k)).alias("own")).where(F.size("own") > 0)
-    table = Scratch(spark, "licenses").keep(named.withColumn("size", F.expr("int(power(2, length(bin(size(own) - 1)) - if(size(own) = 1, 1, 0)))")), "templates")
+    scratch = Scratch(spark, "licenses")
+    table = scratch.keep(named.withColumn("size", F.expr("int(power(2, length(bin(size(own) - 1)) - if(size(own) = 1, 1, 0)))")), "templates")
     facts = table.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.size("own")).alias("shingles")).collect()
     out = "doc_id long, license string, n_template long, n_shared long"
     if not facts:
         return spark.createDataFrame([], out)
-    sizes, number, total = sorted(r["size"] for r in facts), sum(r["n"] for r in facts), sum(r["shingles"] for r in facts)
+    number, total = sum(r["n"] for r in facts), sum(r["shingles"] for r in facts)
     bitmap, bits = _bitmap(table.select(F.explode("own").alias("h")))
 
     def known(h: Column) -> Column:
@@ -181,16 +183,15 @@ def scan(docs: DataFrame, templates: DataFrame | Iterable[tuple[str, str]] = NOT
 
     # Evaluated once for each document: the generator keeps the shingles from being computed again for each use.
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(shingles(F.col("text"), k))).alias("doc"))
-    near = hashed.where(F.exists("doc", known)).withColumn("row", F.monotonically_increasing_id())
-
-    def cut(size: int) -> Column:
-        """The document's windows of one class that may share a shingle with some template."""
-        window = lambda at: F.slice(F.col("doc"), at + 1, F.lit(2 * size))
-        starts = F.filter(F.sequence(F.lit(0), F.size("doc") - 1, F.lit(size)), lambda at: F.exists(window(at), known))
-        return F.transform(starts, lambda at: F.struct(F.lit(size).alias("size"), window(at).alias("window")))
-
-    windows = near.select("row", "doc_id", "doc", F.explode(F.flatten(F.array(*map(cut, sizes)))).alias("w"))
-    banded = windows.select("row", "doc_id", "doc", F.col("w.size").alias("size"), F.posexplode(signature(F.col("w.window"))).alias("band", "value"))
-    met = banded.join(small(filed, number * bands, 40), ["size", "band", "value"]).select("row", "doc_id", "doc", "template").dropDuplicates(["row", "template"])
-    shared = met.join(small(table, total + 8 * number, 8), "template").select("doc_id", "license", F.size("own").cast("long").alias("n_template"), F.size(F.array_intersect("doc", "own")).cast("long").alias("n_shared"))
+    near = scratch.keep(hashed.where(F.exists("doc", known)).withColumn("row", F.monotonically_increasing_id()), "near")
+    # The windows of a class that share a shingle with one of its templates: a place lies in its own window and the one before.
+    own = table.select("size", F.explode("own").alias("h")).distinct()
+    hits = near.select("row", F.posexplode("doc").alias("at", "h")).join(small(own, total, 24), "h")
+    last = F.floor(F.col("at") / F.col("size")).cast("int")
+    starts = hits.select("row", "size", F.explode(F.array(last, last - 1)).alias("w")).where("w >= 0").distinct()
+    windows = starts.join(near.select("row", "doc"), "row").select("row", "size", F.slice("doc", F.col("w") * F.col("size") + 1, 2 * F.col("size")).alias("window"))
+    banded = windows.select("row", "size", F.posexplode(signature(F.col("window"))).alias("band", "value"))
+    met = scratch.keep(banded.join(small(filed, number * bands, 40), ["size", "band", "value"]).select("row", "template").distinct(), "met")
+    found = near.join(small(met, met.count(), 32), "row").join(small(table, total + 8 * number, 8), "template")
+    shared = found.select("doc_id", "license", F.size("own").cast("long").alias("n_template"), F.size(F.array_intersect("doc", "own")).cast("long").alias("n_shared"))
     return shared.where(F.col("n_shared") * 100 >= F.col("n_template") * percent)
