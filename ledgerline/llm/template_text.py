@@ -161,36 +161,40 @@ class Page:
     def text_mark(self, block: tuple[int, str, int]) -> int:
         return _hash(block[1], self.mark[block[0]])
 
-    def sums(self, keep=lambda block: True) -> np.ndarray:
+    def sums(self) -> list[list[int]]:
         """For every element the characters below it that markup does not exclude: all, those not in links, those in headings."""
-        out = np.zeros((len(self.mark), 3), dtype=np.int64)
-        for block in self.blocks:
-            at, own, linked = block
-            if not self.outside[at] and keep(block):
-                out[at] += (len(own), len(own) - linked, len(own) if self.name[at] in HEADINGS else 0)
+        out = [[0, 0, 0] for _ in self.mark]
+        for at, own, linked in self.blocks:
+            if not self.outside[at]:
+                row, n = out[at], len(own)
+                row[0] += n
+                row[1] += n - linked
+                if self.name[at] in HEADINGS:
+                    row[2] += n
         return _below(out, self.parent)
 
 
-def _below(own: np.ndarray, parent: list[int]) -> np.ndarray:
+def _below(rows: list[list[int]], parent: list[int]) -> list[list[int]]:
     """Adds to every row the rows below it; parents come before children."""
-    rows = own.tolist()
     for i in range(len(rows) - 1, 0, -1):
-        up = rows[parent[i]]
-        for c, x in enumerate(rows[i]):
-            up[c] += x
-    return np.array(rows, dtype=np.int64).reshape(own.shape)
+        own, up = rows[i], rows[parent[i]]
+        if own[0]:
+            up[0] += own[0]
+            up[1] += own[1]
+            up[2] += own[2]
+    return rows
 
 
-def main_slot(parent: list[int], depth: list[int], container: list[bool], free: np.ndarray, order: list[int]) -> int:
+def main_slot(parent: list[int], depth: list[int], container: list[bool], free: list[list[int]], order: list[int]) -> int:
     """The innermost container that holds six tenths of the free text, widened while that adds only headings; -1 without free text.
 
     free: for every element all free characters below it, those not in links, those in headings. `order` breaks ties.
     """
-    most = int(free[:, 1].max(initial=0))
+    most = max((x[1] for x in free), default=0)
     if not most:
         return -1
-    best = max((i for i in range(len(parent)) if container[i] and 10 * free[i, 1] >= 6 * most), key=lambda i: (depth[i], free[i, 1], order[i]), default=-1)
-    while best >= 0 and parent[best] >= 0 and container[parent[best]] and free[parent[best], 0] - free[best, 0] <= free[parent[best], 2] - free[best, 2]:
+    best = max((i for i in range(len(parent)) if container[i] and 10 * free[i][1] >= 6 * most), key=lambda i: (depth[i], free[i][1], order[i]), default=-1)
+    while best >= 0 and parent[best] >= 0 and container[parent[best]] and free[parent[best]][0] - free[best][0] <= free[parent[best]][2] - free[best][2]:
         best = parent[best]
     return best
 
@@ -209,31 +213,47 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for host, layout, number, source in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "page", "html"))):
             page = Page(source or "")
-            below = page.sums().tolist()
+            below = page.sums()
+            marks, containers = [_signed(x) for x in page.mark], [int(x not in TEXTUAL) for x in page.name]
+            vectors: dict[int, int] = {}
             found: dict[tuple, list[int]] = {(PAGE, 0, 0, 0, 0): [1, 0, 0, 0, 0]}
             for i in range(len(page.mark)):
                 up = page.parent[i]
-                row = found.setdefault((ELEMENT, _signed(page.mark[i]), _signed(page.mark[up]) if up >= 0 else 0, page.depth[i], int(page.name[i] not in TEXTUAL)), [0] * 5)
-                row[0] += 1
-                for c in range(3):
-                    row[2 + c] += below[i][c]
+                key = (ELEMENT, marks[i], marks[up] if up >= 0 else 0, page.depth[i], containers[i])
+                row = found.get(key)
+                if row is None:
+                    found[key] = [1, 0, *below[i]]
+                else:
+                    row[0] += 1
+                    row[2] += below[i][0]
+                    row[3] += below[i][1]
+                    row[4] += below[i][2]
             for block in page.blocks:
                 at, own, linked = block
                 use = not page.outside[at]
-                found[ELEMENT, _signed(page.mark[at]), _signed(page.mark[page.parent[at]]) if at else 0, page.depth[at], int(page.name[at] not in TEXTUAL)][1] += 1
-                row = found.setdefault((TEXT, _signed(page.text_mark(block)), _signed(page.mark[at]), page.depth[at] + 1, 0), [0] * 5)
+                found[ELEMENT, marks[at], marks[page.parent[at]] if at else 0, page.depth[at], containers[at]][1] += 1
+                row = found.setdefault((TEXT, _signed(page.text_mark(block)), marks[at], page.depth[at] + 1, 0), [0] * 5)
                 row[0] += 1
                 row[2] += len(own) * use
                 row[3] += (len(own) - linked) * use
                 row[4] += len(own) * (use and page.name[at] in HEADINGS)
             here = _hash(f"{number}", 11)
             for key, own in found.items():
-                row = sums.setdefault((host, layout, *key), [0] * 8)
-                row[0] += _hash(f"{number} {own[0]}", 7)
-                row[1] += here
-                row[2] += 1
-                for c in range(5):
-                    row[3 + c] += own[c]
+                n = own[0]
+                if n not in vectors:
+                    vectors[n] = _hash(f"{number} {n}", 7)
+                row = sums.get((host, layout, *key))
+                if row is None:
+                    sums[host, layout, *key] = [vectors[n], here, 1, *own]
+                else:
+                    row[0] += vectors[n]
+                    row[1] += here
+                    row[2] += 1
+                    row[3] += n
+                    row[4] += own[1]
+                    row[5] += own[2]
+                    row[6] += own[3]
+                    row[7] += own[4]
         if len(sums) >= 100_000:
             yield out()
             sums.clear()
@@ -241,14 +261,15 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-_CONTAINERS = r"(?i)<(nav|header|footer|aside|main|article|section|form|div)\b(?:[^>]*?\bclass\s*=\s*[\"']?([^\"'>]*))?"
+_CONTAINERS = r"(?i)<(?:nav|header|footer|aside|main|article|section|form|div)\b[^>]*"
 
 
 def with_group(pages: DataFrame) -> DataFrame:
     """host, layout, and a number that tells pages apart."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    each = [F.regexp_extract_all("html", F.lit(_CONTAINERS), F.lit(i)) for i in (1, 2)]
-    marks = F.zip_with(*each, lambda a, b: F.lower(F.concat_ws(".", a, F.regexp_replace(F.coalesce(b, F.lit("")), "[0-9]+", "#"))))
+    tags = F.array_distinct(F.regexp_extract_all("html", F.lit(_CONTAINERS), F.lit(0)))
+    part = lambda tag, pattern: F.regexp_replace(F.lower(F.regexp_extract(tag, pattern, 1)), "[0-9]+", "#")
+    marks = F.transform(tags, lambda tag: F.concat_ws(".", part(tag, r"^<([a-zA-Z]+)"), part(tag, r"(?i)\bclass\s*=\s*[\"']?([^\"']*)")))
     layout = F.xxhash64(F.coalesce(F.array_sort(F.array_distinct(marks)), F.array().cast("array<string>")))
     rows = pages.withColumn("html", F.col("html").cast("string"))
     return rows.withColumns({"host": host, "layout": layout, "page": F.xxhash64("page_id", "url", "html")})
@@ -309,10 +330,12 @@ def _nest(table: pa.Table) -> pa.Table:
     for r in texts:
         held[r["parent"]] = held.get(r["parent"], 0) + r["n"]
     fixed = [r for r in texts if held[r["parent"]] >= COVER * elements[place[r["parent"]]]["blocks"]]
-    less = np.zeros((len(elements), 3), dtype=np.int64)
+    less = [[0, 0, 0] for _ in elements]
     for r in fixed:
-        less[place[r["parent"]]] += (r["every"], r["free"], r["heads"])
-    free = np.array([[r["every"], r["free"], r["heads"]] for r in elements], dtype=np.int64).reshape(len(elements), 3) - _below(less, parent)
+        own = less[place[r["parent"]]]
+        for c, name in enumerate(("every", "free", "heads")):
+            own[c] += r[name]
+    free = [[r["every"] - x, r["free"] - y, r["heads"] - z] for r, (x, y, z) in zip(elements, _below(less, parent))]
     at = main_slot(parent, [r["depth"] for r in elements], [f and bool(r["container"]) for f, r in zip(frames, elements)], free, [r["token"] for r in elements])
     first = rows[0]
     return pa.table({
