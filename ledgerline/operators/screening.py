@@ -89,7 +89,7 @@ def scan(rows: DataFrame, column: str, name: str = "rules") -> DataFrame:
     clauses = lambda text: F.filter(F.split(text, r"[.;!?]+(?:\s+|$)|:\s+|\n\s*\n"), lambda x: x.rlike(heads))
     hits = lambda text: F.concat(F.flatten(F.transform(clauses(text), lambda x: F.flatten(F.transform(F.array(_words(x)), _clause_rules)))), _line_rules(text))
     found = F.get(F.transform(F.array("__visible"), hits), 0)  # bound once: every rule reads the same normalised text
-    broken = F.filter(F.array(*[F.lit(x) for x in RULES]), lambda x: F.array_contains(F.array_compact(F.col("__found")), x))
+    broken = F.array_intersect(F.array(*[F.lit(x) for x in RULES]), F.array_compact("__found"))  # one use, so that it is computed once
     seen = rows.withColumn("__visible", visible(F.col(column))).withColumn("__found", found)
     return seen.withColumn(name, F.coalesce(broken, F.array().cast("array<string>"))).drop("__visible", "__found")
 
