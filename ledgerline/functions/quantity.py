@@ -29,22 +29,33 @@ def number(c: Column) -> Column:
     The last separator is the decimal mark if there are two kinds; one kind repeated groups digits; a single separator
     before exactly three digits could be either, and is refused.
     """
-    s = F.regexp_replace(c, "[\\s ]", "")
-    marks = F.regexp_replace(s, "[^.,]", "")
-    last = F.right(marks, F.lit(1))
-    tail = F.length(F.regexp_extract(s, "[.,]([0-9]*)$", 1))
-    others = F.length(F.replace(marks, last, F.lit("")))
-    twice = F.length(marks) - others
-    plain = F.regexp_replace(s, "[.,]", "")
-    cut = F.concat(F.expr("''"), F.regexp_replace(F.regexp_extract(s, "^(.*)[.,][0-9]*$", 1), "[.,]", ""), F.lit("."), F.regexp_extract(s, "[.,]([0-9]*)$", 1))
-    refused = (
-        F.when(s.isNull() | (s == ""), "missing")
-        .when(~s.rlike("^[+-]?[0-9]+([.,][0-9]+)*$"), "not_a_number")
-        .when((F.length(marks) == 1) & (tail == 3), "ambiguous")
-        .when((others > 0) & (twice > 1), "not_a_number")
-    )
-    text = F.when(F.length(marks) == 0, s).when((F.length(marks) > 1) & (others == 0), plain).otherwise(cut)
-    return F.struct(F.when(refused.isNull(), text.try_cast(NUMBER)).alias("value"), refused.alias("refused"))
+    return _once(F.regexp_replace(c, "[\\s\u00a0]", ""), _parsed)
+
+
+def _once(c: Column, use) -> Column:
+    """use(c), with c evaluated once however often it is used."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
+def _parsed(s: Column) -> Column:
+    """The number in a text without blanks, from its digits between marks: head, then the last mark and what follows it."""
+    whole = s.rlike("^[+-]?[0-9]+([.,][0-9]+)*$")
+    last = F.regexp_extract(s, "[.,](?=[0-9]*$)", 0)
+    tail = F.substring_index(F.translate(s, ",", "."), ".", -1)
+    marks = F.length(s) - F.length(F.translate(s, ".,", ""))
+    same = F.length(s) - F.length(F.replace(s, last, F.lit("")))
+
+    def known(p: Column) -> Column:
+        refused = (
+            F.when(s.isNull() | (s == ""), "missing").when(~p["whole"], "not_a_number").when((p["marks"] == 1) & (F.length(p["tail"]) == 3), "ambiguous")
+            .when((p["marks"] > p["same"]) & (p["same"] > 1), "not_a_number")
+        )
+        plain = F.translate(s, ".,", "")
+        cut = F.concat(F.left(plain, F.length(plain) - F.length(p["tail"])), F.lit("."), p["tail"])
+        text = F.when((p["marks"] == 0) | ((p["marks"] > 1) & (p["marks"] == p["same"])), plain).otherwise(cut)
+        return F.struct(F.when(refused.isNull(), text.try_cast(NUMBER)).alias("value"), refused.alias("refused"))
+
+    return _once(F.struct(whole.alias("whole"), tail.alias("tail"), marks.alias("marks"), same.alias("same")), known)
 
 
 def money(c: Column) -> Column:
@@ -81,3 +92,11 @@ def agrees(a: Column, b: Column, kind: Column, amount: Column) -> Column:
     """Whether two base-unit values agree, inclusively; relative tolerance is of the larger magnitude."""
     gap = F.abs(a - b)
     return F.when(kind == "relative", gap <= amount * F.greatest(F.abs(a), F.abs(b))).when(kind == "absolute", gap <= amount).otherwise(gap == 0)
+
+
+def tolerance_fault(kind: Column, amount: Column, unit: Column) -> Column:
+    """Why a tolerance is no rule, or null: negative, absolute without a unit, relative with one, or relative of a half and more."""
+    return (
+        F.when(amount.isNull() | ~F.coalesce(kind.isin("relative", "absolute"), F.lit(False)), "incomplete").when(amount < 0, "negative").when((kind == "absolute") & unit.isNull(), "absolute_without_unit")
+        .when((kind == "relative") & unit.isNotNull(), "relative_with_unit").when((kind == "relative") & (amount >= 0.5), "implausible")
+    )
