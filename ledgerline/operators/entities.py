@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise, ratio
+from ..shared import Scratch
 from .graph import connected
 
 # Rule, normalisations in order, weight.
@@ -27,13 +28,16 @@ def keys(mentions: DataFrame, rules=MATCH_RULES, threshold: float = MERGE) -> Da
 def resolve(mentions: DataFrame, rules=MATCH_RULES, threshold: float = MERGE) -> DataFrame:
     """mention_id, entity_id, canonical_name.
 
-    Mentions are tied to the first mention of their key, not to each other, so a key of m mentions makes m - 1 edges. The
-    entity's id is the digest of its sorted mention ids, its name the longest (then last) of its names.
+    Mentions of one spelling count as one name, and names are tied to the first of their key, not to each other, so a key of
+    m names makes m - 1 edges. A mention whose name has no key under any rule is an entity of its own. The entity's id is the digest of its sorted mention ids, its name the longest (then last) of its names.
     """
-    own = keys(mentions, rules, threshold)
+    scratch = Scratch(mentions.sparkSession, "entities")
+    names = scratch.keep(mentions.where("name is not null").groupBy("name").agg(F.min("mention_id").alias("mention_id")), "names")
+    own = scratch.keep(keys(names, rules, threshold).select("mention_id", "rule", "key"), "keys")
     first = own.groupBy("rule", "key").agg(F.min("mention_id").alias("b"))
     edges = own.join(first, ["rule", "key"]).select(F.col("mention_id").alias("a"), "b")
-    rooted = mentions.join(connected(edges), F.col("mention_id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "mention_id"))
+    tied = names.join(own.select("mention_id").distinct(), "mention_id").join(connected(edges), F.col("mention_id") == F.col("node"), "left").select("name", F.coalesce("component", "mention_id").alias("tied"))
+    rooted = mentions.join(tied, "name", "left").withColumn("root", F.coalesce("tied", "mention_id"))
     named = rooted.groupBy("root").agg(F.left(F.sha2(F.array_join(F.sort_array(F.collect_set(F.col("mention_id").cast("string"))), "\x1f"), 256), F.lit(20)).alias("entity_id"), F.max_by("name", F.struct(F.length("name"), "name")).alias("canonical_name"))
     return rooted.join(named, "root").select("mention_id", "entity_id", "canonical_name")
 
