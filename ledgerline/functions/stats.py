@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,24 +14,47 @@ from pyspark.sql import types as T
 ALPHA = 0.05
 
 
-def binomial_cdf(k: Column, n: Column, p: Column) -> Column:
-    """P(X <= k), summed in logarithms, since (1 - p)**n underflows for large n."""
-    odds = F.ln(p) - F.ln(1 - p)
-    start = F.struct((n * F.ln(1 - p)).alias("term"), F.exp(n * F.ln(1 - p)).alias("total"))
+def _beta_tail(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P(X <= k) = I(1 - p; n - k, k + 1), the incomplete beta function by its continued fraction (Lentz).
+
+    Memory does not depend on k, and steps grow as the root of n; all rows advance together.
+    """
+    a, b, x = n - k, k + 1.0, 1 - p
+    turn = x > (a + 1) / (a + b + 2)  # the fraction converges fast on one side; the other is its complement
+    a, b, x = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, p, x)
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny, c, live = 1e-300, np.ones(len(x)), np.ones(len(x), dtype=bool)
+    d = 1 / np.where(np.abs(1 - (a + b) * x / (a + 1)) < tiny, tiny, 1 - (a + b) * x / (a + 1))
+    value, m = d.copy(), 0
+    while live.any() and m < 10_000_000:
+        m += 1
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+            value = np.where(live, value * d * c, value)
+        live &= np.abs(d * c - 1) > 1e-15
+    return np.where(turn, 1 - front * value, front * value)
 
-    def step(s: Column, i: Column) -> Column:
-        term = s["term"] + F.ln((n - i + 1) / i) + odds
-        return F.struct(term.alias("term"), (s["total"] + F.exp(term)).alias("total"))
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(steps, start, step, lambda s: s["total"])
+@F.pandas_udf(T.DoubleType())
+def binomial_cdf(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+    """P(X <= k); null where an argument is. For a sweep's few rows, whatever the number of trials."""
+    rows = pd.DataFrame({"k": k, "n": n, "p": p}).astype(float)
+    out = pd.Series(float("nan"), index=rows.index, dtype="float64")
+    out[rows["k"] >= rows["n"]] = 1.0
+    inner = (rows["k"] >= 0) & (rows["k"] < rows["n"]) & (rows["p"] > 0) & (rows["p"] < 1)
+    if inner.any():
+        out[inner] = _beta_tail(*(rows.loc[inner, c].to_numpy() for c in ("k", "n", "p")))
+    out[(rows["p"] <= 0) & (rows["k"] >= 0)] = 1.0
+    return out.where(rows.notna().all(axis=1), None)
 
 
 def within_budget(wrong: Column, n: Column, budget: Column) -> Column:
     """Whether the Clopper-Pearson upper bound on the error rate is within the budget.
 
     bound <= budget exactly if P(X <= wrong) at the budget is at most ALPHA. Where the rate itself exceeds the budget the
-    bound does too, which also keeps the sum short.
+    bound does too.
     """
     possible = (n > 0) & (wrong <= n * budget)
     return F.when(possible, binomial_cdf(F.when(possible, wrong).otherwise(F.lit(0)), n, budget) <= ALPHA).otherwise(F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .review import upper_medians
+
 
 def window_summary(rows: DataFrame, by: list[Column | str]) -> DataFrame:
     """documents, median_confidence, abstention_rate, unscored of rows (document, confidence, abstained) per `by`."""
@@ -20,10 +22,13 @@ def assess(windows: DataFrame, bands: dict[str, tuple[float, float]], least: int
 
 
 def envelope(rows: DataFrame, by: str) -> DataFrame:
-    """Figures overall (null group) and per group, in one pass by grouping sets; the median is the upper one."""
-    ordered = F.sort_array(F.collect_list("confidence"))
-    upper = F.try_element_at(ordered, (F.size(ordered) / 2).cast("int") + 1)
-    return rows.rollup(by).agg(F.count("*").alias("n"), upper.alias("median"), F.avg((F.col("confidence") < 0.5).cast("int")).alias("below_half"), F.avg(F.col("abstained").cast("int")).alias("abstained"))
+    """Figures overall (null group) and per group, by grouping sets; the median is the upper one."""
+    # (group, value, rows): the medians come from counts per distinct value, not from the values.
+    figures = rows.rollup(by).agg(F.count("*").alias("n"), F.avg((F.col("confidence") < 0.5).cast("int")).alias("below_half"), F.avg(F.col("abstained").cast("int")).alias("abstained"), F.grouping(by).alias("__all")).alias("f")
+    whole = upper_medians(rows, [], "confidence", "median").select(F.lit(None).cast(dict(rows.dtypes)[by]).alias(by), "median", F.lit(1).alias("__all"))
+    medians = upper_medians(rows, [by], "confidence", "median").withColumn("__all", F.lit(0)).unionByName(whole).alias("m")
+    met = figures.join(medians, (F.col("f.__all") == F.col("m.__all")) & F.col(f"f.{by}").eqNullSafe(F.col(f"m.{by}")), "left")
+    return met.select(f"f.{by}", "f.n", "m.median", "f.below_half", "f.abstained")
 
 
 def breaches(figures: DataFrame, accepted: DataFrame, as_of: str) -> DataFrame:

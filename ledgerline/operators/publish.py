@@ -60,9 +60,9 @@ FORBIDDEN = ("value", "text", "name", "address", "party")
 
 
 def clean_spans(spans: DataFrame) -> DataFrame:
-    """Telemetry without attributes that may hold content, and without long strings."""
+    """Telemetry whose attributes cannot hold content: a span with a forbidden attribute or a long string is an error."""
     bad = F.arrays_overlap(F.map_keys("attributes"), F.array(*[F.lit(x) for x in FORBIDDEN])) | F.exists(F.map_values("attributes"), lambda v: F.length(v) > 256)
-    return spans.where(~F.coalesce(bad, F.lit(False)))
+    return spans.withColumn("attributes", F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("span holds content"))).otherwise(F.col("attributes")))
 
 
 def fingerprint(words: DataFrame) -> DataFrame:

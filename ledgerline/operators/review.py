@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,15 +24,24 @@ def capacity(documents: Column, rate: Column, reviewers: int, per_hour: int, hou
     return F.struct(load.alias("load"), most.alias("peak_load"), able.alias("capacity"), (most <= able).alias("fits"))
 
 
-def upper_median(values: Column) -> Column:
-    """Of an even number the larger middle one."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.try_element_at(ordered, (F.size(ordered) / 2).cast("int") + 1)
+def upper_medians(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """by, name: of an even number of values the larger middle one; groups without values do not appear.
+
+    From counts per distinct value, so no group's values are ever gathered; a group's distinct values are what one task sorts.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    key = [F.col(c) for c in by] or [F.lit(1)]
+    total = F.sum("__n").over(Window.partitionBy(*key))
+    upto = F.sum("__n").over(Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    middle = counts.withColumns({"__upto": upto, "__half": F.floor(total / 2) + 1}).where((F.col("__upto") >= F.col("__half")) & (F.col("__upto") - F.col("__n") < F.col("__half")))
+    return middle.select(*by, F.col(value).alias(name))
 
 
 def reviewer_integrity(decisions: DataFrame, most_agreement: float, least_seconds: float, enough: int) -> DataFrame:
     """reviewer, decisions, agreement_rate, fast, median_seconds, findings of (reviewer, agreed, seconds)."""
-    out = decisions.groupBy("reviewer").agg(F.count("*").alias("decisions"), F.avg(F.col("agreed").cast("int")).alias("agreement_rate"), F.count_if(F.col("seconds") < least_seconds).alias("fast"), upper_median(F.col("seconds")).alias("median_seconds"))
+    out = decisions.groupBy("reviewer").agg(F.count("*").alias("decisions"), F.avg(F.col("agreed").cast("int")).alias("agreement_rate"), F.count_if(F.col("seconds") < least_seconds).alias("fast")).alias("o")
+    medians = upper_medians(decisions, ["reviewer"], "seconds", "median_seconds").alias("m")
+    out = out.join(medians, F.col("o.reviewer").eqNullSafe(F.col("m.reviewer")), "left").select("o.*", "m.median_seconds")
     few = F.col("decisions") < enough
     found = F.array(F.when(few, "too_few_decisions"), F.when(~few & (F.col("agreement_rate") >= most_agreement), "rubber_stamp"), F.when(~few & (F.col("median_seconds") < least_seconds), "too_fast"))
     return out.withColumn("findings", F.array_join(F.filter(found, lambda x: x.isNotNull()), ","))
