@@ -331,8 +331,9 @@ def ngram_join(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     at = led.select("g", "cls").join(placed, "cls")
     open_ = at.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("g")
     at = scratch.keep(at.join(open_, "g"), "open")
-    met = at.select("g", F.col("hub").alias("other"), F.col("comp").alias("others")).distinct()
-    pairs = at.join(met, "g").where("hub <> other and comp <> others").select("cls", "hub", "comp", F.least("hub", "other").alias("ga"), F.greatest("hub", "other").alias("gb")).distinct()
+    # One row for each split that an n-gram has classes in, whatever their number: it is of use if one of them is not connected to this class.
+    met = at.groupBy("g", F.col("hub").alias("other")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    pairs = at.join(met, "g").where("hub <> other and (comp <> low or comp <> high)").select("cls", "hub", "comp", F.least("hub", "other").alias("ga"), F.greatest("hub", "other").alias("gb")).distinct()
     far = meet(pairs)
 
     # 5. Components; a document with several rows ties its classes together.
