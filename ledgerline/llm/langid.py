@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.shared import small
+
 from .words import U, mix, thrifty
 
 DIMENSIONS = 1024
@@ -147,7 +149,7 @@ def _picked(docs: DataFrame, sample: int) -> DataFrame:
     # Two passes over narrow columns: how many there are, then those under the hash that leaves about `sample`.
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = counts.select("lang", (F.lit(float(sample)) / F.col("n")).alias("share"))
-    picked = rows.join(share, "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < F.col("share"))
+    picked = rows.join(small(share, counts.count(), 64), "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < F.col("share"))
     return picked.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
 
