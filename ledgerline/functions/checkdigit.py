@@ -34,3 +34,13 @@ def check(c: Column) -> Column:
         .when(~s.rlike("^...[UJZ]"), "category").when(~good, "digits").when(wrong, "check_digit").otherwise("consistent")
     )
     return F.struct(good.alias("well_formed"), F.coalesce(wrong, F.lit(False)).alias("provably_wrong"), expected.alias("expected"), reason.alias("reason"))
+
+
+def error_lower_bound(value: Column) -> Column:
+    """Aggregate struct(wrong, checkable, rate): a lower bound of the share of misread numbers, 0 where there is none.
+
+    A value without the shape of a number was misread and counts as wrong; null is no reading and does not count.
+    """
+    c = check(value)
+    wrong, checkable = F.count_if(value.isNotNull() & (c["provably_wrong"] | ~c["well_formed"])), F.count(value)
+    return F.struct(wrong.alias("wrong"), checkable.alias("checkable"), F.coalesce(F.try_divide(wrong, checkable), F.lit(0.0)).alias("rate"))

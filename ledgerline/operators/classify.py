@@ -82,3 +82,30 @@ def fit(examples: DataFrame, text: str, label: str):
 
     rows = examples.select(F.col(label).alias("label_name"), ngrams(F.col(text)).alias("terms"))
     return Pipeline(stages=[StringIndexer(inputCol="label_name", outputCol="label"), HashingTF(inputCol="terms", outputCol="tf"), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=20)]).fit(rows)
+
+
+def declared(candidates: DataFrame, headings: DataFrame) -> DataFrame:
+    """The candidates with their heading's description and `decided` = false, as a model only proposes.
+
+    A code that the headings do not declare is an error, since the model was fitted to other headings; so is a goods_id without
+    any candidate (a row with a null code).
+    """
+    known = candidates.join(headings.select("code", "description", F.lit(True).alias("known")), "code", "left")
+    bad = F.when(F.col("code").isNull(), F.raise_error(F.lit("no candidates"))).when(F.col("known").isNull(), F.raise_error(F.concat(F.lit("undeclared heading "), "code")))
+    return known.withColumn("code", bad.otherwise(F.col("code"))).drop("known").withColumn("decided", F.lit(False))
+
+
+def restricted(candidates: DataFrame, context: DataFrame) -> DataFrame:
+    """The candidates (goods_id, code, ...) whose heading the context (goods_id, code) of the goods allows."""
+    return candidates.join(context.select("goods_id", "code").distinct(), ["goods_id", "code"], "left_semi")
+
+
+def prior_floor(intercepts: DataFrame) -> DataFrame:
+    """One row, floor: the largest probability that the model gives a text it cannot read at all, from its intercepts (class, intercept)."""
+    top = intercepts.agg(F.max("intercept").alias("top"))
+    return intercepts.join(F.broadcast(top), F.lit(True)).agg((1 / F.sum(F.exp(F.col("intercept") - F.col("top")))).alias("floor"))
+
+
+def above_floor(scored: DataFrame, floor: DataFrame) -> DataFrame:
+    """The scores (goods_id, class, probability) that tell more than the prior does."""
+    return scored.join(F.broadcast(floor), F.lit(True)).where(F.col("probability") > F.col("floor")).drop("floor")

@@ -57,6 +57,20 @@ def unmerge(entities: DataFrame, groups: DataFrame) -> DataFrame:
     return entities.join(split, "entity_id", "left").join(checked.select("mention_id", "keep_together"), "mention_id", "left").select("mention_id", new.alias("entity_id"), "canonical_name")
 
 
+def renamed(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Entities after a split with the canonical name of the members that are left: the longest, then last."""
+    names = entities.select("mention_id", "entity_id").join(mentions.select("mention_id", "name"), "mention_id", "left")
+    best = names.groupBy("entity_id").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("canonical_name"))
+    return entities.select("mention_id", "entity_id").join(best, "entity_id").select("mention_id", "entity_id", "canonical_name")
+
+
+def repoint(references: DataFrame, entities: DataFrame) -> DataFrame:
+    """References (record, mention_id) with the entity that holds their mention now; one whose mention no entity holds is an error."""
+    met = references.join(entities.select("mention_id", "entity_id"), "mention_id", "left")
+    dangling = F.raise_error(F.concat(F.lit("dangling reference of record "), F.coalesce(F.col("record").cast("string"), F.lit("null"))))
+    return met.select("record", "mention_id", F.when(F.col("entity_id").isNull(), dangling).otherwise(F.col("entity_id")).alias("entity_id"))
+
+
 def _prefixes(keys: DataFrame, least: float) -> DataFrame:
     """rule, key, prefix: the rarest grams of a key, of which any key as similar as `least` has one in its own prefix.
 
@@ -137,5 +151,5 @@ def edit_candidates(mentions: DataFrame, most: int) -> DataFrame:
 
 
 def purity(entities: DataFrame, truth: DataFrame) -> DataFrame:
-    """entities, mixed (entities of several true parties)."""
-    return entities.join(truth, "mention_id").groupBy("entity_id").agg(F.countDistinct("party").alias("parties")).agg(F.count("*").alias("entities"), F.count_if(F.col("parties") > 1).alias("mixed"))
+    """entities, mixed (entities of several true parties), largest_merge (most true parties in one entity)."""
+    return entities.join(truth, "mention_id").groupBy("entity_id").agg(F.countDistinct("party").alias("parties")).agg(F.count("*").alias("entities"), F.count_if(F.col("parties") > 1).alias("mixed"), F.max("parties").alias("largest_merge"))

@@ -44,6 +44,12 @@ def line_total(stated: Column, sum_: Column, unreadable: Column, relative: float
             .when((unreadable > 0) & near, "not_comparable").when((unreadable > 0) & (stated > sum_), "rows_missing").when(unreadable > 0, "not_comparable").otherwise("rows_surplus"))
 
 
+def finding_rows(findings: DataFrame, found_on: Column) -> DataFrame:
+    """The reconciliation_finding table of findings (shipment, rule_id, outcome, severity, left_document, right_document, client_id)."""
+    text = lambda c: F.col(c).cast("string")
+    return findings.select(text("shipment").alias("shipment_id"), "rule_id", "outcome", "severity", text("left_document").alias("left_document"), text("right_document").alias("right_document"), "client_id", found_on.cast("date").alias("found_on"))
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """rule_id, outcome counts, blocking disagreements, shipments with one."""
     bad = F.col("outcome") == "disagree"

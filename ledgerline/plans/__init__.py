@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import calibration, documents, streams, warehouse
+from . import calibration, documents, records, streams, warehouse
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "calibration", "documents", "streams", "warehouse"]
+__all__ = ["ORACLES", "QUERIES", "calibration", "documents", "records", "streams", "warehouse"]
