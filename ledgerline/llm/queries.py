@@ -76,6 +76,12 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turns import damage, repair
+
+    return repair(damage(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_ngram_join": op10_ngram_join,
+    "op11_turn_repair": op11_turn_repair,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,6 +108,46 @@ def _notices() -> str:
     return ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in NOTICES)
 
 
+
+def _turn_repair() -> str:
+    """Row by row over whole paths: each of the four states holds the least (cost, audit, text) that ends there."""
+    crc = "list_reduce(flatten(list_transform(range(1, len(k) + 1), lambda i: [ascii(k[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, (c & 1) * 3988292384) END, 4294967295::BIGINT)"
+    space = r"[\x20\x09-\x0D]"
+    # state: what may follow it, with the turns put in between; 1 none, 2 s, 3 u, 4 a
+    put = {"u": "'user:'", "a": "'assistant:'"}
+    legal = {(1, 2): "", (1, 3): "", (1, 4): "u", (2, 3): "", (2, 4): "u", (3, 3): "a", (3, 4): "", (4, 3): "", (4, 4): "u"}
+
+    def step(to: int) -> str:
+        options = [f"CASE WHEN p[{to}] IS NOT NULL THEN {{'c': p[{to}].c + 3, 'a': p[{to}].a || 'D', 't': p[{to}].t}} END"]
+        for (state, end), between in legal.items():
+            if end != to:
+                continue
+            before = "".join(f", {put[x]}" for x in between)
+            for letter, when, price, text in (("K", f"initial = '{' sua'[to - 1]}'", 0, "role || ':' || text"), ("R", f"{to} > 2 AND initial <> '{' sua'[to - 1]}'", 2, f"{'null' if to < 3 else put['ua'[to - 3]]} || text")):
+                items = f"list_concat(p[{state}].t, [{(before + ', ' + text)[2:]}])"
+                options.append(f"CASE WHEN p[{state}] IS NOT NULL AND stays AND {when} THEN {{'c': p[{state}].c + {2 * len(between) + price} + truncated::INTEGER, 'a': p[{state}].a || '{'I' * len(between)}{letter}', 't': {items}}} END")
+        return "list_min(list_filter([" + ",\n ".join(options) + "], lambda x: x IS NOT NULL))"
+
+    ends = {1: "", 2: "ua", 3: "a", 4: ""}
+    last = ", ".join(f"CASE WHEN p[{s}] IS NOT NULL THEN {{'c': p[{s}].c + {2 * len(more)}, 'a': p[{s}].a || '{'I' * len(more)}', 't': list_concat(p[{s}].t, [{', '.join(put[x] for x in more)}]::VARCHAR[])}} END" for s, more in ends.items())
+    return f"""WITH RECURSIVE k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({crc}, 4294967295) % 20 AS kind FROM k),
+e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE kind <> 0),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS place, regexp_replace(text, '{space}+$', '') AS bare, role[1] AS initial FROM a),
+g AS (SELECT *, bare = '' AS blank, bare <> '' AND again > 1 AS duplicate, bare <> '' AND again = 1 AND bare[-1] NOT IN ('.', '!', '?') AS truncated, bare <> '' AND again = 1 AS stays, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM f),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (place > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(place) AS rows FROM g GROUP BY conv_id),
+w(conv_id, place, p) AS (SELECT conv_id, 0::BIGINT, [{{'c': 0, 'a': '', 't': []::VARCHAR[]}}, NULL, NULL, NULL] FROM n
+UNION ALL SELECT w.conv_id, g.place, [{step(1)},
+{step(2)},
+{step(3)},
+{step(4)}] FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.place = w.place + 1),
+z AS (SELECT w.conv_id, list_min(list_filter([{last}], lambda x: x IS NOT NULL)) AS b FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.rows = w.place)
+SELECT o.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal,
+coalesce(z.b.c, 0)::BIGINT AS cost, coalesce(z.b.a, '') AS audit, sha256(coalesce(array_to_string(z.b.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 ORACLES: dict[str, str] = {
     "op5_decontamination": f"""WITH d AS (SELECT doc_id, unnest({_SHINGLES}) AS g FROM (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents)),
 i AS (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS.format(_LOWER)} AS w FROM benchmark)), e AS (SELECT item_id, len(s) AS n_item, unnest(s) AS g FROM i)
@@ -121,4 +168,5 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20"""
 links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
 SELECT s.doc_id, len(s.s) AS n_shingles, min(r.other) AS component_id FROM s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s""",
+    "op11_turn_repair": _turn_repair(),
 }
