@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.graph import connected
 from ledgerline.shared import Scratch, shuffle_parts, small
-from .words import U, mix, pieces, shingle_sets, shingles_of, thrifty, words
+from .words import U, mix, pieces, runs, shingle_sets, shingles_of, thrifty, words
 
 #: n-grams that a task holds before it sends them; bounds its memory.
 HELD = 2_000_000
@@ -224,46 +224,50 @@ def links_in_group(table: pa.Table, percent: int, k: int) -> list[tuple[int, int
     np.add.at(cells, (np.repeat(np.arange(len(cls)), n), (flat >> U(58)).astype(np.int64)), 1)
     del flat
     mark = np.zeros(int(codes.max()) + 1, dtype=np.int32)
-    up = np.unique(table["comp"].to_numpy(), return_index=True, return_inverse=True)
-    up = up[1][up[2]].tolist()
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    index: dict[int, list[tuple[int, int]]] = {}
+    root = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
+    # Postings of the prefix n-grams, each in order of class; a class looks at what stands before it.
+    lists = table["prefix"].combine_chunks()
+    gram = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+    place = table["at"].combine_chunks().flatten().to_numpy()
+    m = np.diff(lists.offsets.to_numpy())
+    begin = np.concatenate(([0], np.cumsum(m)))
+    owner = np.repeat(np.arange(len(cls)), m)
+    by = np.lexsort((owner, gram))
+    owner_by, place_by = owner[by], place[by]
+    list_start = np.searchsorted(gram[by], gram, "left")
+    before = np.empty(len(by), np.int64)
+    before[by] = np.arange(len(by))
+    before -= list_start
     links = []
-    prefixes, places = table["prefix"].to_pylist(), table["at"].to_pylist()
     for i in range(len(cls)):
-        seen: dict[int, int] = {}
-        mine = top(i)
-        for g, p in zip(prefixes[i], places[i]):
-            held = index.setdefault(g, [])
-            for j, q in held:
-                if seen.get(j) is None:
-                    total = int(n[i] + n[j])
-                    least = -(-percent * total // (100 + percent))
-                    # Length, then position: what can still be shared after the first common prefix n-gram.
-                    fits = 100 * n[j] >= percent * n[i] and 1 + min(p, q) + min(n[i] - p - 1, n[j] - q - 1) >= least
-                    seen[j] = int(fits and (not across or hub[i] != hub[j]))
-            held.append((i, p))
-        found = np.array([j for j, fits in seen.items() if fits and top(j) != mine], dtype=np.int64)
+        mine = slice(begin[i], begin[i + 1])
+        size = before[mine]
+        at_list = np.repeat(list_start[mine], size) + runs(size)
+        # The rarest common n-gram comes first, and so do its places in both.
+        found, first = np.unique(owner_by[at_list], return_index=True)
+        keep = root[found] != root[i]
+        if across:
+            keep &= hub[found] != hub[i]
+        found, first = found[keep], first[keep]
         if not len(found):
             continue
+        p, q = np.repeat(place[mine], size)[first], place_by[at_list[first]]
+        # Length, then position: what can still be shared after the first common prefix n-gram.
+        least = -(-percent * (n[i] + n[found]) // (100 + percent))
+        found = found[(100 * n[found] >= percent * n[i]) & (1 + np.minimum(p, q) + np.minimum(n[i] - p - 1, n[found] - q - 1) >= least)]
         apart = np.abs(cells[found] - cells[i]).sum(axis=1)
         found = found[100 * (n[found] + n[i] - apart) * (100 + percent) >= 200 * percent * (n[found] + n[i])]
         mark[codes[at[i] : at[i + 1]]] = 1
         for block in np.array_split(found, max(1, len(found) // 256)):
+            block = block[root[block] != root[i]]
             if not len(block):
                 continue
             size = n[block]
-            where = np.repeat(at[block], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            where = np.repeat(at[block], size) + runs(size)
             shared = np.add.reduceat(mark[codes[where]], np.cumsum(size) - size)
             for j in block[100 * shared >= percent * (size + n[i] - shared)].tolist():
-                if top(j) != top(i) and exact.linked(i, j):
-                    up[top(j)] = top(i)
+                if root[j] != root[i] and exact.linked(i, j):
+                    root[root == root[j]] = root[i]
                     links.append((int(cls[i]), int(cls[j])))
         mark[codes[at[i] : at[i + 1]]] = 0
     return links
@@ -328,12 +332,15 @@ def ngram_join(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     near = scratch.keep(meet(own.select("cls", "hub", F.col("cls").alias("comp"), F.col("hub").alias("ga"), F.col("hub").alias("gb"))), "near")
     joined = connected(near)
     placed = scratch.keep(hubs.select("cls", "hub").join(joined, F.col("cls") == F.col("node"), "left").select("cls", "hub", F.coalesce("component", "cls").alias("comp")), "placed")
-    at = led.select("g", "cls").join(placed, "cls")
-    open_ = at.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("g")
+    at = led.select("g", "cls").join(placed.join(tokens.select("cls", "n"), "cls"), "cls")
+    open_ = at.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), *[F.sum(F.xxhash64(F.lit(x), "cls").cast("decimal(20,0)")).alias(x) for x in ("s1", "s2")]).where("low <> high")
+    # n-grams of one passage have the same classes, so one of them stands for all.
+    open_ = open_.groupBy("m", "s1", "s2").agg(F.min("g").alias("g")).select("g")
     at = scratch.keep(at.join(open_, "g"), "open")
-    # One row for each split that an n-gram has classes in, whatever their number: it is of use if one of them is not connected to this class.
-    met = at.groupBy("g", F.col("hub").alias("other")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    pairs = at.join(met, "g").where("hub <> other and (comp <> low or comp <> high)").select("cls", "hub", "comp", F.least("hub", "other").alias("ga"), F.greatest("hub", "other").alias("gb")).distinct()
+    # One row for each split that an n-gram has classes in, whatever their number: it is of use if one of them is not connected to this class and of fitting length.
+    met = at.groupBy("g", F.col("hub").alias("other")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = f"100 * n >= {percent} * least and 100 * most >= {percent} * n"
+    pairs = at.join(met, "g").where(f"hub <> other and (comp <> low or comp <> high) and {fits}").select("cls", "hub", "comp", F.least("hub", "other").alias("ga"), F.greatest("hub", "other").alias("gb")).distinct()
     far = meet(pairs)
 
     # 5. Components; a document with several rows ties its classes together.
