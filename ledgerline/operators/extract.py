@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import area, box, intersection_area
-from ..functions.text import normalise, ratio
+from ..functions.text import normalise
+from .captions import hits
 
 #: How far below a caption its value may lie (in caption heights), and how far to the left and right of the caption's left edge.
 BELOW, LEFT, RIGHT = 3.2, -0.012, 0.34
@@ -28,39 +29,26 @@ def lines(words: DataFrame) -> DataFrame:
     return words.groupBy("document", "page", "line").agg(text.alias("text"), F.min("left").alias("left"), F.min("top").alias("top"), (right - F.min("left")).alias("width"), (bottom - F.min("top")).alias("height"), weakest("confidence").alias("confidence"))
 
 
-def runs(words: DataFrame, most: int) -> DataFrame:
-    """Every run of 1 to `most` neighbouring words of a line, with its hull."""
-    item = F.struct("word", "text", "left", "top", "width", "height")
-    per_line = words.groupBy("document", "page", "line").agg(F.array_sort(F.collect_list(item)).alias("w"))
-    each = per_line.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("w") - F.col("i") + 1))))
-    run = F.slice("w", F.col("i"), F.col("n"))
-    cut = each.select("document", "page", "line", "i", "n", run.alias("run"))
-    left, top = F.array_min(F.transform("run", lambda x: x["left"])), F.array_min(F.transform("run", lambda x: x["top"]))
-    return cut.select("document", "page", "line", "i", "n", F.array_join(F.transform("run", lambda x: x["text"]), " ").alias("text"), left.alias("left"), top.alias("top"), (F.array_max(F.transform("run", lambda x: x["left"] + x["width"])) - left).alias("width"), (F.array_max(F.transform("run", lambda x: x["top"] + x["height"])) - top).alias("height"))
-
-
-def anchors(words: DataFrame, captions: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """Each caption's best run on each page: captions (field, caption); the first best wins. Runs have at most one word more than the caption."""
-    wanted = captions.select("field", normalise(F.col("caption"), ["whitespace", "case"]).alias("caption")).withColumn("size", F.size(F.split("caption", " ")))
-    most = wanted.agg(F.max("size")).first()[0] or 0
-    found = runs(words, most + 1).withColumn("key", normalise(F.col("text"), ["whitespace", "case"]))
-    pairs = found.join(F.broadcast(wanted), F.col("n") <= F.col("size") + 1)
-    # No run shorter than this share of the caption can be similar enough.
-    near = pairs.where(2.0 * F.least(F.length("key"), F.length("caption")) >= least * (F.length("key") + F.length("caption")))
-    scored = near.withColumn("similarity", ratio(F.col("caption"), F.col("key"))).where(F.col("similarity") >= least)
-    best = F.max_by(F.struct("line", "left", "top", "width", "height", "similarity"), F.struct("similarity", -F.col("line"), -F.col("i"), -F.col("n")))
-    return scored.groupBy("document", "page", "field").agg(best.alias("b")).select("document", "page", "field", "b.*")
+def anchors(words: DataFrame, captions: DataFrame, least: float = LEAST_SIMILARITY, documents: DataFrame | None = None) -> DataFrame:
+    """Each caption's best run on each page, see captions.hits; of equally similar ones the first in order of line, word and length."""
+    best = F.max_by(F.struct("line", "left", "top", "width", "height", "similarity"), F.struct("similarity", -F.col("line"), -F.col("word"), -F.col("n")))
+    return hits(words, captions, least, documents).groupBy("document", "page", "field").agg(best.alias("b")).select("document", "page", "field", "b.*")
 
 
 def values_below(anchor: DataFrame, words: DataFrame) -> DataFrame:
-    """The words in the band below each caption that stand on the topmost line there, left to right."""
-    w = words.select("document", "page", "text", F.col("left").alias("wl"), F.col("top").alias("wt"), F.col("height").alias("wh"), "confidence")
-    base = F.col("top") + F.col("height")
-    band = (F.col("wt") >= base) & (F.col("wt") <= base + BELOW * F.col("height")) & (F.col("wl") >= F.col("left") + LEFT) & (F.col("wl") <= F.col("left") + RIGHT)
-    met = anchor.join(w, ["document", "page"]).where(band)
-    key = Window.partitionBy("document", "page", "field")
-    first = met.withColumns({"topmost": F.min("wt").over(key), "tallest": F.max("wh").over(key)}).where(F.col("wt") <= F.col("topmost") + SAME_LINE * F.col("tallest"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wl", "text"))), lambda x: x["text"]), " ")
+    """The words on the line printed below each caption, left to right.
+
+    A word is below if its middle is within BELOW caption heights of the caption's bottom and its left edge within LEFT and RIGHT of the caption's. The line is the topmost
+    such word's: what starts within SAME_LINE of the greater of the two heights.
+    """
+    w = words.select("document", "page", "line", "word", "text", F.col("left").alias("wl"), F.col("top").alias("wt"), F.col("height").alias("wh"), "confidence")
+    base, middle = F.col("top") + F.col("height"), F.col("wt") + F.col("wh") / 2
+    band = (middle >= base) & (middle <= base + BELOW * F.col("height")) & (F.col("wl") >= F.col("left") + LEFT) & (F.col("wl") <= F.col("left") + RIGHT)
+    met = anchor.select("document", "page", "field", "left", "top", "height").join(w, ["document", "page"]).where(band)
+    topmost = F.first(F.struct("wt", "wh")).over(Window.partitionBy("document", "page", "field").orderBy("wt", "line", "word"))
+    near = F.abs(F.col("wt") - F.col("first.wt")) <= SAME_LINE * F.greatest("height", "first.wh")
+    first = met.withColumn("first", topmost).where(near)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wl", "line", "word", "text"))), lambda x: x["text"]), " ")
     return first.groupBy("document", "page", "field").agg(text.alias("value"), F.when(F.count("*") == F.count("confidence"), F.min("confidence")).alias("confidence"))
 
 
@@ -72,11 +60,29 @@ def first_page(anchor: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def locate(words: DataFrame, wanted: DataFrame, most: int = 12) -> DataFrame:
-    """The first run equal to each wanted value (document, field, value) after normalisation."""
-    rules = ["whitespace", "case", "separators"]
-    found = runs(words, most).withColumn("key", normalise(F.col("text"), rules))
+    """Where each wanted value (document, field, value) is printed first: page, line of its first word and hull of the first run of 1 to `most` words of a page that equals it.
+
+    Values and words are compared without case, marks on letters and separators. Every word gets the hashes of the runs that begin with it, from running joins of the
+    words after it; what leaves the scan is a hit's place, and its words are compared. So memory does not grow with a line or a page. A value that is empty then,
+    or that is nowhere, has no row.
+    """
+    rules = ["unicode", "whitespace", "case", "diacritics", "separators"]
     keyed = wanted.select("document", "field", normalise(F.col("value"), rules).alias("key")).where("key <> ''")
-    return found.join(keyed, ["document", "key"]).groupBy("document", "field").agg(F.min_by(F.struct("page", "line", "left", "top", "width", "height"), F.struct("page", "line", "i", "n")).alias("b")).select("document", "field", "b.*")
+    targets = keyed.groupBy("document").agg(F.collect_set(F.struct(F.xxhash64("key").alias("hash"), "key")).alias("targets"))
+    own = words.where("text is not null").select("document", "page", "line", "word", normalise(F.col("text"), rules).alias("key"), F.struct("left", "top", "width", "height").alias("box"))
+    page = Window.partitionBy("document", "page").orderBy("line", "word")
+    after = own.join(targets, "document").select("document", "page", "line", "word", "targets", *[F.coalesce(F.lead("key", i).over(page), F.lit("")).alias(f"k{i}") for i in range(most)], F.array(*[F.lead("box", i).over(page) for i in range(most)]).alias("boxes"))
+    runs = F.array(*[F.concat(*[f"k{i}" for i in range(n)]) for n in range(1, most + 1)])
+    hashes = F.array(*[F.xxhash64(F.concat(*[f"k{i}" for i in range(n)])) for n in range(1, most + 1)])
+    hit = after.where(F.arrays_overlap(hashes, F.transform("targets", lambda t: t["hash"])))
+    # The shortest run of equal text comes first; past the page's end runs only repeat.
+    each = hit.select("document", "page", "line", "word", "boxes", F.posexplode(runs).alias("n", "key")).withColumn("n", F.col("n") + 1)
+    met = each.join(keyed, ["document", "key"])
+    first = F.min_by(F.struct("page", "line", F.slice("boxes", F.lit(1), F.col("n")).alias("boxes")), F.struct("page", "line", "word", "n"))
+    found = met.groupBy("document", "field").agg(first.alias("b")).select("document", "field", "b.*")
+    left, top = F.array_min(F.transform("boxes", lambda x: x["left"])), F.array_min(F.transform("boxes", lambda x: x["top"]))
+    width, height = F.array_max(F.transform("boxes", lambda x: x["left"] + x["width"])) - left, F.array_max(F.transform("boxes", lambda x: x["top"] + x["height"])) - top
+    return found.select("document", "field", "page", "line", left.alias("left"), top.alias("top"), width.alias("width"), height.alias("height"))
 
 
 def words_in(words: DataFrame, boxes: DataFrame, share: float = 0.5) -> DataFrame:

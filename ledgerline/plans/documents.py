@@ -227,10 +227,16 @@ def box_overlap(spark, sf_dir):
 
 @query()
 def anchor_extract(spark, sf_dir):
-    """Captions found by similarity, and the values below them, on the first page that has one."""
+    """Captions of a text's language, found by similarity, and the values below them on the first page that has one.
+
+    The dictionary: the first two words of every benchmark item, in each of the languages.
+    """
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.coalesce("lang", F.lit("?")).alias("language"))
+    first = F.array_join(F.slice(F.filter(F.split("text", " "), lambda x: x != ""), 1, 2), " ")
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id")).alias("field"), first.alias("caption"))
+    captions = items.join(d.select("language").distinct())
     w = words(spark, sf_dir)
-    captions = spark.createDataFrame([("weight", "the anes"), ("place", "de la"), ("date", "der die")], "field string, caption string")
-    found = extract.anchors(w, captions)
+    found = extract.anchors(w, captions, documents=d)
     return extract.first_page(found, extract.values_below(found, w))
 
 
@@ -240,12 +246,26 @@ def line_grouping(spark, sf_dir):
     return extract.group_rows(words(spark, sf_dir)).groupBy("document", "page", "row").agg(F.count("*").alias("words"))
 
 
-@query()
+KEY = "regexp_replace(strip_accents(replace(lower(nfc_normalize({})), 'ß', 'ss')), '[\\s\\x0B .,''’_-]+', '', 'g')"
+
+
+@query(rf"""WITH {WORDS}, k AS (SELECT document, page, line, word, {KEY.format("text")} AS key, row_number() OVER (PARTITION BY document, page ORDER BY line, word) AS place FROM w),
+p AS (SELECT document, page, list(key ORDER BY place) AS keys, list(line ORDER BY place) AS lines FROM k GROUP BY document, page),
+t AS (SELECT document, 'third' AS field, key FROM k WHERE page = 1 AND line = 0 AND word = 2 UNION ALL SELECT document, 'run', {KEY.format("string_agg(text, ' ' ORDER BY word)")} FROM w WHERE page = 1 AND line = 0 AND word BETWEEN 4 AND 15 GROUP BY document),
+u AS (SELECT document, page, keys, lines, unnest(range(1, len(keys) + 1)) AS i FROM p),
+hit AS (SELECT u.document, t.field, page, lines[i] AS line, i, n FROM (SELECT *, unnest(range(1, least(12, len(keys) - i + 1) + 1)) AS n FROM u) u JOIN t ON t.document = u.document AND t.key <> '' AND array_to_string(keys[i:i + n - 1], '') = t.key),
+best AS (SELECT DISTINCT ON (document, field) * FROM hit ORDER BY document, field, page, line, i, n),
+box AS (SELECT document, page, list(lft ORDER BY line, word) AS l, list(top ORDER BY line, word) AS o, list(lft + width ORDER BY line, word) AS r, list(top + height ORDER BY line, word) AS b FROM w GROUP BY document, page)
+SELECT document, field, page::INTEGER AS page, line::INTEGER AS line, round(list_min(l[i:i + n - 1]), 6) AS left, round(list_min(o[i:i + n - 1]), 6) AS top, round(list_max(r[i:i + n - 1]) - list_min(l[i:i + n - 1]), 6) AS width, round(list_max(b[i:i + n - 1]) - list_min(o[i:i + n - 1]), 6) AS height FROM best JOIN box USING (document, page)""")
 def value_location(spark, sf_dir):
-    """Where the third word of each text's first line is printed first."""
+    """Where the third word and the fifth to sixteenth of each text's first line are printed first, as runs of up to twelve words."""
     w = words(spark, sf_dir)
-    wanted = w.where("page = 1 and line = 0 and word = 2").select("document", F.lit("third").alias("field"), F.col("text").alias("value"))
-    return extract.locate(w, wanted, 3)
+    first = w.where("page = 1 and line = 0")
+    run = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda x: x["text"]), " ")
+    third = first.where("word = 2").select("document", F.lit("third").alias("field"), F.col("text").alias("value"))
+    twelve = first.where("word between 4 and 15").groupBy("document").agg(F.lit("run").alias("field"), run.alias("value"))
+    found = extract.locate(w, third.unionByName(twelve))
+    return found.select("document", "field", "page", "line", *[F.round(c, 6).alias(c) for c in ("left", "top", "width", "height")])
 
 
 @query()
