@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lake, plan, publish, versions
+from . import plan, publish, versions
+from .commits import Table
 
 ENTRY = "struct<field:string,value:string,confidence:double,threshold:double,publishable:boolean,queued_because:string,verdict:string,tier:int,reader_tier:int>"
 CONTENT = ("document_id", "version", "reader", "reader_tier", "fields")
@@ -48,30 +48,20 @@ def review_queue(records: DataFrame) -> DataFrame:
     return records.select("document_id", "version", F.explode(F.filter("fields", lambda f: f["queued_because"].isNotNull())).alias("f")).select("document_id", "version", "f.field", "f.value", "f.confidence", "f.queued_because")
 
 
-def _there(spark: SparkSession, read: Callable[[], DataFrame], schema: str) -> DataFrame:
-    """The table, or no rows where nothing has been written yet."""
-    try:
-        return read()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def append_json(records: DataFrame, at: str) -> None:
-    """Append the records of versions that are not there yet, one JSON object a line."""
-    spark = records.sparkSession
-    old = _there(spark, lambda: spark.read.schema(SCHEMA).json(at), SCHEMA)
-    lake.new_rows(records.select(*CONTENT, "fingerprint"), old).write.mode("append").json(at)
+def append_json(records: DataFrame, at: str) -> int:
+    """Append the records of versions that are not there yet, one JSON object a line; how many there were. See commits.Table for writers at once."""
+    return Table(records.sparkSession, at, ["document_id", "version"], "json").append(records.select(*CONTENT, "fingerprint"))
 
 
 def read_json(spark: SparkSession, at: str) -> DataFrame:
-    """Records as written, with `refusal`: why a record may not be used, or null. No line is dropped.
+    """Records as written (a table of append_json, or plain files), with `refusal`: why a record may not be used, or null. No line is dropped.
 
     The first that holds of: unreadable, no_document, no_version, unnamed_field, repeated_field, confidence, published_without_value,
     published_and_queued, fingerprint.
     """
-    raw = spark.read.schema(f"{SCHEMA}, unread string").option("columnNameOfCorruptRecord", "unread").json(at)
+    stored = Table(spark, at, kind="json").entries()
+    paths = [f"{at}/data/{e['data']}/rows" for e in stored] or at
+    raw = spark.read.schema(f"{SCHEMA}, unread string").option("columnNameOfCorruptRecord", "unread").json(paths)
     f = F.coalesce("fields", F.array().cast(f"array<{ENTRY}>"))
     some = lambda test: F.coalesce(F.exists(f, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
     names = F.transform(f, lambda x: x["field"])
@@ -87,17 +77,30 @@ def read_json(spark: SparkSession, at: str) -> DataFrame:
 LEDGER = "document string, reader string, version string, refused boolean, seq long"
 
 
+DECISIONS = "version string, field string, decision string, value string, reviewer string, decided_on timestamp"
+
+
 def scan(spark: SparkSession, at: str, schema: str = LEDGER) -> DataFrame:
-    """A stored ledger or table of decisions; no rows where there is none yet."""
-    return _there(spark, lambda: spark.read.schema(schema).parquet(at), schema)
+    """A stored ledger; no rows where there is none yet."""
+    return Table(spark, at).read(schema=schema)
+
 
+def append(rows: DataFrame, at: str, key: list[str], schema: str = LEDGER) -> int:
+    """Append the rows whose key is not there yet; of rows with one key, the smallest. How many there were."""
+    kinds = rows.sparkSession.createDataFrame([], schema).schema
+    rest = [c for c in kinds.names if c not in key]
+    new = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r")).select(*key, "r.*")
+    return Table(rows.sparkSession, at, key).append(new.select([F.col(f.name).cast(f.dataType) for f in kinds]))
 
-def append(rows: DataFrame, at: str, key: list[str], schema: str = LEDGER) -> None:
-    """Append the rows whose key is not there yet; of rows with one key, the smallest."""
-    stored = scan(rows.sparkSession, at, schema)
-    rest = [c for c in stored.columns if c not in key]
-    new = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r")).select(*key, "r.*").join(stored.select(*key).distinct(), key, "left_anti")
-    new.select([F.col(f.name).cast(f.dataType) for f in stored.schema]).write.mode("append").parquet(at)
+
+def decisions(spark: SparkSession, at: str) -> DataFrame:
+    """The decisions of reviewers: one a version and field, the first that was recorded."""
+    return scan(spark, at, DECISIONS)
+
+
+def record_decisions(rows: DataFrame, at: str) -> int:
+    """Store decisions on (version, field); one that has been decided stays as it is. How many were new."""
+    return append(rows, at, ["version", "field"], DECISIONS)
 
 
 def reprocess(documents: DataFrame, work: Callable[[DataFrame], DataFrame], at: str, reader: str, size: int) -> int:
@@ -129,12 +132,17 @@ def split_loadable(rows: DataFrame, needed: list[str]) -> tuple[DataFrame, DataF
 
 
 def load(rows: DataFrame, at: str, needed: list[str]) -> DataFrame:
-    """Truncate and rewrite a table of the warehouse; returns the counts of what was left out."""
+    """Put the rows in place of a table of the warehouse; returns the counts of what was left out. Readers see the old table or the new one."""
     good, excluded = split_loadable(rows, needed)
-    good.write.mode("overwrite").parquet(at)
+    Table(rows.sparkSession, at).replace(good)
     return excluded
 
 
+def loaded(spark: SparkSession, at: str) -> DataFrame:
+    """A table of the warehouse as of its last load."""
+    return Table(spark, at).read()
+
+
 def lake_counts(rows: DataFrame) -> DataFrame:
     """rows, with_value, versions of the lake, and how many versions supersede another."""
     return rows.agg(F.count("*").alias("rows"), F.count("value").alias("with_value"), F.countDistinct("document_id", "version").alias("versions"), F.countDistinct(F.when(F.col("supersedes").isNotNull(), F.struct("document_id", "version"))).alias("superseding"))

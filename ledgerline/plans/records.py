@@ -13,19 +13,26 @@ from .documents import UNIT, _unit_findings
 from .registry import query, table
 
 
-def _records(spark, sf_dir):
-    """An order is a document of three fields: its total is checked, its status was read without a place on the page for each seventh."""
-    o = table(spark, sf_dir, "orders")
+THRESHOLDS = [("status", 0.5), ("priority", None), ("total", 0.7)]
+
+
+def readings():
+    """An order as a document of three fields: its total is checked, its status was read without a place on the page for each seventh."""
     k = F.col("o_orderkey")
     field = lambda name, value, confidence, verdict: F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"), confidence.alias("confidence"), verdict.alias("verdict"))
     seen = F.lit("verified")
-    rows = F.array(
+    return F.array(
         field("status", F.col("o_orderstatus"), (k % 100) / 100.0, F.when(k % 7 == 0, "reread_differs").otherwise(seen)),
         field("priority", F.when(k % 5 > 0, F.col("o_orderpriority")), F.lit(0.9), seen),
         field("total", F.col("o_custkey"), F.when(k % 4 > 0, F.lit(0.8)), seen),
     )
-    extracted = o.select(k.alias("document"), F.explode(rows).alias("f")).select("document", "f.*")
-    thresholds = spark.createDataFrame([("status", 0.5), ("priority", None), ("total", 0.7)], "field string, threshold double")
+
+
+def _records(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    extracted = o.select(k.alias("document"), F.explode(readings()).alias("f")).select("document", "f.*")
+    thresholds = spark.createDataFrame(THRESHOLDS, "field string, threshold double")
     totals = o.select(k.alias("document"), F.when(k % 3 == 0, "rows_missing").otherwise("agrees").alias("outcome"))
     return records.publish_documents(extracted, thresholds, totals, "total", "reader-1", 1)
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..operators import drift, records
+from ..operators.commits import Table
+from ..sources.readings import landing_keys
 
-from ..operators import drift, lake
+#: The state store that `Windows` needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def arrivals(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -22,41 +30,135 @@ def with_event_time(stream: DataFrame, column: str = "ts", late: str = "1 hour")
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, late)
 
 
-def drift_windows(stream: DataFrame, length: str = "1 day") -> DataFrame:
-    """Summaries per tumbling window of (ts, document, confidence, abstained).
+class Windows(StatefulProcessor):
+    """State of one day and of its hash part of documents: distinct documents, confidences counted by value, and counts.
 
-    Rows and distinct documents differ; state holds one approximate distinct count and one value list a window.
+    Documents are keys of a map, so a repeated one is seen; confidences are keys of another with their numbers, so a median needs no list of them. A window is put out
+    once, when the watermark has passed its end, by a timer; what comes later is dropped by the watermark. State goes with the window.
     """
-    return stream.groupBy(F.window("ts", length)).agg(F.approx_count_distinct("document").alias("documents"), F.median("confidence").alias("median_confidence"), F.avg(F.col("abstained").cast("int")).alias("abstention_rate"), F.count_if(F.col("confidence").isNull()).alias("unscored"))
 
-
-def watch(stream: DataFrame, bands: dict[str, tuple[float, float]], least: int, sink: str, checkpoint: str) -> StreamingQuery:
-    """Assess each closed window and append the findings as Parquet."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.documents = handle.getMapState("documents", "document string", "n long")
+        self.values = handle.getMapState("values", "confidence double", "n long")
+        self.counts = handle.getValueState("counts", "rows long, abstained long, judged long, unscored long, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        total, abstained, judged, unscored, due = self.counts.get() if self.counts.exists() else (0, 0, 0, 0, 0)
+        for part in rows:
+            for document, n in part["document"].dropna().value_counts().items():
+                self.documents.updateValue((document,), ((self.documents.getValue((document,))[0] if self.documents.containsKey((document,)) else 0) + int(n),))
+            for confidence, n in part["confidence"].dropna().value_counts().items():
+                self.values.updateValue((float(confidence),), ((self.values.getValue((float(confidence),))[0] if self.values.containsKey((float(confidence),)) else 0) + int(n),))
+            total, unscored = total + len(part), unscored + int(part["confidence"].isna().sum())
+            abstained, judged = abstained + int(part["abstained"].fillna(False).astype(bool).sum()), judged + int(part["abstained"].notna().sum())
+            if not due:
+                due = int(part["due"].iloc[0])
+                self.handle.registerTimer(due)
+        self.counts.update((total, abstained, judged, unscored, due))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        total, abstained, judged, unscored, _ = self.counts.get()
+        values = sorted((v[0], n[0]) for v, n in self.values.iterator())
+        yield pd.DataFrame({"start": [key[0]], "part": [key[1]], "rows": [total], "documents": [sum(1 for _ in self.documents.keys())], "abstained": [abstained], "judged": [judged], "unscored": [unscored], "values": [[v for v, _ in values]], "counts": [[n for _, n in values]]})
+        self.documents.clear()
+        self.values.clear()
+        self.counts.clear()
+
+    def close(self) -> None:
+        pass
+
+
+PARTIAL = "start timestamp, part int, rows long, documents long, abstained long, judged long, unscored long, values array<double>, counts array<long>"
+
+
+def drift_parts(stream: DataFrame, length: str = "1 day", parts: int = 8) -> DataFrame:
+    """Closed windows of (ts, document, confidence, abstained), each in `parts` by a hash of the document, so that a day is many tasks' work.
+
+    Exact: a document is in one part, so distinct documents add up, and confidences are counted by value (see `Windows`).
+    """
+    window = F.window("ts", length)
+    due = (F.unix_micros(window["end"]) / 1000).cast("long")
+    rows = stream.select("ts", window["start"].alias("start"), F.pmod(F.xxhash64("document"), F.lit(parts)).cast("int").alias("part"), F.col("document").cast("string").alias("document"), F.col("confidence").cast("double").alias("confidence"), "abstained", due.alias("due"))
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return rows.groupBy("start", "part").transformWithStateInPandas(Windows(), PARTIAL, outputMode="append", timeMode="eventTime")
+
+
+def whole_windows(parts: DataFrame) -> DataFrame:
+    """start, rows, documents, median_confidence, abstention_rate, unscored of windows whose parts are all there."""
+    summed = parts.groupBy("start").agg(*[F.sum(c).alias(c) for c in ("rows", "documents", "abstained", "judged", "unscored")])
+    values = parts.select("start", F.explode(F.arrays_zip("values", "counts")).alias("v")).groupBy("start", F.col("v.values").alias("value")).agg(F.sum("v.counts").alias("n"))
+    order = Window.partitionBy("start").orderBy("value")
+    placed = values.withColumns({"to": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy("start"))})
+    # The two middle places, which are one where the number is odd.
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    holds = lambda at: (F.col("to") - F.col("n") < at) & (at <= F.col("to"))
+    middle = placed.groupBy("start").agg(((F.max(F.when(holds(low), F.col("value"))) + F.max(F.when(holds(high), F.col("value")))) / 2).alias("median_confidence"))
+    rate = F.when(F.col("judged") > 0, F.col("abstained") / F.col("judged"))
+    return summed.join(middle, "start", "left").select("start", "rows", "documents", "median_confidence", rate.alias("abstention_rate"), "unscored")
+
+
+def watch(stream: DataFrame, bands: dict[str, tuple[float, float]], least: int, sink: str, checkpoint: str, parts: int = 8) -> StreamingQuery:
+    """Assess each closed window and store the findings, with its exact number of documents, in the table at `sink` (day, measure are its key).
+
+    All parts of a window close on one watermark, so they come in one batch; a batch that is run again adds nothing.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        drift.assess(batch.withColumn("day", F.col("window.start").cast("date")).drop("window"), bands, least).write.mode("append").parquet(sink)
+        kept = batch.persist()
+        try:
+            days = whole_windows(kept).withColumn("day", F.col("start").cast("date"))
+            Table(batch.sparkSession, sink, ["day", "measure"]).append(drift.assess(days.drop("start", "rows"), bands, least))
+        finally:
+            kept.unpersist()
 
-    return drift_windows(stream).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    return drift_parts(stream, parts=parts).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
 def land(stream: DataFrame, flatten, table: str, checkpoint: str, time: str = "extracted_on", late: str = "1 hour") -> StreamingQuery:
-    """Append records' rows once: repeated deliveries within the watermark fall out of the stream, older ones by an anti-join with the lake.
+    """Append records' rows once: repeated deliveries within the watermark fall out of the stream, older ones by the table's keys.
 
-    A batch that is run again after a failure finds its own rows there and adds nothing.
+    The table may have other writers, and a batch that is run again after a failure finds its own rows there and adds nothing.
     """
     once = stream.withWatermark(time, late).dropDuplicatesWithinWatermark(["document_id", "version"])
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = flatten(batch)
-        path = spark._jvm.org.apache.hadoop.fs.Path(table)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            rows = lake.new_rows(rows, spark.read.parquet(table))
-        rows.write.mode("append").parquet(table)
+        Table(batch.sparkSession, table, ["document_id", "version"]).append(flatten(batch))
 
     return once.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
+def arrive(stream: DataFrame, thresholds: DataFrame, totals: Callable[[DataFrame], DataFrame], total_field: str, reader: str, tier: int, at: str, checkpoint: str) -> StreamingQuery:
+    """Readings as they arrive become records, messages to reviewers, or refusals: three tables below `at`, from one stream.
+
+    A reading is (path, fields: array of field, value, confidence, verdict). Its path names language, document type and document; a path of another form, or
+    a reading without fields, is refused with its reason. `totals` gives (document, outcome) for a batch's readings. Each table is appended by its
+    own key, so a batch that broke off between two of them is completed when it is run again, and doubles nothing.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        kept = batch.persist()
+        try:
+            named = kept.join(landing_keys(kept.select("path").distinct()), "path")
+            reason = F.when(F.col("refused"), "path").when(F.coalesce(F.size("fields"), F.lit(0)) < 1, "no_fields")
+            judged = named.withColumn("reason", reason)
+            Table(spark, f"{at}/refused", ["path"]).append(judged.where("reason is not null").select("path", "reason").distinct())
+            good = judged.where("reason is null").dropDuplicates(["document_id"])
+            extracted = good.select(F.col("document_id").alias("document"), F.explode("fields").alias("f")).select("document", "f.*")
+            made = records.publish_documents(extracted, thresholds, totals(good.select(F.col("document_id").alias("document"))), total_field, reader, tier).persist()
+            try:
+                Table(spark, f"{at}/queue", ["document_id", "version", "field"]).append(records.review_queue(made))
+                Table(spark, f"{at}/records", ["document_id", "version"]).append(made)
+            finally:
+                made.unpersist()
+        finally:
+            kept.unpersist()
+
+    return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
 def latest(stream: DataFrame, key: str, on: str, value: str) -> DataFrame:
     """The newest value of each key so far (update or complete mode): one row of state a key."""
     return stream.groupBy(key).agg(F.max_by(value, on).alias(value), F.max(on).alias(on))

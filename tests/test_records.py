@@ -18,7 +18,7 @@ def test_a10_n4_a_changed_record_is_refused(spark, data, tmp_path):
     back = records.read_json(spark, at)
     n = back.count()
     assert n == spark.read.parquet(f"{data}/orders.parquet").count() and back.where("refusal is not null").count() == 0
-    line = json.loads(spark.read.text(at).orderBy("value").first()[0])
+    line = json.loads(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*.json").text(at).orderBy("value").first()[0])
     other = dict(line, reader="else")
     twice = dict(line, fields=line["fields"] * 2)
     broken = tmp_path / "b.json"
@@ -41,7 +41,9 @@ def test_a17_j18_reprocess_resumes_and_is_idempotent(spark, tmp_path):
 def test_a15_f9_f10_load_counts_what_it_leaves_out(spark, tmp_path):
     rows = spark.createDataFrame([("d", "1", None, "x", None), ("d", "2", "1", None, 1), ("e", "3", None, "y", 2)], "document_id string, version string, supersedes string, value string, tier int")
     assert [tuple(r) for r in records.load(rows, str(tmp_path / "w"), ["tier"]).collect()] == [("tier", 1)]
-    assert spark.read.parquet(str(tmp_path / "w")).count() == 2
+    assert records.loaded(spark, str(tmp_path / "w")).count() == 2
+    records.load(rows.where("document_id = 'd'"), str(tmp_path / "w"), ["tier"])
+    assert records.loaded(spark, str(tmp_path / "w")).count() == 1
     assert tuple(records.lake_counts(rows).first()) == (3, 2, 3, 1)
 
 
@@ -62,3 +64,12 @@ def test_b17_c20_m5_headings(spark):
     assert classify.restricted(ok, context).count() == 0
     floor = classify.prior_floor(spark.createDataFrame([("a", 1.0), ("b", 0.0)], "class string, intercept double"))
     assert floor.first()["floor"] == pytest.approx(math.e / (math.e + 1))
+
+
+def test_a16_one_decision_a_version_and_field(spark, tmp_path):
+    at = str(tmp_path / "d")
+    rows = spark.createDataFrame([("v", "total", "accepted"), ("v", "total", "rejected"), ("v", "date", "rejected")], "version string, field string, decision string")
+    rows = rows.selectExpr("*", "'x' AS value", "'r' AS reviewer", "timestamp'2024-01-01' AS decided_on")
+    assert records.decisions(spark, at).count() == 0 and records.record_decisions(rows, at) == 2
+    assert records.record_decisions(rows.withColumn("decision", F.lit("changed")), at) == 0
+    assert {(r["field"], r["decision"]) for r in records.decisions(spark, at).collect()} == {("total", "accepted"), ("date", "rejected")}
