@@ -333,14 +333,21 @@ def ngram_join(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     joined = connected(near)
     placed = scratch.keep(hubs.select("cls", "hub").join(joined, F.col("cls") == F.col("node"), "left").select("cls", "hub", F.coalesce("component", "cls").alias("comp")), "placed")
     at = led.select("g", "cls").join(placed.join(tokens.select("cls", "n"), "cls"), "cls")
-    open_ = at.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), *[F.sum(F.xxhash64(F.lit(x), "cls").cast("decimal(20,0)")).alias(x) for x in ("s1", "s2")]).where("low <> high")
+    marks = [F.sum(F.xxhash64(F.lit(x), "cls").cast("decimal(20,0)")).alias(x) for x in ("s1", "s2")]
+    open_ = at.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), *marks).where("low <> high")
     # n-grams of one passage have the same classes, so one of them stands for all.
     open_ = open_.groupBy("m", "s1", "s2").agg(F.min("g").alias("g")).select("g")
     at = scratch.keep(at.join(open_, "g"), "open")
-    # One row for each split that an n-gram has classes in, whatever their number: it is of use if one of them is not connected to this class and of fitting length.
-    met = at.groupBy("g", F.col("hub").alias("other")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = f"100 * n >= {percent} * least and 100 * most >= {percent} * n"
-    pairs = at.join(met, "g").where(f"hub <> other and (comp <> low or comp <> high) and {fits}").select("cls", "hub", "comp", F.least("hub", "other").alias("ga"), F.greatest("hub", "other").alias("gb")).distinct()
+    # Splits meet as wholes: one row for two splits that share an n-gram, with those of their classes that have it and are of use to the other: not all connected
+    # already, and of fitting length. A split is bounded, and so are these lists.
+    member = F.struct("cls", "comp", "n")
+    split = at.groupBy("g", "hub").agg(F.collect_list(member).alias("own"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    one, two = split.select("g", *[F.col(c).alias(f"a_{c}") for c in split.columns[1:]]), split.select("g", *[F.col(c).alias(f"b_{c}") for c in split.columns[1:]])
+    met = one.join(two, "g").where(f"a_hub < b_hub and (a_low <> a_high or b_low <> b_high or a_low <> b_low) and 100 * a_most >= {percent} * b_least and 100 * b_most >= {percent} * a_least")
+    useful = lambda x, o: ((x["comp"] != F.col(f"{o}_low")) | (x["comp"] != F.col(f"{o}_high"))) & (100 * x["n"] >= percent * F.col(f"{o}_least")) & (100 * F.col(f"{o}_most") >= percent * x["n"])
+    each = lambda of, o, hub: F.transform(F.filter(f"{of}_own", lambda x: useful(x, o)), lambda x: F.struct(x["cls"].alias("cls"), F.col(hub).alias("hub"), x["comp"].alias("comp")))
+    both = met.select(F.col("a_hub").alias("ga"), F.col("b_hub").alias("gb"), F.concat(each("a", "b", "a_hub"), each("b", "a", "b_hub")).alias("own"))
+    pairs = both.groupBy("ga", "gb").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own")).select("ga", "gb", F.inline("own"))
     far = meet(pairs)
 
     # 5. Components; a document with several rows ties its classes together.
