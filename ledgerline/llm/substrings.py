@@ -8,7 +8,7 @@ place of that minimum (an anchor), so about one entry in fourteen windows is kep
 fingerprints. A batch of documents becomes one immutable run of anchors, bucketed and sorted by fingerprint. It is
 merge-joined with the runs before it, bucket by bucket and without a shuffle, to find the fingerprints that repeat;
 when there are more than `fan_in` runs they are compacted into one. An index with a folder of its own outlives the session: each
-append ends by writing a manifest, and `open` goes on from the last one that is whole.
+append ends by writing a state file, and `open` goes on from the last one that is whole.
 
 Verification. Anchors that repeat are only candidates. Their documents are read again and each candidate window is
 compared by 128 bits of two independent hashes over all its 35 words, which no regularity of the words cancels
@@ -17,7 +17,8 @@ compared by 128 bits of two independent hashes over all its 35 words, which no r
 Skew. A task settles the repeats that it sees itself and sends only one witness of them, so a passage that a
 third of all documents hold costs one entry a task and not one a document.
 
-Rows: null text has no words. A null doc_id is a document like any other. Repeated rows are copies of each other.
+Rows: null text has no words. A null doc_id is a document like any other. Rows that repeat a doc_id and its text are copies of each other: all their windows repeat,
+so one of them goes to the index for the sake of other documents, and the others need no search, however many they are.
 Texts below 35 words lose nothing. An empty table gives an empty result.
 """
 
@@ -30,10 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.shared import Scratch, shuffle_parts
+from ledgerline.shared import Scratch, shuffle_parts, small
+
 from .words import U, Words, gram_starts, grams, pieces, thrifty, words
 
 GRAM = 8
@@ -236,7 +239,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _per_document(spans: DataFrame) -> DataFrame:
-    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 class SubstringIndex:
@@ -257,20 +260,20 @@ class SubstringIndex:
 
     @classmethod
     def open(cls, spark: SparkSession, at: str, window: int = 35, fan_in: int = 4) -> SubstringIndex:
-        """The index in the folder `at`, as its last whole manifest has it; a new one if there is none."""
+        """The index in the folder `at`, as its last whole state file has it; a new one if there is none."""
         index = cls(spark, window, fan_in, at)
-        whole = [x for x in index.scratch.names("manifest") if "_SUCCESS" in index.scratch.names(f"manifest/{x}")]
+        whole = [x for x in index.scratch.names("state") if "_SUCCESS" in index.scratch.names(f"state/{x}")]
         if whole:
-            state = json.loads(spark.read.text(index.scratch.path(f"manifest/{max(whole)}")).first()[0])
+            state = json.loads(spark.read.text(index.scratch.path(f"state/{max(whole)}")).first()[0])
             if state["window"] != window:
                 raise ValueError(f"the index has windows of {state['window']} words")
             index.parts, index.runs, index.settled, index.repeated, index.made = (state[x] for x in ("parts", "runs", "settled", "repeated", "made"))
         return index
 
     def _save(self) -> None:
-        """The manifest: a batch counts once it is there, and a failed append leaves the one before."""
+        """The state file: a batch counts once it is there, and a failed append leaves the one before."""
         state = json.dumps({"window": self.window, "parts": self.parts, "runs": self.runs, "settled": self.settled, "repeated": self.repeated, "made": self.made})
-        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(self.scratch.path(f"manifest/{self.made:09d}"))
+        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(self.scratch.path(f"state/{self.made:09d}"))
 
     def _table(self, name: str) -> DataFrame:
         """One run; a session that does not know the table yet learns that its files are bucketed and sorted."""
@@ -356,17 +359,19 @@ class SubstringIndex:
 
 
 def _cut(window: int, columns: list[str]):
-    """(carried, text, spans) -> the columns with n_words, n_removed and kept_text."""
+    """(carried, text, copy, spans) -> the columns with n_words, n_removed and kept_text; rows marked as copies for the index are no rows of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.invert(batch.column("copy")))
             kept, total, gone = [], [], []
             for text, spans in zip(batch.column("text"), batch.column("spans")):
                 found = (text.as_py() or "").encode().split()
                 marks = spans.as_py()
-                if marks:
+                if marks and len(found) >= window:
                     step = np.zeros(len(found) + 1, dtype=np.int64)
                     start, n = np.array([x["start"] for x in marks]), np.array([x["n"] for x in marks])
+                    n = np.minimum(n, len(found) - window + 1 - start)
                     np.add.at(step, start, 1)
                     np.add.at(step, start + n - 1 + window, -1)
                     left = np.cumsum(step)[:-1] == 0
@@ -388,15 +393,26 @@ def dedup_substrings(docs: DataFrame, window: int = 35, batches: int = 3, fan_in
     Returns, for every row, the columns named in `carry` and n_words, n_removed, kept_text (the words that stay,
     joined by one space).
     """
-    index = SubstringIndex(docs.sparkSession, window, fan_in)
-    for i in range(batches):
-        index.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i) if batches > 1 else docs)
+    spark = docs.sparkSession
     columns = list(dict.fromkeys(carry))
     # In a struct, so that no carried column clashes with those of the index; the text is sent once.
     others = F.struct(F.lit(True).alias("row"), *[F.col(c) for c in columns if c != "text"]).alias("carried")
-    keyed = _keyed(docs.select(others, "doc_id", F.col("text").cast("string").alias("text"))).select("carried", "text", *KEY)
-    rows = keyed.join(index.spans(keyed), list(KEY), "left")
+    keyed = _keyed(docs.select(others, "doc_id", F.col("text").cast("string").alias("text"))).select("carried", "doc_id", "text", *KEY, F.lit(False).alias("copy"))
+    kept = Scratch(spark, "repeated-rows")
+    twice = kept.keep(keyed.groupBy(*KEY).count().where("count > 1").select(*KEY), "twice")
+    many, repeated = twice.count(), None
+    if many:
+        repeated = keyed.join(small(twice, many, 24), list(KEY), "left_semi")
+        keyed = keyed.join(small(twice, many, 24), list(KEY), "left_anti").select(*keyed.columns)
+        keyed = keyed.unionByName(repeated.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in ("carried", "doc_id", "text")], F.lit(True).alias("copy")))
+    index = SubstringIndex(spark, window, fan_in)
+    for i in range(batches):
+        index.append(keyed.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i) if batches > 1 else keyed)
+    rows = keyed.join(index.spans(keyed.select("text", *KEY)), list(KEY), "left").select("carried", "text", "copy", "spans")
     index.close()
     index.scratch.drop(*index.scratch.names())  # what is still needed is written apart
+    if repeated is not None:
+        every = F.array(F.struct(F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("n")))
+        rows = rows.unionByName(repeated.select("carried", "text", "copy", every.alias("spans")))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return rows.select("carried", "text", "spans").mapInArrow(thrifty(_cut(window, columns)), f"{out}, n_words long, n_removed long, kept_text string")
+    return rows.mapInArrow(thrifty(_cut(window, columns)), f"{out}, n_words long, n_removed long, kept_text string")
