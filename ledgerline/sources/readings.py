@@ -154,7 +154,7 @@ def merge_readings(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
 
 def digest_of(path: str) -> str:
-    """SHA-256 of a local file, for manifests written beside recordings in tests."""
+    """SHA-256 of a local file, for the lists written beside recordings in tests."""
     with open(path, "rb") as file:
         return hashlib.sha256(file.read()).hexdigest()
 
