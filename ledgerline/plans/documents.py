@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import checkdigit, quantity, text
 from ..functions.geometry import area, box, contains, intersection_area, iou
-from ..operators import classify, entities, extract, reconcile, screening
+from ..operators import classify, entities, extract, reconcile, screening, search
+from ..shared import shared_dir
 from .registry import query, table
 
 
@@ -195,6 +198,32 @@ def search_published(spark, sf_dir):
     return screening.search(screening.search_documents(fields, ("lang", "source", "document_type")), "e", 50).select("document", "matched")
 
 
+_TERMS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query(rf"""WITH f AS (SELECT doc_id::VARCHAR AS version, 'title' AS field, {_TERMS.format("string_split(text, chr(10))[1]")} AS t, lang FROM documents WHERE doc_id % 3 <> 0 AND text <> '' AND string_split(text, chr(10))[1] <> ''
+UNION ALL SELECT doc_id::VARCHAR, 'source', {_TERMS.format("source")}, lang FROM documents WHERE doc_id % 3 <> 0 AND source <> '' UNION ALL SELECT doc_id::VARCHAR, 'document_id', {_TERMS.format("doc_id::VARCHAR")}, lang FROM documents),
+n AS (SELECT field, count(*) AS n, avg(len(t)) AS mean FROM f GROUP BY field), q(term) AS (VALUES ('the'), ('de'), ('die'), ('web'), ('17')),
+p AS (SELECT version, field, term, len(t) AS len, len(list_filter(t, lambda w: w = term)) AS tf FROM f, q WHERE list_contains(t, term)), d AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL),
+s AS (SELECT version, field, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) AS score FROM p JOIN d USING (field, term) JOIN n USING (field) GROUP BY ALL)
+SELECT version, round(max(score), 6) AS score FROM s GROUP BY version""")
+def search_relevance(spark, sf_dir):
+    """Every document's score for five terms over published titles and sources, from an index that two publications made, the second of them in part known."""
+    at = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+    index, fields = search.SearchIndex(spark, at), search_fields(spark, sf_dir)
+    index.publish(search.searchable(fields.where("version % 2 = 0"), ("title", "source")))
+    index.publish(search.searchable(fields, ("title", "source")))
+    return index.scores("The DE, die? web 17").groupBy("version").agg(F.round(F.max("score"), 6).alias("score"))
+
+
+def search_fields(spark, sf_dir):
+    """Of each text the first line as a title, its source, and a field that is not for search."""
+    d = table(spark, sf_dir, "documents")
+    named = F.array(*[F.struct(F.lit(c).alias("field"), v.alias("value")) for c, v in (("title", F.get(F.split("text", "\n"), 0)), ("source", F.col("source")), ("hidden", F.lit("the web")))])
+    known = (F.col("doc_id") % 3 != 0).alias("published")
+    return d.select(F.col("doc_id").cast("string").alias("version"), F.col("doc_id").alias("document"), F.timestamp_seconds(F.col("doc_id") % 50).alias("extracted_on"), F.col("lang").alias("document_type"), known, F.lit(None).cast("string").alias("queued_because"), F.explode(named).alias("f")).select("*", "f.*").drop("f")
+
+
 def words(spark, sf_dir):
     """Words of every text laid out on pages: lines become lines, places in the line become left edges."""
     d = table(spark, sf_dir, "documents")
