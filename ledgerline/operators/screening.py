@@ -1,30 +1,98 @@
-"""Screening of untrusted text for instructions, fencing it, and search over what is published."""
+"""Screening of untrusted text for instructions, fencing it, and search over what is published.
+
+Screening is a classifier of clauses that learns from labelled ones (attempts.EXAMPLES, or others). A clause's features are its words and the ordered pairs of words at
+most `NEAR` apart; addresses, fences, line starts and colons are words of their own, so that sending somewhere or speaking under a label can be learned. A kind has a
+weight for each feature by logistic regression against the clean clauses. A stretch of `STRETCH` words and more scores the sum over its distinct features, and a text is reported for a
+kind if some stretch reaches the kind's threshold.
+"""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import lru_cache
+from typing import NamedTuple
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nfkc
-
-# Words of each part of an attempt; a rule is a condition on the words of one clause (or on a line's label).
-LEADING = ("please", "now", "then", "first", "next", "kindly", "just", "also", "and", "so", "you", "must", "should", "shall", "will", "can", "could", "would", "to", "need", "have", "immediately")
-REVOKE = ("ignore", "disregard", "forget", "override", "bypass", "skip", "discard", "neglect", "drop", "abandon")
-GUIDANCE = ("instruction", "instructions", "prompt", "prompts", "rule", "rules", "directive", "directives", "direction", "directions", "context", "contexts", "guideline", "guidelines", "constraint", "constraints", "guidance", "message", "messages")
-BEFORE = ("above", "foregoing")
-ROLES = ("system", "assistant", "user", "ai", "developer", "model")
-OPEN_CLOSE = ("end", "begin", "start", "stop")
-BOUNDED = ("document", "input", "context", "instruction", "instructions", "system", "prompt", "data")
-NOTES = ("note", "notes", "message", "messages", "instruction", "instructions", "memo", "notice", "attention")
-MACHINES = ("processor", "system", "ai", "model", "assistant", "reviewer", "operator", "classifier", "parser", "agent", "bot")
-DICTATE = ("set", "change", "use", "treat", "classify", "mark", "declare", "record", "enter", "report", "assign", "register")
-AS = ("as", "to", "under")
-SEND = ("send", "post", "forward", "email", "transmit", "upload", "mail", "submit", "copy")
-SECRETS = ("secret", "secrets", "credential", "credentials", "password", "passwords", "api_key", "api-key", "token", "tokens")
-#: Words after which a demand may start in the middle of a clause, the end of a line among them.
-LINE = "0line0"
-PUSH = (*"please must should now then first".split(), LINE)
-RULES = ("revokes_guidance", "speaks_as_role", "forges_boundary", "addresses_machine", "dictates_value", "sends_out")
+from .attempts import EXAMPLES
+
+#: Ends of clauses, and what becomes a word of its own: pattern and word.
+ENDS = r"[.;!?]+(?:\s+|$)|\n\s*\n"
+MARKS = (
+    (r"[a-z]+://\S+", " addressmark "), (r"[^\s@]+@[^\s@]+[.][a-z]+", " addressmark "), (r"(?:#{3,}|-{3,}|={3,}|\*{3,}|`{3,})", " fencemark "),
+    (r"[:>]", " colonmark "), (r"\n", " linemark "), (r"[^\p{L}\p{N}]+", " "),
+)
+NEAR, STRETCH = 3, 24
+#: Letters of words that may be too common to say anything.
+SHORT = 4
+#: Ridge of the fit, and the least weight that is kept.
+RIDGE, WEIGHT = 0.1, 0.1
+
+
+class Screen(NamedTuple):
+    """Weights of features by kind, and what the features of a kind have to add up to."""
+
+    weights: dict[str, dict[str, float]]
+    threshold: dict[str, float]
+
+
+def _clause_features(text: str) -> list[list[tuple[str, int]]]:
+    """Of each clause its features and the place of their first word; in Python for the labelled clauses."""
+    out = []
+    for clause in re.split(ENDS, text.lower()):
+        for pattern, word in MARKS[:-1]:
+            clause = re.sub(pattern, word, clause)
+        words = ["startmark", *re.sub(r"[\W_]+", " ", clause).split()]
+        out.append([(f, i) for i, w in enumerate(words) for f in (w, *(f"{w} {words[i + n]}" for n in range(1, NEAR + 1) if i + n < len(words)))])
+    return out
+
+
+def stretches(features: list[tuple[str, int]]) -> list[set[str]]:
+    """The distinct features of each stretch; stretches overlap by half."""
+    half, out = STRETCH // 2, {}
+    for f, i in features:
+        for w in (i // half, i // half - 1):
+            if w >= 0 or i < half:
+                out.setdefault(max(w, 0), set()).add(f)
+    return list(out.values())
+
+
+def learn(examples: dict[str, tuple[str, ...]], rounds: int = 60) -> Screen:
+    """A logistic regression for each kind of labelled texts against the clean ones, by Newton's method. Bounded by the labelled texts."""
+    weights, threshold = {}, {}
+    # Short words of several kinds of attempts, and marks, say nothing by themselves: a feature has another word in it.
+    words = lambda kind: {w for t in examples[kind] for c in _clause_features(t) for w, _ in c if " " not in w}
+    broad = Counter(w for kind in examples for w in words(kind) if len(w) <= SHORT)
+    plain = {w for w, n in broad.items() if n > 1} | {"startmark", *(word.strip() for _, word in MARKS)}
+    telling = lambda f: not plain.issuperset(f.split(" "))
+    for kind in sorted(set(examples) - {"clean"}):
+        texts = [{f for c in _clause_features(t) for f, _ in c if telling(f)} for t in (*examples[kind], *examples["clean"])]
+        y = np.array([1.0] * len(examples[kind]) + [0.0] * len(examples["clean"]))
+        names = sorted(set().union(*texts))
+        x = np.array([[f in t for f in names] for t in texts], dtype=float)
+        # In the span of the texts, which are fewer than their features: w = x' a.
+        gram, a, bias = x @ x.T, np.zeros(len(y)), 0.0
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-(gram @ a + bias)))
+            s = np.maximum(p * (1 - p), 1e-6)
+            z = gram @ a + bias + (y - p) / s
+            system = np.block([[gram + RIDGE * np.diag(1 / s), np.ones((len(y), 1))], [np.ones((1, len(y))), np.zeros((1, 1))]])
+            solved = np.linalg.solve(system, np.append(z, 0.0))
+            a, bias = a + 0.5 * (solved[:-1] - a), bias + 0.5 * (solved[-1] - bias)
+        w = np.round(x.T @ a, 3)
+        weights[kind] = {f: float(v) for f, v in zip(names, w) if abs(v) >= WEIGHT}
+        threshold[kind] = round(-float(bias), 3)
+    return Screen(weights, threshold)
+
+
+@lru_cache(1)
+def default_screen() -> Screen:
+    return learn(EXAMPLES)
 
 
 def visible(c: Column) -> Column:
@@ -32,66 +100,38 @@ def visible(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(nfkc(c), r"\p{Cf}", ""), r"[ \t\x{A0}]+", " "))
 
 
-def _words(clause: Column) -> Column:
-    """The words of a clause, without the marks around them; the end of a line is a word of its own."""
-    parts = F.split(F.replace(clause, F.lit("\n"), F.lit(f" {LINE} ")), r"\s+")
-    return F.filter(F.transform(parts, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}@]+|[^\p{L}\p{N}@]+$", "")), lambda w: w != "")
-
-
-def _among(w: Column, words: tuple[str, ...]) -> Column:
-    return F.coalesce(w.isin(*words), F.lit(False))
-
-
-def _has(words: Column, wanted: tuple[str, ...]) -> Column:
-    return F.exists(words, lambda w: _among(w, wanted))
-
-
-def _spans(words: Column, most: int) -> Column:
-    """From every word on, it and up to `most` more of its clause, and whether a demand may start there."""
-    first = F.array_position(words, F.coalesce(F.get(F.filter(words, lambda w: ~_among(w, (*LEADING, LINE))), F.lit(0)), F.lit("")))
-    plain = lambda i: F.filter(F.slice(words, i + 1, F.lit(most + 1)), lambda w: w != LINE)
-    return F.transform(words, lambda w, i: F.struct(plain(i).alias("w"), ((i + 1 == first) | _among(F.get(words, i - 1), PUSH)).alias("starts"), (i + most + 1 >= F.size(words)).alias("whole")))
-
-
-def _clause_rules(words: Column) -> Column:
-    """The rules that one clause breaks by its words."""
-
-    def of(spans: Column) -> Column:
-        head = lambda s: F.get(s["w"], F.lit(0))
-        rest = lambda s, n: F.slice(s["w"], 2, n)
-        ends = lambda s: s["whole"] & (F.size(s["w"]) <= 5) & _among(F.try_element_at(s["w"], F.lit(-1)), BEFORE)
-        revokes = F.exists(spans, lambda s: s["starts"] & _among(head(s), REVOKE) & (_has(rest(s, 6), GUIDANCE) | ends(s)))
-        addresses = F.exists(spans, lambda s: _among(head(s), NOTES) & _among(F.get(s["w"], F.lit(1)), ("to", "for")) & _has(F.slice(s["w"], 3, 2), MACHINES))
-        target = lambda s: F.exists(F.transform(rest(s, 6), lambda w, i: _among(w, AS) & (i + 2 < F.size(s["w"]))), lambda x: x)
-        dictates = F.exists(spans, lambda s: s["starts"] & _among(head(s), DICTATE) & target(s))
-        sends = F.exists(spans, lambda s: _among(head(s), SEND) & F.exists(rest(s, 8), lambda w: w.rlike("^https?://|@[^@]+[.]") | _among(w, SECRETS)))
-        return F.array(F.when(revokes, "revokes_guidance"), F.when(addresses, "addresses_machine"), F.when(dictates, "dictates_value"), F.when(sends, "sends_out"))
-
-    return F.flatten(F.transform(F.array(_spans(words, 8)), of))
-
-
-def _line_rules(text: Column) -> Column:
-    """The rules that lines break by their labels and fences."""
-    lines = F.split(text, "\n")
-    label = lambda line: F.regexp_extract(line, r"^[^\p{L}\p{N}]*([a-z]+)\s*[:>]\s*\S", 1)
-    fences = F.regexp_extract_all(text, F.lit(r"(?:#{3,}|-{3,}|={3,}|\*{3,}|`{3,})\s*((?:[a-z]+\s*){1,4})"), F.lit(1))
-    forged = lambda words: _among(F.get(words, F.lit(0)), OPEN_CLOSE) & _has(F.slice(words, 2, 3), BOUNDED)
-    return F.array(F.when(F.exists(lines, lambda x: _among(label(x), ROLES)), "speaks_as_role"), F.when(F.exists(fences, lambda x: forged(F.split(F.trim(x), r"\s+"))), "forges_boundary"))
-
-
-def scan(rows: DataFrame, column: str, name: str = "rules") -> DataFrame:
-    """Adds the rules that a text breaks, in the order of RULES: instructions to whoever reads it.
-
-    Clauses end at a full stop, semicolon, exclamation or question mark before a blank, at a colon before a blank and at an empty
-    line. A null text breaks none.
-    """
-    heads = r"\b(?:" + "|".join((*REVOKE, *DICTATE, *SEND, *NOTES)) + r")\b"  # every rule on words starts with one of these
-    clauses = lambda text: F.filter(F.split(text, r"[.;!?]+(?:\s+|$)|:\s+|\n\s*\n"), lambda x: x.rlike(heads))
-    hits = lambda text: F.concat(F.flatten(F.transform(clauses(text), lambda x: F.flatten(F.transform(F.array(_words(x)), _clause_rules)))), _line_rules(text))
-    found = F.get(F.transform(F.array("__visible"), hits), 0)  # bound once: every rule reads the same normalised text
-    broken = F.array_intersect(F.array(*[F.lit(x) for x in RULES]), F.array_compact("__found"))  # one use, so that it is computed once
-    seen = rows.withColumn("__visible", visible(F.col(column))).withColumn("__found", found)
-    return seen.withColumn(name, F.coalesce(broken, F.array().cast("array<string>"))).drop("__visible", "__found")
+def scan(rows: DataFrame, column: str, name: str = "kinds", screen: Screen | None = None) -> DataFrame:
+    """Adds the kinds of attempts that a text holds, in order of their names; a null text holds none."""
+    screen = screen or default_screen()
+    kinds = sorted(screen.weights)
+    known = sorted({f for own in screen.weights.values() for f in own})
+    # One map for all kinds: a few hundred features, as many as the labelled clauses give.
+    table = F.create_map(*[x for f in known for x in (F.lit(f), F.array(*[F.lit(screen.weights[k].get(f, 0.0)) for k in kinds]))])
+
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  bound, so that it is computed once
+
+    def words(clause: Column) -> Column:
+        for pattern, word in MARKS:
+            clause = F.regexp_replace(clause, pattern, word)
+        return F.filter(F.split(F.concat(F.lit("startmark "), clause), " "), lambda w: w != "")
+
+    def features(w: Column) -> Column:
+        each = F.transform(w, lambda x, i: F.transform(F.array(x, *[F.concat(x, F.lit(" "), F.get(w, i + n)) for n in range(1, NEAR + 1)]), lambda f: F.struct(f.alias("f"), F.floor(i / (STRETCH // 2)).alias("h"))))
+        return F.filter(F.flatten(each), lambda p: F.coalesce(p["f"].isin(*known), F.lit(False)))
+
+    def held(found: Column) -> Column:
+        halves = F.array_distinct(F.flatten(F.transform(found, lambda p: F.array(p["h"], F.greatest(p["h"] - 1, F.lit(0))))))
+        own = F.transform(halves, lambda h: F.array_distinct(F.transform(F.filter(found, lambda p: (p["h"] == h) | (p["h"] == h + 1)), lambda p: p["f"])))
+        valued = F.transform(own, lambda s: F.transform(s, lambda f: F.try_element_at(table, f)))
+        total = lambda s, n: F.round(F.aggregate(s, F.lit(0.0), lambda a, w: a + w[n]), 3)
+        over = lambda n, kind: lambda s: total(s, n) >= screen.threshold[kind]
+        reached = lambda all_: [F.when(F.exists(all_, over(n, kind)), kind) for n, kind in enumerate(kinds)]
+        return once(valued, lambda all_: F.array_compact(F.array(*reached(all_))))
+
+    clauses = F.split(F.col("__visible"), ENDS)
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(clauses, lambda c: once(once(words(c), features), held)))))
+    seen = rows.withColumn("__visible", visible(F.col(column)))
+    return seen.withColumn(name, F.coalesce(found, F.array().cast("array<string>"))).drop("__visible")
 
 
 def fenced(c: Column, mark: str) -> Column:
