@@ -17,6 +17,8 @@ MATCH_RULES = (
     ("same_ignoring_legal_form_and_separators", ("unicode", "whitespace", "case", "legal_form", "separators"), 0.7),
 )
 MERGE = 0.65
+#: Ids that are digested in one piece.
+LEAF = 4096
 
 
 def keys(mentions: DataFrame, rules=MATCH_RULES, threshold: float = MERGE) -> DataFrame:
@@ -29,7 +31,7 @@ def resolve(mentions: DataFrame, rules=MATCH_RULES, threshold: float = MERGE) ->
     """mention_id, entity_id, canonical_name.
 
     Mentions of one spelling count as one name, and names are tied to the first of their key, not to each other, so a key of
-    m names makes m - 1 edges. A mention whose name has no key under any rule is an entity of its own. The entity's id is the digest of its sorted mention ids, its name the longest (then last) of its names.
+    m names makes m - 1 edges. A mention whose name has no key under any rule is an entity of its own. The entity's id is the digest of its mention ids (see `digests`), its name the longest (then last) of its names.
     """
     scratch = Scratch(mentions.sparkSession, "entities")
     names = scratch.keep(mentions.where("name is not null").groupBy("name").agg(F.min("mention_id").alias("mention_id")), "names")
@@ -38,8 +40,39 @@ def resolve(mentions: DataFrame, rules=MATCH_RULES, threshold: float = MERGE) ->
     edges = own.join(first, ["rule", "key"]).select(F.col("mention_id").alias("a"), "b")
     tied = names.join(own.select("mention_id").distinct(), "mention_id").join(connected(edges), F.col("mention_id") == F.col("node"), "left").select("name", F.coalesce("component", "mention_id").alias("tied"))
     rooted = mentions.join(tied, "name", "left").withColumn("root", F.coalesce("tied", "mention_id"))
-    named = rooted.groupBy("root").agg(F.left(F.sha2(F.array_join(F.sort_array(F.collect_set(F.col("mention_id").cast("string"))), "\x1f"), 256), F.lit(20)).alias("entity_id"), F.max_by("name", F.struct(F.length("name"), "name")).alias("canonical_name"))
-    return rooted.join(named, "root").select("mention_id", "entity_id", "canonical_name")
+    rooted = scratch.keep(rooted.select("mention_id", "name", "root"), "rooted")
+    called = rooted.groupBy("root").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("canonical_name"))
+    named = digests(rooted.select("root", F.col("mention_id").cast("string").alias("id"))).join(called, "root")
+    return rooted.join(named, "root").select("mention_id", F.left("digest", F.lit(20)).alias("entity_id"), "canonical_name")
+
+
+def digests(members: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """root and digest of the distinct ids of each root, whatever their order and number.
+
+    Up to `leaf` ids: the digest of all, sorted. Beyond that ids are dealt to leaves by their hash, twice as many whenever the number has doubled, and the digest is that of the leaves'
+    digests in order. So no row holds more than about two leaves' ids, or one digest a leaf, and a root's ids are digested by as many tasks as it has leaves.
+    """
+    own = members.distinct()
+    sizes = own.groupBy("root").agg(F.count("*").alias("m"))
+    leaves = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("m") / leaf)).cast("double"))).cast("long").alias("leaves")
+    dealt = own.join(sizes.select("root", leaves), "root").withColumn("leaf", F.pmod(F.xxhash64("id"), F.col("leaves")))
+    each = dealt.groupBy("root", "leaves", "leaf").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\x1f"), 256).alias("digest"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "digest"))), lambda x: x["digest"]), "\x1f")
+    return each.groupBy("root", "leaves").agg(F.when(F.col("leaves") == 1, F.min("digest")).otherwise(F.sha2(whole, 256)).alias("digest")).select("root", "digest")
+
+
+def match_score(pairs: DataFrame, rules=MATCH_RULES) -> DataFrame:
+    """Adds weight and rule to pairs of names (left_name, right_name): those of the rule of greatest weight under which both have the same key; of equal weights the rule that is declared first.
+
+    An empty or null key matches nothing; without a match the weight is 0 and the rule null.
+    """
+    places = sorted(range(len(rules)), key=lambda i: (-rules[i][2], i))
+    found = None
+    for name, steps, weight in (rules[i] for i in places):
+        left, right = normalise(F.col("left_name"), list(steps)), normalise(F.col("right_name"), list(steps))
+        hit = F.when((left == right) & (left != ""), F.struct(F.lit(float(weight)).alias("weight"), F.lit(name).alias("rule")))
+        found = hit if found is None else F.coalesce(found, hit)
+    return pairs.withColumn("__m", found).withColumns({"weight": F.coalesce("__m.weight", F.lit(0.0)), "rule": F.col("__m.rule")}).drop("__m")
 
 
 def evidence(mentions: DataFrame, entities: DataFrame, rules=MATCH_RULES, threshold: float = MERGE) -> DataFrame:

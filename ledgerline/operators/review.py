@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import Scratch
+
 
 def queue_reason(confidence: Column, threshold: Column) -> Column:
     """In this order: unscored, always_review, below_threshold, else null."""
@@ -27,9 +29,21 @@ def capacity(documents: Column, rate: Column, reviewers: int, per_hour: int, hou
 def upper_medians(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """by, name: of an even number of values the larger middle one; groups without values do not appear.
 
-    From counts per distinct value, so no group's values are ever gathered; a group's distinct values are what one task sorts.
+    From counts per distinct value, so no group's values are ever gathered; a group's distinct values are what one task sorts. Over the whole table the values are dealt
+    by range, and only the range that holds the middle is sorted.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    if not by:
+        ranged = Scratch(rows.sparkSession, "medians").keep(counts.repartitionByRange(value).withColumn("__at", F.spark_partition_id()), "counts")
+        sums = sorted((r["__at"], r["n"]) for r in ranged.groupBy("__at").agg(F.sum("__n").alias("n")).collect())  # a row a partition
+        half, before = sum(n for _, n in sums) // 2 + 1, 0
+        for at, n in sums:
+            if before + n >= half:
+                upto = F.sum("__n").over(Window.partitionBy("__at").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + before
+                own = ranged.where(F.col("__at") == at).withColumn("__upto", upto)
+                return own.where((F.col("__upto") >= half) & (F.col("__upto") - F.col("__n") < half)).select(F.col(value).alias(name))
+            before += n
+        return counts.select(F.col(value).alias(name)).limit(0)
     key = [F.col(c) for c in by] or [F.lit(1)]
     total = F.sum("__n").over(Window.partitionBy(*key))
     upto = F.sum("__n").over(Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))

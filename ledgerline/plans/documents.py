@@ -125,7 +125,7 @@ def mentions(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("mention_id"), name.alias("name"))
 
 
-@query(f"""WITH {NAMES}, g AS (SELECT mention_id, name, regexp_extract(name, '[0-9]+') AS party FROM m), e AS (SELECT party, left(sha256(string_agg(mention_id::VARCHAR, chr(31) ORDER BY mention_id::VARCHAR)), 20) AS entity_id, arg_max(name, (length(name), name)) AS canonical_name FROM g GROUP BY party)
+@query(f"""WITH {NAMES}, g AS (SELECT mention_id, name, regexp_replace(regexp_replace(lower(regexp_replace(name, '\\s+', ' ', 'g')), ' (bv|gmbh)$', ''), '[\\s.,''_-]+', '', 'g') AS party FROM m), e AS (SELECT party, left(sha256(string_agg(mention_id::VARCHAR, chr(31) ORDER BY mention_id::VARCHAR)), 20) AS entity_id, arg_max(name, (length(name), name)) AS canonical_name FROM g GROUP BY party)
 SELECT mention_id, entity_id, canonical_name FROM g JOIN e USING (party)""")
 def entity_resolve(spark, sf_dir):
     """Mentions of parties become entities with content-derived ids."""

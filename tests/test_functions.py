@@ -74,3 +74,36 @@ def test_boxes(spark):
     assert not one(spark, geometry.valid(b(0.9, 0, 0.5, 0.5)))
     assert tuple(one(spark, geometry.to_pixels(b(0.1, 0.1, 0.0001, 0.5), F.lit(100), F.lit(100)))) == (10, 10, 11, 60)
     assert one(spark, geometry.from_pixels(*[F.lit(x) for x in (10, 10, 60, 60, 100, 100)]))["width"] == 0.5
+
+
+def test_j9_digest_of_many_ids(spark):
+    """More ids than a leaf: the same digest in any order and partitioning, another for other ids; a small set's is that of its sorted ids."""
+    import hashlib
+
+    from ledgerline.operators.entities import digests
+
+    many = spark.range(1000).selectExpr("1L AS root", "cast(id as string) AS id")
+    few = spark.createDataFrame([(2, "b"), (2, "a"), (2, "a"), (3, "a")], "root long, id string")
+    first = {r["root"]: r["digest"] for r in digests(many.unionByName(few), 16).collect()}
+    again = {r["root"]: r["digest"] for r in digests(many.unionByName(many).orderBy("id").repartition(7), 16).collect()}
+    assert first[1] == again[1] != digests(many.where("id <> '7'"), 16).first()["digest"]
+    assert first[2] == hashlib.sha256(b"a\x1fb").hexdigest() and first[3] == hashlib.sha256(b"a").hexdigest()
+
+
+def test_j10_best_weight_and_first_rule(spark):
+    from ledgerline.operators.entities import match_score
+
+    rows = spark.createDataFrame([("Kodak", "KODAK "), ("Kodak", "ko-dak"), ("Kodak BV", "kodak"), ("Kodak", "Agfa"), (None, "x"), ("-", ".")], "left_name string, right_name string")
+    got = [(r["weight"], r["rule"]) for r in match_score(rows).collect()]
+    assert got == [(1.0, "exact_after_case_and_whitespace"), (0.9, "same_after_dropping_separators"), (0.8, "same_ignoring_legal_form"), (0.0, None), (0.0, None), (0.0, None)]
+    rules = (("one", ("case",), 0.5), ("two", ("whitespace", "case"), 0.5), ("three", ("case", "separators"), 0.9))
+    assert match_score(rows.limit(1), rules).first()["rule"] == "three" and match_score(spark.createDataFrame([("a", "A")], rows.schema), rules[:2]).first()["rule"] == "one"
+
+
+def test_upper_median_of_a_whole_table(spark):
+    from ledgerline.operators.review import upper_medians
+
+    for n in (0, 1, 2, 7, 1000):
+        rows = spark.range(n).selectExpr("if(id % 5 = 4, null, (id * 37 % 101) / 10.0) AS v")
+        values = sorted(r["v"] for r in rows.collect() if r["v"] is not None)
+        assert [r["m"] for r in upper_medians(rows.repartition(5), [], "v", "m").collect()] == ([values[len(values) // 2]] if values else [])
