@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.geometry import area, box, intersection_area
 from ..functions.text import normalise
@@ -94,18 +92,11 @@ def words_in(words: DataFrame, boxes: DataFrame, share: float = 0.5) -> DataFram
 
 
 def group_rows(words: DataFrame, within: float = 0.0035) -> DataFrame:
-    """Adds `row`: words in order of top, where a word more than `within` below the row's first word begins a new row.
+    """Adds `row`: words in order of top, where a word more than `within` below the row's first word begins a new row; null where top is.
 
-    Each row's limit hangs on its own first word, so it is a scan, one page at a time.
+    Each row's limit hangs on its own first word, so rows are found by a fold, over a page's distinct tops alone; a word's row is the last that begins at or above it.
     """
-
-    def scan(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "left"], kind="stable")
-        row, start, out = -1, float("-inf"), []
-        for top in page["top"]:
-            if row < 0 or top - start > within:
-                row, start = row + 1, top
-            out.append(row)
-        return page.assign(row=pd.array(out, dtype="int32"))
-
-    return words.groupBy("document", "page").applyInPandas(scan, T.StructType([*words.schema.fields, T.StructField("row", T.IntegerType())]))
+    starts = F.aggregate("tops", F.array().cast("array<double>"), lambda rows, top: F.when((F.size(rows) == 0) | (top - F.element_at(rows, -1) > within), F.concat(rows, F.array(top))).otherwise(rows))
+    pages = words.where("top is not null").groupBy("document", "page").agg(F.array_sort(F.collect_set(F.col("top").cast("double"))).alias("tops")).select("document", "page", starts.alias("__starts"))
+    row = F.when(F.col("top").isNotNull(), F.size(F.filter("__starts", lambda s: s <= F.col("top"))) - 1)
+    return words.join(pages, ["document", "page"], "left").withColumn("row", row.cast("int")).drop("__starts").select(*words.columns, "row")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import checkdigit, quantity, text
 from ..functions.geometry import area, box, contains, intersection_area, iou
-from ..operators import classify, entities, extract, reconcile, screening, search
+from ..operators import classify, entities, extract, lineitems, reconcile, screening, search
 from ..shared import shared_dir
 from .registry import query, table
 
@@ -285,7 +286,10 @@ def anchor_extract(spark, sf_dir):
     return extract.first_page(found, extract.values_below(found, w))
 
 
-@query()
+@query(f"""WITH RECURSIVE {WORDS}, tops AS (SELECT DISTINCT document, page, top FROM w), r(document, page, row, start) AS (SELECT document, page, 0, min(top) FROM tops GROUP BY document, page
+UNION ALL SELECT r.document, r.page, r.row + 1, min(t.top) FROM r JOIN tops t ON t.document = r.document AND t.page = r.page AND t.top - r.start > 0.0035::DOUBLE GROUP BY r.document, r.page, r.row),
+s AS (SELECT *, lead(start) OVER (PARTITION BY document, page ORDER BY row) AS until FROM r)
+SELECT w.document, w.page::INTEGER AS page, s.row::INTEGER AS row, count(*) AS words FROM w JOIN s ON s.document = w.document AND s.page = w.page AND w.top >= s.start AND (s.until IS NULL OR w.top < s.until) GROUP BY ALL""")
 def line_grouping(spark, sf_dir):
     """Words grouped into rows by their tops, each row's limit hanging on its first word."""
     return extract.group_rows(words(spark, sf_dir)).groupBy("document", "page", "row").agg(F.count("*").alias("words"))
@@ -313,6 +317,23 @@ def value_location(spark, sf_dir):
     return found.select("document", "field", "page", "line", *[F.round(c, 6).alias(c) for c in ("left", "top", "width", "height")])
 
 
+@query("""SELECT l_orderkey AS document, (1 + (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1) // 4)::INTEGER AS page, 'P' || l_partkey AS item, l_extendedprice::DECIMAL(14,2)::VARCHAR AS amount FROM lineitem""")
+def table_rows(spark, sf_dir):
+    """Orders as printed tables of items and amounts, four rows a page and captions on the first, with a note below each page; read back."""
+    at = F.col("at")
+    cell = lambda text, left, line, word: F.struct((1 + F.floor(at / 4)).cast("int").alias("page"), line.cast("int").alias("line"), F.lit(word).alias("word"), text.alias("text"), F.lit(left).alias("left"))
+    line = 1 + 2 * (at % 4)
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")) - 1
+    l = table(spark, sf_dir, "lineitem").withColumn("at", place)
+    body = l.select(F.col("l_orderkey").alias("document"), F.explode(F.array(cell(F.concat(F.lit("P"), F.col("l_partkey")), 0.1, line, 0), cell(F.col("l_extendedprice").cast("decimal(14,2)").cast("string"), 0.51, line, 1), cell(F.lit("see note"), 0.5, line + 1, 0))).alias("c"))
+    head = F.array(*[F.struct(F.lit(1).alias("page"), F.lit(0).alias("line"), F.lit(n).alias("word"), F.lit(t).alias("text"), F.lit(x).alias("left")) for n, (t, x) in enumerate((("Item", 0.1), ("Amount", 0.5)))])
+    heads = l.select(F.col("l_orderkey").alias("document")).distinct().select("document", F.explode(head).alias("c"))
+    w = body.unionByName(heads).select("document", "c.*").withColumns({"top": 0.05 + 0.02 * F.col("line"), "width": F.lit(0.05), "height": F.lit(0.01), "confidence": F.lit(0.9)})
+    captions = spark.createDataFrame([("item", "Item"), ("amount", "Amount")], "field string, caption string")
+    cells = F.col("cells")
+    return lineitems.read_table(w, captions, "amount").select("document", "page", cells["item"].alias("item"), cells["amount"].alias("amount"))
+
+
 @query()
 def similar_names(spark, sf_dir):
     """Similar names by Ratcliff-Obershelp ratio."""
