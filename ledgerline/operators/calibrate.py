@@ -78,3 +78,18 @@ def why_not(observations: DataFrame, budgets: DataFrame, confident: float = 0.9)
     n, w = F.coalesce("n", F.lit(0)), F.coalesce("w", F.lit(0))
     diagnosis = F.when(n == 0, "no_confident_population").when(w > n * F.col("budget"), "quality_limited").when(n < needed, "evidence_limited").otherwise("derivable")
     return F.broadcast(budgets).join(scored, "field", "left").select("field", n.alias("n"), w.alias("wrong"), needed.alias("needed"), diagnosis.alias("diagnosis"))
+
+
+def artefact(derived: DataFrame, floor: float) -> DataFrame:
+    """field, threshold, floored of derived (field, threshold, always_review): what a release ships; null is always reviewed.
+
+    An entry that is declared always-review and has a threshold, or has none and is not declared so, is an error, as is a field that is there twice. A threshold below the floor
+    ships as always-review.
+    """
+    review = F.coalesce("always_review", F.lit(False))
+    fault = F.when(review & F.col("threshold").isNotNull(), "is always reviewed and has a threshold").when(~review & F.col("threshold").isNull(), "has no threshold and is not always reviewed")
+    twice = F.when(F.count("*").over(Window.partitionBy("field")) > 1, "is there twice")
+    checked = derived.withColumn("__fault", F.coalesce(fault, twice))
+    low = F.coalesce(F.col("threshold") < floor, F.lit(False))
+    kept = F.when(F.col("__fault").isNotNull(), F.raise_error(F.concat_ws(" ", "field", "__fault")).cast("double")).when(~low, F.col("threshold"))
+    return checked.select("field", kept.alias("threshold"), low.alias("floored"))

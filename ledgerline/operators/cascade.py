@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .review import queue_reason
+
 
 def route(confidence: Column, threshold: Column, tier: Column, eligible: Column) -> Column:
     """struct(action, to_tier): keep if the threshold is met; else escalate to the lowest eligible tier above; else abstain."""
@@ -36,6 +38,22 @@ def climb(fields: DataFrame, readings: DataFrame, scoring: tuple[int, ...], roun
     return now
 
 
+def redecide(fields: DataFrame, moved: DataFrame, readings: DataFrame, scoring: tuple[int, ...]) -> DataFrame:
+    """Fields (document, field, value, confidence, threshold, tier, queued_because, publishable) after what went up (`moved`: document, field, next) was read again.
+
+    What went up gets the value and confidence that its new tier read (`readings`: document, field, tier, value, confidence), and the reason to queue it is derived from these
+    and the threshold. A tier that does not score cannot publish: its fields are unscored. Without a reading the value stays and nothing vouches for it. Other fields stay as they are.
+    """
+    read = readings.select("document", "field", F.col("tier").alias("next"), F.col("value").alias("new_value"), F.col("confidence").alias("new_confidence"), F.lit(True).alias("seen"))
+    met = fields.join(moved.select("document", "field", "next"), ["document", "field"], "left").join(read, ["document", "field", "next"], "left")
+    up, scores = F.col("next").isNotNull(), F.col("next").isin(*scoring)
+    value = F.when(up & F.col("seen"), F.col("new_value")).otherwise(F.col("value"))
+    confidence = F.when(up, F.when(scores, F.col("new_confidence"))).otherwise(F.col("confidence"))
+    why = F.when(scores, queue_reason(F.col("new_confidence"), F.col("threshold"))).otherwise("unscored")
+    publish = scores & why.isNull() & (F.coalesce(value, F.lit("")) != "")
+    return met.select("document", "field", value.alias("value"), confidence.alias("confidence"), "threshold", F.coalesce("next", "tier").alias("tier"), F.when(up, why).otherwise(F.col("queued_because")).alias("queued_because"), F.when(up, publish).otherwise(F.col("publishable")).alias("publishable"))
+
+
 def modelled(reads: DataFrame, prices: DataFrame) -> DataFrame:
     """Per tier: reads, cost; prices (tier, price, currency) of one currency, one for every tier."""
     priced = reads.join(F.broadcast(prices), "tier", "left")

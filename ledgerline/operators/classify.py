@@ -42,10 +42,27 @@ def grounded(proposals: DataFrame, terms: DataFrame, least: int = 2) -> DataFram
     return proposals.join(own, "code", "left").select("goods_id", "code", F.size(F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda t: F.contains(F.lower(F.col("text")), t))).alias("found")).withColumn("grounded", F.col("found") >= least)
 
 
+def _ranked(candidates: DataFrame) -> Window:
+    """By falling score; ties in the order of declaration where candidates have it (`place`), else by code."""
+    return Window.partitionBy("goods_id").orderBy(F.desc("score"), "place" if "place" in candidates.columns else "code")
+
+
+def top_candidates(candidates: DataFrame, limit: int = 3) -> DataFrame:
+    """The first candidates of each of the goods, with their rank."""
+    return candidates.withColumn("rank", F.row_number().over(_ranked(candidates))).where(F.col("rank") <= limit)
+
+
+def universal(notes: DataFrame) -> DataFrame:
+    """The terms that every note (code, terms) has."""
+    rows = notes.select("code", F.explode(F.array_distinct("terms")).alias("term"))
+    n = notes.agg(F.countDistinct("code").alias("n"))
+    return rows.groupBy("term").agg(F.countDistinct("code").alias("df")).join(F.broadcast(n)).where("df = n").select("term")
+
+
 def decide(candidates: DataFrame, least: float = 0.35, margin: float = 0.08) -> DataFrame:
     """goods_id, code, outcome of ranked (goods_id, code, score, contested): below_minimum, contested, close or proposed, in this order."""
-    order = Window.partitionBy("goods_id").orderBy(F.desc("score"), "code")
-    top = candidates.withColumns({"place": F.row_number().over(order), "next": F.lead("score").over(order)}).where("place = 1")
+    order = _ranked(candidates)
+    top = candidates.withColumns({"__rank": F.row_number().over(order), "next": F.lead("score").over(order)}).where("__rank = 1")
     state = F.when(F.col("score") < least, "below_minimum").when(F.col("contested"), "contested").when(F.col("score") - F.coalesce("next", F.lit(0.0)) < margin, "close").otherwise("proposed")
     return top.select("goods_id", "code", "score", state.alias("outcome"))
 

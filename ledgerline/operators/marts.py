@@ -58,3 +58,26 @@ def declaration_lines(fields: DataFrame, decided: DataFrame, wanted: tuple[str,
     """Long (document, field, value) -> one row per decided document that has all the wanted fields."""
     wide = fields.where(F.col("field").isin(*wanted)).groupBy("document").pivot("field", list(wanted)).agg(F.first("value", True))
     return wide.dropna(subset=list(wanted)).join(decided.select("document").distinct(), "document", "left_semi")
+
+
+#: How each mart is read: its columns from first to last, falling.
+ORDERS = {"duty_exposure": ("duty",), "modelled_cost": ("read_on", "modelled_cost"), "quality_by_source": ("extracted_on", "abstention_rate"), "review_economics": ("queued_on", "items")}
+
+
+def ordered(mart: DataFrame, name: str) -> DataFrame:
+    """A mart in its order, newest or largest first; rows that are equal there follow by their other columns, so the order is the same each time."""
+    first = ORDERS[name]
+    return mart.orderBy(*[F.desc_nulls_last(c) for c in first], *[F.asc_nulls_first(c) for c in mart.columns if c not in first])
+
+
+def published_fields(lake: DataFrame) -> DataFrame:
+    """The warehouse's table of fields from lake rows (version, document_type, field, value, confidence, threshold, reader, reader_tier, language, page, provenance_verified, published, extracted_on).
+
+    Without a threshold a field is always reviewed; without a confidence it has zero there. Columns that no source fills are null.
+    """
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    return lake.select(
+        F.col("version").alias("document_version"), none("shipment_id"), "document_type", F.col("field").alias("field_name"), F.col("value").alias("field_value"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "threshold",
+        F.col("threshold").isNull().alias("always_review"), "published", F.coalesce("reader_tier", F.lit(0)).alias("reader_tier"), F.col("reader").alias("reader_identity"), "language", F.col("page").cast("int").alias("page"), "provenance_verified",
+        none("source_channel"), none("carrier"), none("client_id"), "extracted_on",
+    )

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,12 +68,23 @@ def words(pages: DataFrame) -> DataFrame:
 OCR = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf double, text string"
 
 
-def ocr_table(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
-    """Words of OCR tables (tab separated, no quoting): no empty text, no negative confidence, hundredths, boxes on the page only."""
-    rows = spark.read.schema(OCR).option("sep", "\t").option("quote", "").option("header", True).option("mode", "FAILFAST").csv(path)
-    good = rows.where((F.trim("text") != "") & (F.col("conf") >= 0))
-    b = box(F.col("left") / width, F.col("top") / height, F.col("width") / width, F.col("height") / height)
-    return good.select(F.col("page_num").alias("page"), F.struct("block_num", "par_num", "line_num").alias("line"), F.col("word_num").alias("word"), F.trim("text").alias("text"), (F.col("conf") / 100).alias("confidence"), b.alias("b")).where(valid(F.col("b"))).select("page", "line", "word", "text", "confidence", "b.*")
+def ocr_table(spark: SparkSession, path: str, width: int | None = None, height: int | None = None) -> DataFrame:
+    """Words of OCR tables (tab separated, no quoting): no empty text, no negative confidence, hundredths up to one, boxes on the page only.
+
+    A page's size is that of its level-1 row; `width` and `height` stand in where a file has none, and without either a page is an error. Lines are numbered by their first word's
+    place in the file.
+    """
+    rows = spark.read.schema(OCR).option("sep", "\t").option("quote", "").option("header", True).option("mode", "FAILFAST").csv(path).withColumns({"file": F.input_file_name(), "at": F.monotonically_increasing_id()})
+    sizes = rows.where("level = 1").groupBy("file", "page_num").agg(F.max("width").alias("w"), F.max("height").alias("h"))
+    good = rows.where((F.trim("text") != "") & (F.col("conf") >= 0)).join(sizes, ["file", "page_num"], "left")
+    unknown = F.raise_error(F.concat(F.lit("no size of page "), F.col("page_num").cast("string"), F.lit(" of "), F.col("file"))).cast("double")
+    w, h = F.coalesce("w", F.lit(width), unknown), F.coalesce("h", F.lit(height), unknown)
+    b = box(F.col("left") / w, F.col("top") / h, F.col("width") / w, F.col("height") / h)
+    line = ["block_num", "par_num", "line_num"]
+    placed = good.select("file", "at", "page_num", *line, F.col("word_num").alias("word"), F.trim("text").alias("text"), F.least(F.col("conf") / 100, F.lit(1.0)).alias("confidence"), b.alias("b")).where(valid(F.col("b")))
+    first = placed.withColumn("first", F.min("at").over(Window.partitionBy("file", "page_num", *line)))
+    ordinal = (F.dense_rank().over(Window.partitionBy("file", "page_num").orderBy("first")) - 1).alias("line")
+    return first.select("file", F.col("page_num").alias("page"), ordinal, "word", "text", "confidence", "b.*")
 
 
 _GEOMETRY = T.StructType([T.StructField("BoundingBox", T.StructType([T.StructField(c, T.DoubleType()) for c in ("Left", "Top", "Width", "Height")]))])
@@ -114,8 +125,6 @@ def automation_words(responses: DataFrame) -> DataFrame:
     parsed = responses.select("document", F.from_json("response", AUTOMATION, {"mode": "FAILFAST"}).alias("r"))
     lines = parsed.select("document", F.explode("r.text_lines").alias("l")).select("document", F.col("l.id").alias("line_id"), F.col("l.reading_order").alias("line"))
     w = parsed.select("document", F.explode("r.text_words").alias("w")).select("document", "w.*")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("document", "page_index", "line_id").orderBy("reading_order")
     return w.join(lines, ["document", "line_id"], "left").select("document", (F.col("page_index") + 1).alias("page"), "line", (F.row_number().over(order) - 1).alias("word"), "text", F.lit(None).cast("double").alias("confidence"))
 
