@@ -1,6 +1,8 @@
 """License scan: MinHash bands over overlapping text windows, verified by exact shingle containment. DataFrame functions only.
 
-A template is found in a document if the document has at least `percent` of the template's distinct 5-word shingles (lower-cased).
+A template is found in a document if the document has at least `percent` of the template's distinct 5-word shingles (lower-cased). A template is left out if
+another is the better match (a greater share of it is there, or as great a share and more of it) and the document lacks what tells them apart: it has less than `percent` of the
+shingles that only the worse one has. So a notice that differs from others in a few words gives its own license, and two licenses that are both there are both reported.
 
 Templates are partitioned by size: class c holds those of up to 2**c shingles and more than half of that. Documents are covered by windows of
 2 x 2**c shingles that start every 2**c, so a text as long as the template lies whole in one window, which is at most four
@@ -193,5 +195,21 @@ def scan(docs: DataFrame, templates: DataFrame | Iterable[tuple[str, str]] = NOT
     banded = windows.select("row", "size", F.posexplode(signature(F.col("window"))).alias("band", "value"))
     met = scratch.keep(banded.join(small(filed, number * bands, 40), ["size", "band", "value"]).select("row", "template").distinct(), "met")
     found = near.join(small(met, met.count(), 32), "row").join(small(table, total + 8 * number, 8), "template")
-    shared = found.select("doc_id", "license", F.size("own").cast("long").alias("n_template"), F.size(F.array_intersect("doc", "own")).cast("long").alias("n_shared"))
-    return shared.where(F.col("n_shared") * 100 >= F.col("n_template") * percent)
+    hit = F.array_intersect("doc", "own")
+    shared = found.select("row", "doc_id", F.struct("license", F.size("own").cast("long").alias("n_template"), F.size(hit).cast("long").alias("n_shared"), hit.alias("hit"), "own").alias("t"))
+    enough = shared.where(F.col("t.n_shared") * 100 >= F.col("t.n_template") * percent)
+    # As many entries as the templates that one document holds.
+    kept = F.transform(_best("all", percent), lambda t: F.struct(t["license"].alias("license"), t["n_template"].alias("n_template"), t["n_shared"].alias("n_shared")))
+    return enough.groupBy("row", "doc_id").agg(F.collect_list("t").alias("all")).select("doc_id", F.inline(kept))
+
+
+def _best(found: str, percent: int) -> Column:
+    """The templates of which no better one leaves nothing to tell."""
+
+    def worse(t: Column, u: Column) -> Column:
+        one, two = u["n_shared"] * t["n_template"], t["n_shared"] * u["n_template"]
+        better = (one > two) | ((one == two) & (u["n_shared"] > t["n_shared"]))
+        there, only = F.size(F.array_except(t["hit"], u["own"])), F.size(F.array_except(t["own"], u["own"]))
+        return better & ((only == 0) | (100 * there < percent * only))
+
+    return F.filter(found, lambda t: ~F.exists(found, lambda u: worse(t, u)))

@@ -172,7 +172,10 @@ i AS (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS.format(_LOW
 SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM d JOIN e USING (g) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item""",
     "op6_license_scan": f"""WITH t(license, text) AS (VALUES {_notices()}), d AS (SELECT doc_id, unnest(s) AS g FROM (SELECT doc_id, {_SHINGLES} AS s, len(w) AS n FROM (SELECT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents)) WHERE n >= 5),
 e AS (SELECT license, text, len(s) AS n_template, unnest(s) AS g FROM (SELECT license, text, {_SHINGLES} AS s FROM (SELECT license, text, {_WORDS.format("lower(text)")} AS w FROM t) WHERE len(w) >= 5))
-SELECT doc_id, license, n_template, count(*) AS n_shared FROM d JOIN e USING (g) GROUP BY doc_id, license, text, n_template HAVING 100 * count(*) >= 80 * n_template""",
+, o AS (SELECT license, text, list(g) AS own FROM e GROUP BY license, text),
+f AS (SELECT x.*, own FROM (SELECT doc_id, license, text, n_template, count(*) AS n_shared, list(g) AS hit FROM d JOIN e USING (g) GROUP BY doc_id, license, text, n_template HAVING 100 * count(*) >= 80 * n_template) x JOIN o USING (license, text))
+SELECT doc_id, license, n_template, n_shared FROM f t WHERE NOT EXISTS (SELECT 1 FROM f u WHERE u.doc_id = t.doc_id AND (u.n_shared * t.n_template > t.n_shared * u.n_template OR (u.n_shared * t.n_template = t.n_shared * u.n_template AND u.n_shared > t.n_shared))
+AND (len(list_filter(t.own, lambda s: NOT list_contains(u.own, s))) = 0 OR 100 * len(list_filter(t.hit, lambda s: NOT list_contains(u.own, s))) < 80 * len(list_filter(t.own, lambda s: NOT list_contains(u.own, s)))))""",
     "op7_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), x AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS k, w FROM w WHERE len(w) >= 35), y AS (SELECT doc_id, k, array_to_string(w[k:k + 34], ' ') AS s FROM x),
 hit AS (SELECT doc_id, k FROM y JOIN (SELECT s FROM y GROUP BY s HAVING count(*) > 1) USING (s)),
 each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w),

