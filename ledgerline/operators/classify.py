@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -91,14 +91,54 @@ def linear_scores(texts: DataFrame, weights: DataFrame, intercepts: DataFrame) -
     return softmax(every.join(scored, ["goods_id", "class"], "left").select("goods_id", "class", (F.coalesce("score", F.lit(0.0)) + F.col("intercept")).alias("score")), "goods_id", "score")
 
 
-def fit(examples: DataFrame, text: str, label: str):
-    """Word 1-2-grams, hashed term frequencies, IDF and logistic regression as one Spark ML pipeline; returns the fitted model."""
+def fit(examples: DataFrame, text: str, label: str, most_terms: int = 1 << 18, ridge: float = 0.01):
+    """Word 1-2-grams in an exact vocabulary (the `most_terms` that most examples have), IDF, unit length and logistic regression as one Spark ML pipeline; returns the fitted model."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, StringIndexer
-
-    rows = examples.select(F.col(label).alias("label_name"), ngrams(F.col(text)).alias("terms"))
-    return Pipeline(stages=[StringIndexer(inputCol="label_name", outputCol="label"), HashingTF(inputCol="terms", outputCol="tf"), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=20)]).fit(rows)
+    from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, Normalizer, StringIndexer
+
+    rows = examples.select(F.col(label).alias("__name"), ngrams(F.col(text)).alias("__terms"))
+    indexer = StringIndexer(inputCol="__name", outputCol="__label", handleInvalid="keep", stringOrderType="alphabetAsc").fit(rows)
+    stages = [
+        indexer, CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=most_terms), IDF(inputCol="__tf", outputCol="__weighted"), Normalizer(inputCol="__weighted", outputCol="__features"),
+        LogisticRegression(maxIter=50, regParam=ridge, labelCol="__label", featuresCol="__features", predictionCol="__prediction", rawPredictionCol="__raw", probabilityCol="__probability"), IndexToString(inputCol="__prediction", outputCol="predicted", labels=indexer.labels),
+    ]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def predicted(model, rows: DataFrame, text: str, label: str | None = None) -> DataFrame:
+    """The rows with `predicted`: the label that a fitted model gives each text."""
+    name = F.col(label) if label else F.lit("")
+    return model.transform(rows.withColumns({"__name": name, "__terms": ngrams(F.coalesce(F.col(text), F.lit("")))})).select(*rows.columns, "predicted")
+
+
+def judged(examples: DataFrame, text: str, label: str, folds: int = 5) -> DataFrame:
+    """fold, rows, right: each fold of the examples, dealt by a hash of text and label, predicted by a model that was fitted to the others."""
+    fold = F.pmod(F.xxhash64(text, label), F.lit(folds)).cast("int")
+    dealt = examples.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(text, label, fold.alias("fold"))
+    found = None
+    for n in range(folds):
+        rest, own = dealt.where(F.col("fold") != n), dealt.where(F.col("fold") == n)
+        if own.isEmpty() or rest.isEmpty():
+            continue
+        part = predicted(fit(rest, text, label), own, text, label).groupBy("fold").agg(F.count("*").alias("rows"), F.count_if(F.col("predicted") == F.col(label)).alias("right"))
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else examples.sparkSession.createDataFrame([], "fold int, rows long, right long")
+
+
+def save(model, figures: DataFrame, at: str) -> None:
+    """Keep a fitted model with the figures by which it was judged; one that has none is not kept."""
+    if figures.isEmpty():
+        raise ValueError("a model is kept with its figures")
+    model.write().overwrite().save(f"{at}/model")
+    figures.coalesce(1).write.mode("overwrite").json(f"{at}/figures")
+
+
+def kept(spark: SparkSession, at: str):
+    """A kept model and its figures (fold, rows, right)."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(f"{at}/model"), spark.read.schema("fold int, rows long, right long").json(f"{at}/figures")
 
 
 def declared(candidates: DataFrame, headings: DataFrame) -> DataFrame:

@@ -83,6 +83,15 @@ def locate(words: DataFrame, wanted: DataFrame, most: int = 12) -> DataFrame:
     return found.select("document", "field", "page", "line", left.alias("left"), top.alias("top"), width.alias("width"), height.alias("height"))
 
 
+def place_proposals(proposals: DataFrame, words: DataFrame) -> DataFrame:
+    """Proposals (document, field, value, refused) with the place where their value is printed first: page, line, left, top, width, height.
+
+    All are null where it is not printed, or the proposal is refused: such a value has no provenance and has to be queued.
+    """
+    wanted = proposals.where("refused is null and value is not null").select("document", "field", "value").distinct()
+    return proposals.join(locate(words, wanted), ["document", "field"], "left")
+
+
 def words_in(words: DataFrame, boxes: DataFrame, share: float = 0.5) -> DataFrame:
     """document, page, name, text of the words that lie in each box by at least `share` of their area."""
     w, b = box(F.col("left"), F.col("top"), F.col("width"), F.col("height")), F.col("region")

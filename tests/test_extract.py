@@ -131,3 +131,10 @@ def test_a_line_of_many_words(spark):
     assert abs(row["left"] - 0.9999) < 1e-9
     found = extract.anchors(w, spark.createDataFrame([("f", "needle")], "field string, caption string")).first()
     assert abs(found["left"] - 0.9999) < 1e-9 and found["similarity"] == 1.0
+
+
+def test_a7_proposals_get_a_place(spark):
+    w = spark.createDataFrame([("d", 1, 0, i, t, 0.1 * i, 0.1, 0.1, 0.01, 0.9) for i, t in enumerate(["Total", "12.50", "EUR"])], WORDS)
+    made = spark.createDataFrame([("d", "total", "1250 eur", None), ("d", "name", "Nobody", None), ("e", None, None, "truncated")], "document string, field string, value string, refused string")
+    got = {r["field"]: (r["page"], r["left"]) for r in extract.place_proposals(made, w).collect()}
+    assert got == {"total": (1, 0.1), "name": (None, None), None: (None, None)}

@@ -175,3 +175,18 @@ def test_o4_the_newest_version_of_a_stream(spark, tmp_path):
     run = jobs.latest(stream, "k", "t", "v").writeStream.outputMode("complete").format("memory").queryName("newest").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(map(tuple, spark.table("newest").collect())) == [("a", "z", 3), ("b", "y", 5)]
+
+
+def test_j26_a_model_is_judged_and_kept(spark, tmp_path):
+    words = {"pump": ["water pump", "steel pump", "pump for oil", "a pump", "hand pump set"], "valve": ["steel valve", "valve body", "gate valve", "a valve", "valve set"]}
+    rows = spark.createDataFrame([(t + extra, label) for label, own in words.items() for t in own for extra in ("", " new", " 2 pieces")], "text string, label string")
+    figures = classify.judged(rows, "text", "label", 3)
+    total = figures.agg(F.sum("rows"), F.sum("right")).first()
+    assert total[0] == 30 and total[1] >= 28
+    model = classify.fit(rows, "text", "label")
+    classify.save(model, figures, str(tmp_path / "m"))
+    again, known = classify.kept(spark, str(tmp_path / "m"))
+    new = spark.createDataFrame([("old pump",), ("iron valve",), (None,)], "text string")
+    assert [r["predicted"] for r in classify.predicted(again, new, "text").collect()][:2] == ["pump", "valve"] and sorted(map(tuple, known.collect())) == sorted(map(tuple, figures.collect()))
+    with pytest.raises(ValueError):
+        classify.save(model, figures.limit(0), str(tmp_path / "n"))
