@@ -8,7 +8,6 @@ kind if some stretch reaches the kind's threshold.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from functools import lru_cache
