@@ -2,8 +2,8 @@
 
 Similarity is the Ratcliff-Obershelp ratio 2 M / S, where M is what the matching blocks of a caption and a run of words hold and S their two lengths. For it to be
 `least`, M has to be ceil(least S / 2). A text's tokens are its characters, each with the number of its occurrence; M is at most the number of tokens that two texts share.
-The index has a list for each token, of the captions that hold it, in order of length. A run takes its tokens' lists within the lengths that can be similar enough, adds
-them up, and compares only with captions that share enough, and share M characters in one order. Nothing is lost.
+The index has a list for each token, of the captions that hold it. The distinct runs of a batch add up their tokens' lists in one matrix product, and are compared only with captions
+that share enough, and share M characters in one order. Nothing is lost.
 
 The dictionary goes to all tasks in parts of at most `PART` characters, so it may be of any size.
 """
@@ -17,13 +17,16 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import spelt
 
-#: Characters of captions that go to all tasks at once, and results that a task remembers.
-PART, REMEMBERED = 200_000, 100_000
+#: Characters of captions that go to all tasks at once, folded words that a task remembers, and cells of the tables in which runs meet captions.
+PART, REMEMBERED, CELLS = 200_000, 100_000, 2_000_000
+#: More than a caption can share.
+NEVER = 1 << 23
 #: What captions and words are compared by: composed, without case, white space and separators.
 FOLD = ("unicode", "whitespace", "case", "separators")
 
@@ -68,57 +71,86 @@ class Captions:
         """captions: (field, folded caption, words)."""
         self.captions, self.least = sorted(captions, key=lambda c: len(c[1])), least
         self.most = max((words for _, _, words in captions), default=0) + 1
-        self.lengths = np.array([len(text) for _, text, _ in self.captions])
+        self.words = np.array([words for _, _, words in self.captions], dtype=np.int64)
+        self.lengths = np.array([len(text) for _, text, _ in self.captions], dtype=np.int64)
         self.place: dict[tuple[str, int], int] = {}
         held = [[self.place.setdefault(t, len(self.place)) for t in tokens(text)] for _, text, _ in self.captions]
         # A list of captions for each token, as a row of marks.
-        self.lists = np.zeros((len(self.place), len(self.captions)), dtype=np.uint8)
+        self.lists = np.zeros((len(self.place), len(self.captions)), dtype=np.float32)
         for number, own in enumerate(held):
             self.lists[own, number] = 1
-        self.masks = [marks(text) for _, text, _ in self.captions]
-        self.windows: dict[int, tuple[int, int, np.ndarray]] = {}
-        self.memory: dict[str, list[tuple[int, float]]] = {}
-
-    def window(self, size: int) -> tuple[int, int, np.ndarray]:
-        """The captions whose length can be similar enough to a run's, and what each has to share with it."""
-        if size not in self.windows:
-            need = np.array([shared(size + length, self.least) for length in self.lengths.tolist()], dtype=np.int64)
-            fit = np.flatnonzero(need <= np.minimum(size, self.lengths))
-            low, high = (int(fit[0]), int(fit[-1]) + 1) if len(fit) else (0, 0)
-            self.windows[size] = low, high, need[low:high]
-        return self.windows[size]
-
-    def candidates(self, key: str) -> list[int]:
-        """Captions that share enough characters with a run."""
-        low, high, need = self.window(len(key))
-        own = [self.place[t] for t in tokens(key) if t in self.place]
-        if low == high or len(own) < need.min():
-            return []
-        return (low + np.flatnonzero(self.lists[own, low:high].sum(axis=0, dtype=np.int64) >= need)).tolist()
+        letters = sorted({c for c, _ in self.place})
+        known = {c: i for i, c in enumerate(letters)}
+        self.alphabet = np.array([ord(c) for c in letters], dtype=np.int64)
+        self.letter, self.nth = (np.array([x(t) for t in self.place], dtype=np.int64) for x in (lambda t: known[t[0]], lambda t: t[1]))
+        self.masks = [marks(text) if len(text) > 63 else None for _, text, _ in self.captions]
+        self.bits = np.zeros((len(self.captions), len(letters) + 1), dtype=np.uint64)
+        for number, (_, text, _) in enumerate(self.captions):
+            if len(text) <= 63:
+                for c, places in marks(text).items():
+                    self.bits[number, known[c]] = places
+
+    def need(self, sizes: np.ndarray) -> np.ndarray:
+        """What each caption has to share with a run of each size; more than it has where no such run is similar enough."""
+        rows, back = np.unique(sizes, return_inverse=True)
+        own = np.maximum(1, np.ceil(self.least * (rows[:, None] + self.lengths) / 2 - 1e-9))
+        return np.where(own <= np.minimum(rows[:, None], self.lengths), own, NEVER).astype(np.float32)[back]
+
+    def _met(self, keys: list[str], shortest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a run and a caption that share enough characters, and enough of them in one order."""
+        sizes = np.array([len(k) for k in keys], dtype=np.int64)
+        codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        at[self.alphabet[at] != codes] = len(self.alphabet)
+        run = np.repeat(np.arange(len(keys)), sizes)
+        counts = np.bincount(run * (len(self.alphabet) + 1) + at, minlength=len(keys) * (len(self.alphabet) + 1)).reshape(len(keys), -1)
+        need = self.need(sizes)
+        some, number = np.nonzero(((counts[:, self.letter] > self.nth).astype(np.float32) @ self.lists >= need) & (self.words + 1 >= shortest[:, None]))
+        # Longest common subsequences bit by bit, see `common`; what follows a run's end changes nothing.
+        letters = np.full((len(keys), int(sizes.max(initial=0))), len(self.alphabet), dtype=np.int64)
+        letters[run, np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = at
+        whole = (np.uint64(1) << np.minimum(self.lengths, 63).astype(np.uint64)[number]) - np.uint64(1)
+        open_ = whole.copy()
+        for place in range(int(sizes[some].max(initial=0))):
+            hit = open_ & self.bits[number, letters[some, place]]
+            open_ = (open_ + hit | open_ - hit) & whole
+        share = self.lengths[number] - np.bitwise_count(open_)
+        for i in np.flatnonzero(self.lengths[number] > 63).tolist():
+            share[i] = common(self.masks[number[i]], int(self.lengths[number[i]]), keys[some[i]])
+        good = share >= need[some, number]
+        return some[good], number[good]
+
+    def similar_all(self, keys: list[str], shortest: np.ndarray | None = None) -> list[list[tuple[int, float]]]:
+        """Of each run all captions with at least the similarity wanted, each with its similarity; `shortest` is how many words the run has at least."""
+        out: list[list[tuple[int, float]]] = [[] for _ in keys]
+        if not self.captions:
+            return out
+        shortest = np.ones(len(keys), dtype=np.int64) if shortest is None else shortest
+        sizes = np.array([len(k) for k in keys], dtype=np.int64)
+        # Lengths that no caption fits are left out before anything is counted.
+        low, high = shared(int(self.lengths[0]), self.least), 2 * int(self.lengths[-1]) / max(self.least, 1e-9)
+        fit = np.flatnonzero((sizes >= low) & (sizes <= high))
+        step = max(1, CELLS // max(len(self.captions), len(self.place), int(sizes[fit].max(initial=0))))
+        for begin in range(0, len(fit), step):
+            part = fit[begin : begin + step]
+            some, number = self._met([keys[i] for i in part.tolist()], shortest[part])
+            last, match = -1, SequenceMatcher()
+            for i, n in zip(part[some].tolist(), number.tolist()):
+                if i != last:
+                    match.set_seq2(keys[i])
+                    last = i
+                match.set_seq1(self.captions[n][1])
+                if match.real_quick_ratio() >= self.least and (ratio := match.ratio()) >= self.least:
+                    out[i].append((n, ratio))
+        return out
 
     def similar(self, key: str) -> list[tuple[int, float]]:
         """All captions with at least the similarity wanted, each with its similarity."""
-        found = self.memory.get(key)
-        if found is None:
-            found = []
-            match = SequenceMatcher()
-            met = self.candidates(key)
-            if met:
-                match.set_seq2(key)
-            for number in met:
-                if common(self.masks[number], len(self.captions[number][1]), key) < shared(len(key) + len(self.captions[number][1]), self.least):
-                    continue
-                match.set_seq1(self.captions[number][1])
-                if (ratio := match.ratio()) >= self.least:
-                    found.append((number, ratio))
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            self.memory[key] = found
-        return found
+        return self.similar_all([key])[0]
 
 
 def _search(dictionary, scope: list[str], least: float, most: int):
-    """Rows of a word and those after it in its line -> the captions that begin there."""
+    """Rows of a word and those after it in its line -> the captions that begin there. The runs of a batch are looked up together, equal ones once."""
     names = [f"t{i}" for i in range(most)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,30 +164,48 @@ def _search(dictionary, scope: list[str], least: float, most: int):
                 folded[text] = spelt(text, FOLD)
             return folded[text]
 
+        def found(rows: pa.RecordBatch, index: Captions) -> tuple[np.ndarray, np.ndarray, list[str], list[float]]:
+            """Rows, numbers of words, fields and similarities."""
+            size, wide = rows.num_rows, min(index.most, most)
+            texts = pa.concat_arrays([rows.column(c).cast(pa.string()) for c in names[:wide]]).dictionary_encode()
+            keys = pa.DictionaryArray.from_arrays(texts.indices, pa.array([key_of(t) for t in texts.dictionary.to_pylist()], pa.string())).dictionary_decode()
+            own = [keys.slice(i * size, size) for i in range(wide)]
+            # A run of n words, null where the line ends before; all of them under each other.
+            runs = pa.concat_arrays([pc.binary_join_element_wise(*own[:n], "") for n in range(1, wide + 1)]).dictionary_encode()
+            at = runs.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            shortest = np.full(len(runs.dictionary), most, dtype=np.int64)
+            here = np.flatnonzero(at >= 0)
+            np.minimum.at(shortest, at[here], here // size + 1)
+            similar = index.similar_all(runs.dictionary.to_pylist(), shortest)
+            hit = np.array([bool(x) for x in similar], dtype=bool)
+            here = here[hit[at[here]]] if len(hit) else here
+            each = [(i, number, ratio) for i, key in zip(here.tolist(), at[here].tolist()) for number, ratio in similar[key] if i // size <= index.words[number]]
+            place = np.array([i for i, _, _ in each], dtype=np.int64)
+            return place % max(size, 1), place // max(size, 1) + 1, [index.captions[number][0] for _, number, _ in each], [ratio for _, _, ratio in each]
+
         for batch in batches:
-            hits: list[tuple[int, int, str, float]] = []
-            scopes = zip(*(batch.column(c).to_pylist() for c in scope)) if scope else [()] * batch.num_rows
-            for row, (where, texts) in enumerate(zip(scopes, zip(*(batch.column(c).to_pylist() for c in names)))):
-                index = indexes.get(where)
-                if index is None:
+            if not batch.num_rows:
+                continue
+            # Rows of one scope; they mostly follow each other.
+            where = list(zip(*(batch.column(c).to_pylist() for c in scope))) if scope else [()] * batch.num_rows
+            groups = defaultdict(list)
+            for row, key in enumerate(where):
+                groups[key].append(row)
+            for key, own in groups.items():
+                if key not in indexes:
+                    continue
+                rows = batch if len(groups) == 1 else batch.take(pa.array(own, pa.int64()))
+                row, n, fields, ratios = found(rows, indexes[key])
+                if not len(row):
                     continue
-                key = ""
-                for n, text in enumerate(texts[: index.most], 1):
-                    if text is None:
-                        break
-                    key += key_of(text)
-                    if key:
-                        for number, ratio in index.similar(key):
-                            field, _, words = index.captions[number]
-                            if n <= words + 1:
-                                hits.append((row, n, field, ratio))
-            boxes = [batch.column("boxes")[row].as_py()[:n] for row, n, _, _ in hits]
-            left, top = [min(b["left"] for b in x) for x in boxes], [min(b["top"] for b in x) for x in boxes]
-            width = [max(b["left"] + b["width"] for b in x) - a for x, a in zip(boxes, left)]
-            height = [max(b["top"] + b["height"] for b in x) - a for x, a in zip(boxes, top)]
-            at = pa.array([h[0] for h in hits], pa.int64())
-            made = [pa.array([h[2] for h in hits], pa.string()), pa.array([h[1] for h in hits], pa.int32()), pa.array([h[3] for h in hits], pa.float64()), *(pa.array(x, pa.float64()) for x in (left, top, width, height))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("document", "page", "line", "word")), *made], names=["document", "page", "line", "word", "field", "n", "similarity", "left", "top", "width", "height"])
+                at = pa.array(row, pa.int64())
+                edges = dict(zip(("left", "top", "width", "height"), (x.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(row), -1) for x in rows.column("boxes").take(at).flatten().flatten())))
+                inside = np.arange(most) < n[:, None]
+                left, top = (np.where(inside, edges[c], np.inf).min(axis=1) for c in ("left", "top"))
+                width = np.where(inside, edges["left"] + edges["width"], -np.inf).max(axis=1) - left
+                height = np.where(inside, edges["top"] + edges["height"], -np.inf).max(axis=1) - top
+                made = [pa.array(fields, pa.string()), pa.array(n, pa.int32()), pa.array(ratios, pa.float64()), *(pa.array(x, pa.float64()) for x in (left, top, width, height))]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c).take(at) for c in ("document", "page", "line", "word")), *made], names=["document", "page", "line", "word", "field", "n", "similarity", "left", "top", "width", "height"])
 
     return run
 
