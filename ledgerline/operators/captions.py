@@ -18,7 +18,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import spelt
@@ -210,6 +210,20 @@ def _search(dictionary, scope: list[str], least: float, most: int):
     return run
 
 
+def _promising(columns: list[str], rows: dict[tuple, list[tuple[str, str, int]]], least: float) -> Column:
+    """Whether words in the columns have together as many of the captions' characters as the least caption has to share; words beyond ASCII always.
+
+    Folding leaves no other ASCII letters than lower case makes.
+    """
+    texts = [text for own in rows.values() for _, text, _ in own]
+    letters = "".join(sorted({c for text in texts for c in text if c.isascii()}))
+    need = min(shared(size + 1, least) for size in {len(text) for text in texts})
+    whole = F.concat_ws("", *columns)
+    low = F.lower(whole)
+    held = F.length(low) - F.length(F.translate(low, letters, "")) if letters else F.lit(0)
+    return (held >= need) | whole.rlike(r"[^\x00-\x7F]")
+
+
 def parts(captions: DataFrame, scope: list[str]) -> Iterator[dict[tuple, list[tuple[str, str, int]]]]:
     """The dictionary by scope, in parts of at most PART characters (a single caption may be longer)."""
     out, size = defaultdict(list), 0
@@ -249,5 +263,6 @@ def hits(words: DataFrame, captions: DataFrame, least: float, documents: DataFra
         after = [F.lead("text", i).over(line).alias(f"t{i}") for i in range(most)]
         boxes = F.array(*[F.lead(box, i).over(line) for i in range(most)]).alias("boxes")
         rows = words.where("text is not null").select(*scope, "document", "page", "line", "word", *after, boxes)
+        rows = rows.where(_promising([f"t{i}" for i in range(most)], part, least))
         found = found.unionByName(rows.mapInArrow(_search(dictionary, scope, least, most), columns))
     return found

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import Scratch
 from .extract import anchors, group_rows
 
 #: How far a word's left edge may lie from its column's.
@@ -53,7 +54,9 @@ def read_table(words: DataFrame, captions: DataFrame, value_field: str, document
     """
     scope = [c for c in ("document_type", "language") if c in captions.columns]
     sizes = captions.groupBy(*scope).agg(F.countDistinct("field").alias("columns"))
-    found = anchors(words, captions, documents=documents)
+    scratch = Scratch(words.sparkSession, "table")
+    words = scratch.keep(words, "words")
+    found = scratch.keep(anchors(words, captions, documents=documents), "anchors")
     if scope:
         found = found.join(documents.select("document", *scope).distinct(), "document").join(F.broadcast(sizes), scope)
     else:
