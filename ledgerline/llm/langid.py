@@ -7,13 +7,12 @@ cosine with its vector.
 
 Text is lower-cased; runs of anything but letters count as one space, and words are padded by spaces.
 
-Training: at most about `sample` labelled texts of each language, those with the lowest hash of doc_id, so the same texts
-whatever the partitions; `sample` is the bound on what is fitted, everything else reads all rows. Prototypes
+Training: all labelled texts outside the held-out fold, each once. Sums are in fixed point, so they are the same whatever the partitions. Prototypes
 are languages x dimensions numbers, independent of the corpus.
 
 Rejection (`reject`): random letters score near one half, since prototypes are centred, but seldom below it. So a text is
 rejected, as `und`, whose distance from one half is less than half of what all but one in a thousand of the rightly labelled training texts
-of its length (in powers of four letters) have. Lengths with less than 100 such texts use the next shorter one's; short texts are
+of its length (in powers of four letters) have, exactly and over all of them. Lengths with less than 100 such texts use the next shorter one's; short texts are
 hardly ever rejected.
 
 Rows: null text, and text without a letter, is `und` with score 0. Ties go to the first language in order. Without any
@@ -23,14 +22,14 @@ training text, every row is `und`. Repeated rows are judged alike. An empty tabl
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.shared import small
+from ledgerline.shared import Scratch
 
 from .words import U, mix, thrifty
 
@@ -143,19 +142,14 @@ def fold(doc_id: int, folds: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
 
 
-def _picked(docs: DataFrame, sample: int) -> DataFrame:
-    """lang and text of at most about `sample` rows of each language."""
-    rows = docs.where("lang is not null and text is not null")
-    # Two passes over narrow columns: how many there are, then those under the hash that leaves about `sample`.
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = counts.select("lang", (F.lit(float(sample)) / F.col("n")).alias("share"))
-    picked = rows.join(small(share, counts.count(), 64), "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < F.col("share"))
-    return picked.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+def _labelled(docs: DataFrame) -> DataFrame:
+    """lang and text of the rows that have both."""
+    return docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
 
-def train(docs: DataFrame, sample: int = 1500) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Prototypes (unit vectors) of the languages in `docs` (doc_id, text, lang), which are all for training."""
-    parts = _picked(docs, sample).mapInArrow(thrifty(_bundle), "lang string, v array<long>")
+    parts = _labelled(docs).mapInArrow(thrifty(_bundle), "lang string, v array<long>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).collect()
     sums.sort(key=lambda r: r["lang"])
     table = np.array([r["v"] for r in sums], dtype=np.float64).reshape(len(sums), DIMENSIONS)
@@ -165,10 +159,10 @@ def train(docs: DataFrame, sample: int = 1500) -> tuple[list[str], np.ndarray]:
     return [r["lang"] for r in sums], (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-30)).astype(np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, carry: tuple[str, ...] = ("doc_id",), cuts: Mapping[int, float] | None = None) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, carry: tuple[str, ...] = ("doc_id",), lengths: bool = False) -> DataFrame:
     """The columns named in `carry` with lang_pred and score: half of one plus the cosine, so within 0 and 1.
 
-    `cuts` are least scores by length class; a text below its own is `und`.
+    With `lengths` also the text's length class.
     """
     shared = docs.sparkSession.sparkContext.broadcast((langs, prototypes))
     columns = list(dict.fromkeys(carry))
@@ -176,7 +170,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, carry: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = shared.value
         for batch in batches:
-            found, scores = [], []
+            found, scores, classes = [], [], []
             for _, texts in _chunks(batch):
                 vectors, some = profiles(texts)
                 if not names:
@@ -184,14 +178,14 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, carry: tu
                 cosine = vectors @ table.T if len(names) else np.zeros((len(texts), 1))
                 best = cosine.argmax(axis=1)
                 own = [min(max((1 + float(cosine[i, b])) / 2, 0.0), 1.0) if some[i] else 0.0 for i, b in enumerate(best.tolist())]
-                if cuts:
-                    some &= np.array([x >= cuts.get(length_class(t), 0.0) for x, t in zip(own, texts)])
+                classes += map(length_class, texts) if lengths else []
                 found += [names[b] if ok else "und" for b, ok in zip(best.tolist(), some.tolist())]
                 scores += own
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+            made = [pa.array(found, pa.string()), pa.array(scores, pa.float64()), *([pa.array(classes, pa.int32())] if lengths else [])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], names=[*columns, "lang_pred", "score", *(["length_class"] if lengths else [])])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(thrifty(run), f"{out}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(thrifty(run), f"{out}, lang_pred string, score double{', length_class int' if lengths else ''}")
 
 
 def length_class(text: str | None) -> int:
@@ -199,25 +193,54 @@ def length_class(text: str | None) -> int:
     return (max(len(letters(text)) if text else 0, 1).bit_length() - 1) // 2
 
 
-def least_scores(docs: DataFrame, langs: list[str], prototypes: np.ndarray, sample: int = 1500) -> dict[int, float]:
-    """The score below which a text of each length class is rejected, from the rows in `docs`, which are all for training."""
+#: Bits of a score as a whole number, bits that a pass over the scores settles, texts that a length class needs, and the share of them that may lie below.
+BITS, PASS, ENOUGH, SHARE = 54, 11, 100, 0.001
 
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([length_class(t) for t in batch.column("text").to_pylist()], pa.int32()), batch.column("score")], names=["length", "score"])
 
-    right = predict(_picked(docs, sample), langs, prototypes, ("lang", "text")).where("lang = lang_pred").select("text", "score")
-    rows = right.mapInArrow(lengths, "length int, score double").groupBy("length").agg(F.count("*").alias("n"), F.expr("percentile(score, 0.001)").alias("low")).collect()
-    found = {r["length"]: r["low"] for r in rows if r["n"] >= 100}
+def least_scores(right: DataFrame) -> dict[int, float]:
+    """The score below which a text of each length class is rejected, from (length_class, score) of all rightly labelled training texts.
+
+    The order statistics on both sides of the share are found digit by digit: a pass counts the scores under the digits known so far by their next one, so the
+    driver sees counts only, and they are exact.
+    """
+    keyed = right.select("length_class", F.round(F.col("score") * 2.0**BITS).cast("long").alias("key"))
+    sizes = {r["length_class"]: r["count"] for r in keyed.groupBy("length_class").count().collect()}
+    ranks = {length: SHARE * (n - 1) for length, n in sizes.items() if n >= ENOUGH}
+    # (length class, rank) -> the digits known, and the rank among the keys that have them.
+    known = {(length, k): (0, k) for length, r in ranks.items() for k in {int(r), min(int(r) + 1, sizes[length] - 1)}}
+    for shift in range(BITS + 1 - PASS, -1, -PASS):
+        cells = right.sparkSession.createDataFrame(sorted({(length, prefix) for (length, _), (prefix, _) in known.items()}) or [], "length_class int, prefix long")
+        under = keyed.withColumns({"prefix": F.shiftright("key", shift + PASS), "cell": F.shiftright("key", shift)}).join(F.broadcast(cells), ["length_class", "prefix"])
+        counts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r in under.groupBy("length_class", "prefix", "cell").count().orderBy("cell").collect() if known else ():
+            counts.setdefault((r["length_class"], r["prefix"]), []).append((r["cell"], r["count"]))
+        for (length, k), (prefix, rank) in known.items():
+            for cell, n in counts[length, prefix]:
+                if rank < n:
+                    known[length, k] = cell, rank
+                    break
+                rank -= n
     out, last = {}, 0.0
     for length in range(32):
-        last = 0.5 + (found[length] - 0.5) / 2 if length in found else last
+        if length in ranks:
+            k = int(ranks[length])
+            low, high = (known[length, i][0] / 2.0**BITS for i in (k, min(k + 1, sizes[length] - 1)))
+            last = 0.5 + (low + (high - low) * (ranks[length] - k) - 0.5) / 2
         out[length] = last
     return out
 
 
-def identify(docs: DataFrame, folds: int = 5, held: int = 0, sample: int = 1500, carry: tuple[str, ...] = ("doc_id",), reject: bool = False) -> DataFrame:
-    """Learn from the rows outside the held-out fold, and predict every row; with `reject`, what is like no language is `und`."""
-    learn = docs.where(F.coalesce(fold_of(F.col("doc_id"), folds) != held, F.lit(False)))
-    langs, prototypes = train(learn, sample)
-    return predict(docs, langs, prototypes, carry, least_scores(learn, langs, prototypes, sample) if reject else None)
+def identify(docs: DataFrame, folds: int = 5, held: int = 0, carry: tuple[str, ...] = ("doc_id",), reject: bool = False) -> DataFrame:
+    """Learn from all rows outside the held-out fold, and predict every row; with `reject`, what is like no language is `und`."""
+    learn = F.coalesce(fold_of(F.col("doc_id"), folds) != held, F.lit(False))
+    langs, prototypes = train(docs.where(learn))
+    if not reject:
+        return predict(docs, langs, prototypes, carry)
+    # All rows are scored once and kept; the thresholds come from those of them that are for training.
+    wanted = list(dict.fromkeys(carry))
+    rows = docs.withColumn("__label", F.when(learn, F.col("lang").cast("string")))
+    scratch = Scratch(docs.sparkSession, "language")
+    scored = scratch.keep(predict(rows, langs, prototypes, (*wanted, "__label"), lengths=True), "scored")
+    cuts = least_scores(scored.where("__label = lang_pred").select("length_class", "score"))
+    least = F.element_at(F.array(*[F.lit(cuts[n]) for n in range(32)]), F.col("length_class") + 1)
+    return scored.select(*wanted, F.when(F.col("score") >= least, F.col("lang_pred")).otherwise("und").alias("lang_pred"), "score")
