@@ -21,10 +21,10 @@ def weakest(c: str) -> Column:
 
 
 def lines(words: DataFrame) -> DataFrame:
-    """Lines of words: text in reading order, hull, weakest confidence."""
+    """Lines of words: text in reading order, hull, weakest confidence, number of words. A reader without need of the text gathers no words."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda x: x["text"]), " ")
     right, bottom = F.max(F.col("left") + F.col("width")), F.max(F.col("top") + F.col("height"))
-    return words.groupBy("document", "page", "line").agg(text.alias("text"), F.min("left").alias("left"), F.min("top").alias("top"), (right - F.min("left")).alias("width"), (bottom - F.min("top")).alias("height"), weakest("confidence").alias("confidence"))
+    return words.groupBy("document", "page", "line").agg(text.alias("text"), F.min("left").alias("left"), F.min("top").alias("top"), (right - F.min("left")).alias("width"), (bottom - F.min("top")).alias("height"), weakest("confidence").alias("confidence"), F.count("*").alias("words"))
 
 
 def anchors(words: DataFrame, captions: DataFrame, least: float = LEAST_SIMILARITY, documents: DataFrame | None = None) -> DataFrame:
