@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checkdigit
 from ..operators import entities, reconcile, records
-from ..shared import shared_dir
+from ..shared import Scratch, shared_dir
 from .documents import UNIT, _unit_findings
 from .registry import query, table
 
@@ -54,11 +54,10 @@ def publish_flow(spark, sf_dir):
 def record_round_trip(spark, sf_dir):
     """Records written as JSON, twice appended, read and checked again; what waits for a human is read off them."""
     at = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
-    made = _records(spark, sf_dir)
+    made = Scratch(spark, "made").keep(_records(spark, sf_dir), "records")
     records.append_json(made, at)
     records.append_json(made, at)
-    back = records.read_json(spark, at)
-    waiting = records.review_queue(back).join(back.select("document_id", "version", "refusal"), ["document_id", "version"])
+    waiting = records.review_queue(records.read_json(spark, at), ("refusal",))
     return waiting.select("document_id", "field", "value", "queued_because", "refusal")
 
 
