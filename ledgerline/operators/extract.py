@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, box, intersection_area
-from ..functions.text import normalise
+from ..functions.text import normalise, spelt
 from .captions import hits
 
 #: How far below a caption its value may lie (in caption heights), and how far to the left and right of the caption's left edge.
 BELOW, LEFT, RIGHT = 3.2, -0.012, 0.34
 SAME_LINE = 0.6
 LEAST_SIMILARITY = 0.72
+#: Rules by which values and words are made equal when a value is located, and the columns of words that this needs.
+LOCATING = ("unicode", "whitespace", "case", "diacritics", "separators")
+NEAR = ("document", "page", "line", "word", "left", "top", "width", "height", "targets")
 
 
 def weakest(c: str) -> Column:
@@ -57,27 +64,85 @@ def first_page(anchor: DataFrame, values: DataFrame) -> DataFrame:
     return met.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
-def locate(words: DataFrame, wanted: DataFrame, most: int = 12) -> DataFrame:
-    """Where each wanted value (document, field, value) is printed first: page, line of its first word and hull of the first run of 1 to `most` words of a page that equals it.
+def key(c: Column) -> Column:
+    """What locating compares: text without case, marks on letters and separators."""
+    return normalise(c, list(LOCATING))
+
+
+def _may_lie_in(own: list[str], linked: list[bool], targets: str) -> list[bool]:
+    """Whether each word can be part of a run that equals a target, by the word itself and its known neighbours; targets stand between null characters.
+
+    `linked` says whether a word follows the one before it in its line without a gap. Never false for a word of such a run.
+    """
+    out = []
+    for i, k in enumerate(own):
+        may = k in targets
+        if may and linked[i]:
+            may = f"\0{k}" in targets or own[i - 1] + k in targets
+        if may and i + 1 < len(own) and linked[i + 1]:
+            may = f"{k}\0" in targets or k + own[i + 1] in targets
+        out.append(may)
+    return out
+
 
-    Values and words are compared without case, marks on letters and separators. Every word gets the hashes of the runs that begin with it, from running joins of the
-    words after it; what leaves the scan is a hit's place, and its words are compared. So memory does not grow with a line or a page. A value that is empty then,
-    or that is nowhere, has no row.
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `key`, and drops the words that no run can use; words of one document need not come together, but more are dropped where they do.
+
+    A word that cannot lie in a run parts those around it, so it stays, with a null key, unless the one before it in its line came just before it and parts them as well.
+    """
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        coded = batch.column("text").dictionary_encode()
+        spelled = [spelt(x, LOCATING) for x in coded.dictionary.to_pylist()]
+        keys = [spelled[i] for i in coded.indices.to_pylist()]
+        documents = batch.column("document").dictionary_encode().indices.to_numpy()
+        page, line, word = (batch.column(c).cast(pa.int64()).fill_null(-(1 << 62)).to_numpy() for c in ("page", "line", "word"))
+        fresh = np.append(True, documents[1:] != documents[:-1])
+        linked = ~fresh & np.append(False, (page[1:] == page[:-1]) & (line[1:] == line[:-1]) & (word[1:] == word[:-1] + 1))
+        follows, may = linked.tolist(), []
+        ends = [*np.flatnonzero(fresh).tolist(), n]
+        for at, to in zip(ends, ends[1:]):
+            targets = "\0" + "".join(t["key"] + "\0" for t in batch.column("targets")[at].as_py() or () if t["key"])
+            may += _may_lie_in(keys[at:to], follows[at:to], targets)
+        good = np.array(may)
+        stay = pa.array(good | ~linked | np.append(False, good[:-1]))
+        marked = pa.array([k if x else None for k, x in zip(keys, may)], pa.string())
+        kept = pa.RecordBatch.from_arrays([*(batch.column(c) for c in NEAR), marked], names=[*NEAR, "key"])
+        yield kept.filter(stay)
+
+
+def near(words: DataFrame, targets: str) -> DataFrame:
+    """The words that may lie in a run that equals one of their row's targets, and words with a null key that part them; see _near."""
+    own = words.where("document is not null and text is not null").select(*NEAR[:-1], F.col(targets).alias("targets"), "text")
+    kinds = {**dict(own.dtypes), "key": "string"}
+    return own.mapInArrow(_near, ", ".join(f"{c} {kinds[c]}" for c in (*NEAR, "key"))).withColumn("targets", F.when(F.col("key").isNotNull(), F.col("targets")))
+
+
+def locate(words: DataFrame, wanted: DataFrame | str, most: int = 12) -> DataFrame:
+    """Where each wanted value is printed first: page, line of its first word and hull of the first run of 1 to `most` words of a page that equals it.
+
+    `wanted` is a table (document, field, value), or the name of a column of `words` that holds the wanted values of the word's document as an array of (field, key), made
+    by `key`. Values and words are compared without case, marks on letters and separators. Words are held against their document's values as they
+    come, and those that can lie in no run go no further: with a column nothing else is shuffled, with a table the words are, once. Runs that begin at a word are joined from
+    the words after it, so memory does not grow with a line or a page. A value that is empty then, or that is nowhere, has no row.
     """
-    rules = ["unicode", "whitespace", "case", "diacritics", "separators"]
-    keyed = wanted.select("document", "field", normalise(F.col("value"), rules).alias("key")).where("key <> ''")
-    targets = keyed.groupBy("document").agg(F.collect_set(F.struct(F.xxhash64("key").alias("hash"), "key")).alias("targets"))
-    own = words.where("text is not null").select("document", "page", "line", "word", normalise(F.col("text"), rules).alias("key"), F.struct("left", "top", "width", "height").alias("box"))
+    if isinstance(wanted, str):
+        met, column = words, wanted
+    else:
+        keyed = wanted.select("document", "field", key(F.col("value")).alias("key")).where("key <> ''")
+        met, column = words.join(keyed.groupBy("document").agg(F.collect_set(F.struct("field", "key")).alias("__wanted")), "document"), "__wanted"
+    own = near(met, column).withColumn("box", F.struct("left", "top", "width", "height"))
     page = Window.partitionBy("document", "page").orderBy("line", "word")
-    after = own.join(targets, "document").select("document", "page", "line", "word", "targets", *[F.coalesce(F.lead("key", i).over(page), F.lit("")).alias(f"k{i}") for i in range(most)], F.array(*[F.lead("box", i).over(page) for i in range(most)]).alias("boxes"))
+    # Past the page's end, and at a word that parts runs, there is no key: longer runs are null.
+    after = own.select("document", "page", "line", "word", "targets", *[F.lead("key", i).over(page).alias(f"k{i}") for i in range(most)], F.array(*[F.lead("box", i).over(page) for i in range(most)]).alias("boxes"))
     runs = F.array(*[F.concat(*[f"k{i}" for i in range(n)]) for n in range(1, most + 1)])
-    hashes = F.array(*[F.xxhash64(F.concat(*[f"k{i}" for i in range(n)])) for n in range(1, most + 1)])
-    hit = after.where(F.arrays_overlap(hashes, F.transform("targets", lambda t: t["hash"])))
-    # The shortest run of equal text comes first; past the page's end runs only repeat.
-    each = hit.select("document", "page", "line", "word", "boxes", F.posexplode(runs).alias("n", "key")).withColumn("n", F.col("n") + 1)
-    met = each.join(keyed, ["document", "key"])
+    # Of runs of equal text the shortest comes first.
+    each = after.where("k0 is not null").select("document", "page", "line", "word", "boxes", runs.alias("runs"), F.explode("targets").alias("t")).where("t.key <> ''")
+    hit = each.select("document", "page", "line", "word", "boxes", F.col("t.field").alias("field"), F.array_position("runs", F.col("t.key")).cast("int").alias("n")).where("n > 0")
     first = F.min_by(F.struct("page", "line", F.slice("boxes", F.lit(1), F.col("n")).alias("boxes")), F.struct("page", "line", "word", "n"))
-    found = met.groupBy("document", "field").agg(first.alias("b")).select("document", "field", "b.*")
+    found = hit.groupBy("document", "field").agg(first.alias("b")).select("document", "field", "b.*")
     left, top = F.array_min(F.transform("boxes", lambda x: x["left"])), F.array_min(F.transform("boxes", lambda x: x["top"]))
     width, height = F.array_max(F.transform("boxes", lambda x: x["left"] + x["width"])) - left, F.array_max(F.transform("boxes", lambda x: x["top"] + x["height"])) - top
     return found.select("document", "field", "page", "line", left.alias("left"), top.alias("top"), width.alias("width"), height.alias("height"))
