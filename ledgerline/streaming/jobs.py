@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import drift, records
 from ..operators.commits import Table
 from ..sources.readings import landing_keys
 
-#: The state store that `Windows` needs.
+#: The state store of `drift_parts`: its state does not lie in the heap.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,65 +29,24 @@ def with_event_time(stream: DataFrame, column: str = "ts", late: str = "1 hour")
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, late)
 
 
-class Windows(StatefulProcessor):
-    """State of one day and of its hash part of documents: distinct documents, confidences counted by value, and counts.
+def drift_parts(stream: DataFrame, length: str = "1 day") -> DataFrame:
+    """Closed windows of (ts, document, confidence, abstained) as counts by start, document and confidence: rows, abstained, judged.
 
-    Documents are keys of a map, so a repeated one is seen; confidences are keys of another with their numbers, so a median needs no list of them. A window is put out
-    once, when the watermark has passed its end, by a timer; what comes later is dropped by the watermark. State goes with the window.
+    Exact: a repeated document is seen, and a median needs values with their numbers only. Spark's own aggregation holds the counts as state, dealt by all three, so that a day is many
+    tasks' work. A window is put out once, when the watermark has passed its end; what comes later is dropped by the watermark. State goes with the window.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.documents = handle.getMapState("documents", "document string", "n long")
-        self.values = handle.getMapState("values", "confidence double", "n long")
-        self.counts = handle.getValueState("counts", "rows long, abstained long, judged long, unscored long, due long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        total, abstained, judged, unscored, due = self.counts.get() if self.counts.exists() else (0, 0, 0, 0, 0)
-        for part in rows:
-            for document, n in part["document"].dropna().value_counts().items():
-                self.documents.updateValue((document,), ((self.documents.getValue((document,))[0] if self.documents.containsKey((document,)) else 0) + int(n),))
-            for confidence, n in part["confidence"].dropna().value_counts().items():
-                self.values.updateValue((float(confidence),), ((self.values.getValue((float(confidence),))[0] if self.values.containsKey((float(confidence),)) else 0) + int(n),))
-            total, unscored = total + len(part), unscored + int(part["confidence"].isna().sum())
-            abstained, judged = abstained + int(part["abstained"].fillna(False).astype(bool).sum()), judged + int(part["abstained"].notna().sum())
-            if not due:
-                due = int(part["due"].iloc[0])
-                self.handle.registerTimer(due)
-        self.counts.update((total, abstained, judged, unscored, due))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        total, abstained, judged, unscored, _ = self.counts.get()
-        values = sorted((v[0], n[0]) for v, n in self.values.iterator())
-        yield pd.DataFrame({"start": [key[0]], "part": [key[1]], "rows": [total], "documents": [sum(1 for _ in self.documents.keys())], "abstained": [abstained], "judged": [judged], "unscored": [unscored], "values": [[v for v, _ in values]], "counts": [[n for _, n in values]]})
-        self.documents.clear()
-        self.values.clear()
-        self.counts.clear()
-
-    def close(self) -> None:
-        pass
-
-
-PARTIAL = "start timestamp, part int, rows long, documents long, abstained long, judged long, unscored long, values array<double>, counts array<long>"
-
-
-def drift_parts(stream: DataFrame, length: str = "1 day", parts: int = 8) -> DataFrame:
-    """Closed windows of (ts, document, confidence, abstained), each in `parts` by a hash of the document, so that a day is many tasks' work.
-
-    Exact: a document is in one part, so distinct documents add up, and confidences are counted by value (see `Windows`).
-    """
-    window = F.window("ts", length)
-    due = (F.unix_micros(window["end"]) / 1000).cast("long")
-    rows = stream.select("ts", window["start"].alias("start"), F.pmod(F.xxhash64("document"), F.lit(parts)).cast("int").alias("part"), F.col("document").cast("string").alias("document"), F.col("confidence").cast("double").alias("confidence"), "abstained", due.alias("due"))
+    confidence = F.nullif(F.col("confidence").cast("double"), F.lit(float("nan")))
+    rows = stream.select("ts", F.col("document").cast("string").alias("document"), confidence.alias("confidence"), "abstained")
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return rows.groupBy("start", "part").transformWithStateInPandas(Windows(), PARTIAL, outputMode="append", timeMode="eventTime")
+    counts = rows.groupBy(F.window("ts", length).alias("window"), "document", "confidence").agg(F.count("*").alias("rows"), F.count_if("abstained").alias("abstained"), F.count("abstained").alias("judged"))
+    return counts.select(F.col("window.start").alias("start"), "document", "confidence", "rows", "abstained", "judged")
 
 
 def whole_windows(parts: DataFrame) -> DataFrame:
-    """start, rows, documents, median_confidence, abstention_rate, unscored of windows whose parts are all there."""
-    summed = parts.groupBy("start").agg(*[F.sum(c).alias(c) for c in ("rows", "documents", "abstained", "judged", "unscored")])
-    values = parts.select("start", F.explode(F.arrays_zip("values", "counts")).alias("v")).groupBy("start", F.col("v.values").alias("value")).agg(F.sum("v.counts").alias("n"))
+    """start, rows, documents, median_confidence, abstention_rate, unscored of windows whose counts are all there."""
+    unscored = F.sum(F.when(F.col("confidence").isNull(), F.col("rows")).otherwise(0))
+    summed = parts.groupBy("start").agg(*[F.sum(c).alias(c) for c in ("rows", "abstained", "judged")], unscored.alias("unscored"), F.countDistinct("document").alias("documents"))
+    values = parts.where("confidence is not null").groupBy("start", F.col("confidence").alias("value")).agg(F.sum("rows").alias("n"))
     order = Window.partitionBy("start").orderBy("value")
     placed = values.withColumns({"to": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy("start"))})
     # The two middle places, which are one where the number is odd.
@@ -102,7 +60,7 @@ def whole_windows(parts: DataFrame) -> DataFrame:
 def watch(stream: DataFrame, bands: dict[str, tuple[float, float]], least: int, sink: str, checkpoint: str, parts: int = 8) -> StreamingQuery:
     """Assess each closed window and store the findings, with its exact number of documents, in the table at `sink` (day, measure are its key).
 
-    All parts of a window close on one watermark, so they come in one batch; a batch that is run again adds nothing.
+    All counts of a window close on one watermark, so they come in one batch; a batch that is run again adds nothing. `parts` has no use any more: Spark deals the state.
     """
 
     def write(batch: DataFrame, _: int) -> None:
@@ -113,7 +71,7 @@ def watch(stream: DataFrame, bands: dict[str, tuple[float, float]], least: int,
         finally:
             kept.unpersist()
 
-    return drift_parts(stream, parts=parts).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    return drift_parts(stream).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
 def land(stream: DataFrame, flatten, table: str, checkpoint: str, time: str = "extracted_on", late: str = "1 hour") -> StreamingQuery:
