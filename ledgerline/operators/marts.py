@@ -55,9 +55,18 @@ def review_items(fields: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def declaration_lines(fields: DataFrame, decided: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
-    """Long (document, field, value) -> one row per decided document that has all the wanted fields."""
-    wide = fields.where(F.col("field").isin(*wanted)).groupBy("document").pivot("field", list(wanted)).agg(F.first("value", True))
-    return wide.dropna(subset=list(wanted)).join(decided.select("document").distinct(), "document", "left_semi")
+    """Fields -> one row per decided document that has all the wanted fields, with the first value of each that is not null.
+
+    `fields` is long (document, field, value), or has an array `fields` of (field, value) where many fields of a document come in one row: those are shuffled as one row.
+    Documents that are not decided fall out before anything is grouped.
+    """
+    if "fields" in fields.columns:
+        own = lambda w: F.get(F.filter("fields", lambda f: (f["field"] == w) & f["value"].isNotNull()), F.lit(0))["value"]
+        rows = fields.select("document", *[own(w).alias(w) for w in wanted])
+    else:
+        rows = fields.where(F.col("field").isin(*wanted)).select("document", *[F.when(F.col("field") == w, F.col("value")).alias(w) for w in wanted])
+    met = rows.join(decided.select("document"), "document", "left_semi")
+    return met.groupBy("document").agg(*[F.first(w, True).alias(w) for w in wanted]).dropna(subset=list(wanted))
 
 
 #: How each mart is read: its columns from first to last, falling.
