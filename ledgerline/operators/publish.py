@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .review import queue_reason
 
 
+def known_threshold(known: Column, field: Column, threshold: Column) -> Column:
+    """The threshold of a field; an error where there is no artefact for it."""
+    return F.when(~F.coalesce(known, F.lit(False)), F.raise_error(F.concat(F.lit("no threshold artefact for "), field))).otherwise(threshold)
+
+
 def outcomes(extracted: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Extracted (document, field, value, confidence) with threshold, queued_because and publishable.
 
@@ -15,8 +20,7 @@ def outcomes(extracted: DataFrame, thresholds: DataFrame) -> DataFrame:
     error. A field that was not found has no reason, no threshold and is not publishable, which is not the same as queued.
     """
     met = extracted.join(F.broadcast(thresholds.select("field", "threshold").withColumn("known", F.lit(True))), "field", "left")
-    threshold = F.when(F.col("known").isNull(), F.raise_error(F.concat(F.lit("no threshold artefact for "), "field"))).otherwise(F.col("threshold"))
-    checked = met.withColumn("threshold", F.when(F.col("value").isNotNull(), threshold).otherwise(F.when(F.col("known").isNull(), threshold)))
+    checked = met.withColumn("threshold", known_threshold(F.col("known").isNotNull(), F.col("field"), F.when(F.col("value").isNotNull(), F.col("threshold"))))
     reason = F.when(F.col("value").isNotNull(), queue_reason(F.col("confidence"), F.col("threshold")))
     return checked.drop("known").withColumn("queued_because", reason).withColumn("publishable", F.col("queued_because").isNull() & F.col("value").isNotNull())
 

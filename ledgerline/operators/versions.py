@@ -11,9 +11,18 @@ def digest(rows: DataFrame, key: str, fields: list[str], order: list[str]) -> Da
 
     Fields are joined by unit separators and rows by record separators; null is a byte that no value holds.
     """
-    line = F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in fields])
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), "\x1e")
-    return rows.groupBy(key).agg(F.left(F.sha2(body, 256), F.lit(32)).alias("version"))
+    return rows.groupBy(key).agg(version(F.collect_list(F.struct(*order, line(*[F.col(f) for f in fields])))).alias("version"))
+
+
+def line(*values: Column) -> Column:
+    """A row of the digest, as the member `line` of a struct."""
+    return F.concat_ws("\x1f", *[F.coalesce(v.cast("string"), F.lit("\x00")) for v in values]).alias("line")
+
+
+def version(entries: Column) -> Column:
+    """The digest of a document from an array of structs that end with `line`, in the order of their other members."""
+    body = F.array_join(F.transform(F.array_sort(entries), lambda x: x["line"]), "\x1e")
+    return F.left(F.sha2(body, 256), F.lit(32))
 
 
 def diff(before: DataFrame, after: DataFrame, key: list[str], value: str) -> DataFrame:

@@ -104,7 +104,7 @@ def arrive(stream: DataFrame, thresholds: DataFrame, totals: Callable[[DataFrame
             judged = named.withColumn("reason", reason)
             Table(spark, f"{at}/refused", ["path"]).append(judged.where("reason is not null").select("path", "reason").distinct())
             good = judged.where("reason is null").dropDuplicates(["document_id"])
-            extracted = good.select(F.col("document_id").alias("document"), F.explode("fields").alias("f")).select("document", "f.*")
+            extracted = good.select(F.col("document_id").alias("document"), "fields")
             made = records.publish_documents(extracted, thresholds, totals(good.select(F.col("document_id").alias("document"))), total_field, reader, tier).persist()
             try:
                 Table(spark, f"{at}/queue", ["document_id", "version", "field"]).append(records.review_queue(made))
