@@ -104,6 +104,7 @@ def scan(rows: DataFrame, column: str, name: str = "kinds", screen: Screen | Non
     screen = screen or default_screen()
     kinds = sorted(screen.weights)
     known = sorted({f for own in screen.weights.values() for f in own})
+    firsts = sorted({f.split(" ")[0] for f in known})
     # One map for all kinds: a few hundred features, as many as the labelled clauses give.
     table = F.create_map(*[x for f in known for x in (F.lit(f), F.array(*[F.lit(screen.weights[k].get(f, 0.0)) for k in kinds]))])
 
@@ -115,8 +116,9 @@ def scan(rows: DataFrame, column: str, name: str = "kinds", screen: Screen | Non
         return F.filter(F.split(F.concat(F.lit("startmark "), clause), " "), lambda w: w != "")
 
     def features(w: Column) -> Column:
-        each = F.transform(w, lambda x, i: F.transform(F.array(x, *[F.concat(x, F.lit(" "), F.get(w, i + n)) for n in range(1, NEAR + 1)]), lambda f: F.struct(f.alias("f"), F.floor(i / (STRETCH // 2)).alias("h"))))
-        return F.filter(F.flatten(each), lambda p: F.coalesce(p["f"].isin(*known), F.lit(False)))
+        # Most words begin no feature: for them no pairs are made.
+        each = F.transform(w, lambda x, i: F.when(x.isin(*firsts), F.transform(F.array(x, *[F.concat(x, F.lit(" "), F.get(w, i + n)) for n in range(1, NEAR + 1)]), lambda f: F.struct(f.alias("f"), F.floor(i / (STRETCH // 2)).alias("h")))))
+        return F.filter(F.flatten(F.filter(each, lambda own: own.isNotNull())), lambda p: F.coalesce(p["f"].isin(*known), F.lit(False)))
 
     def held(found: Column) -> Column:
         halves = F.array_distinct(F.flatten(F.transform(found, lambda p: F.array(p["h"], F.greatest(p["h"] - 1, F.lit(0))))))
