@@ -26,18 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import Encoder, encoder
+from .packing import encoder
+from .words import pieces
 
-
-def token_bytes(tool: Encoder) -> np.ndarray:
-    """The number of bytes of every id."""
-    if not hasattr(tool, "bytes_of"):
-        table = tool.encoding._mergeable_ranks
-        sizes = {number: len(x) for x, number in table.items()}
-        sizes.update({int(np.frombuffer(number, "<u4")[0]): len(text.encode()) for text, number in tool.added.items()})
-        tool.bytes_of = np.zeros(max(sizes) + 1, dtype=np.int64)
-        tool.bytes_of[list(sizes)] = list(sizes.values())
-    return tool.bytes_of
+#: Bytes of text that are encoded and counted at once (a longer text alone).
+PART = 1 << 21
 
 
 def attribute(sizes: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
@@ -82,16 +75,15 @@ def _given(sections: list[dict] | None, chars: int) -> tuple[list[int], list[int
 def _count(rule: str, given: bool, ranks: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(ranks)
-        sizes = token_bytes(tool)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in pieces(whole, most=PART):
+                every, first = tool.column(batch.column("text"))
                 sections = batch.column("sections").to_pylist() if given else [None] * batch.num_rows
                 rows: list[list] = [[] for _ in range(6)]
                 for i, (text, own) in enumerate(zip(batch.column("text").to_pylist(), sections)):
                     text = text or ""
                     raw = text.encode()
-                    ids = np.frombuffer(tool.encode(text), dtype="<u4")
+                    ids = every[first[i] : first[i + 1]]
                     places = _places(raw)
                     if given:
                         bounds, names = _given(own, len(places) - 1)
@@ -104,7 +96,7 @@ def _count(rule: str, given: bool, ranks: str | None):
                     full = np.flatnonzero(np.diff(edge) > 0)
                     n = np.zeros(len(names), dtype=np.int64)
                     if len(full):
-                        n[full] = attribute(sizes[ids], np.append(edge[full], edge[-1]), rule)
+                        n[full] = attribute(tool.bytes_of[ids], np.append(edge[full], edge[-1]), rule)
                     for part, column in zip(([i] * len(names), names, bounds[:-1], bounds[1:], n.tolist(), [len(ids)] * len(names)), rows):
                         column += part
                 yield pa.RecordBatch.from_arrays(

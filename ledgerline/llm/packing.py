@@ -38,24 +38,43 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.shared import Scratch
-from .words import runs, thrifty
-
-#: Distinct chunks of text whose ids a task remembers; bounds its memory.
-REMEMBERED = 100_000
-_ODD_SPACE = re.compile(r"\s | \s")
-
-
-class Encoder(dict):
-    """Ids of the byte-level BPE vocabulary, as little-endian unsigned 32-bit bytes.
+from .words import pieces, runs, text_bytes, thrifty
+
+#: Bytes of text that are encoded at once; bounds a task's memory (a longer text is encoded alone).
+PART = 1 << 22
+#: First bytes of characters of several bytes of which some are white space, and white space of one byte.
+_WIDE, _NARROW = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_NARROW[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which bytes of these texts are single spaces between two characters of one text that are surely no white space."""
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    at = np.flatnonzero(data == 0x20)
+    at = at[~edge[at] & ~edge[at + 1]]
+    after, before = data[at + 1], data[at - 1]
+    # The first byte of a character of two bytes (C2) or three stands so far before its end.
+    spaced = _NARROW[after] | _WIDE[after] | _NARROW[before] | (before >= 0x80) & ((data[at - 2] == 0xC2) | _WIDE[data[at - 3]])
+    at = at[~spaced]
+    out = np.zeros(len(data) + 1, dtype=bool)
+    out[at] = True
+    return out
+
+
+class Encoder:
+    """Ids of the byte-level BPE vocabulary.
 
     A text is first cut at the added tokens of the vocabulary file (such as <|endoftext|>), each of which has one id
     and joins with nothing, as `tokenizers` does by default. The vocabulary's pattern never joins text across a single space that stands between two other characters, save
-    that the space goes with what follows. So a text is encoded chunk by chunk, and chunks are remembered; a text
-    with any other white space next to a space is encoded whole.
+    that the space goes with what follows. So a column's texts are cut there, and each distinct chunk of a column is encoded once: those
+    between two such spaces all in one call, as they join with no neighbour; the first and last ones of texts each by itself.
     """
 
     def __init__(self, ranks: str, pattern: str, added: Mapping[str, int]):
@@ -64,28 +83,67 @@ class Encoder(dict):
         with open(ranks, "rb") as file:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.added = {text: np.array([number], dtype="<u4").tobytes() for text, number in added.items()}
+        self.added = dict(added)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        sizes = {number: len(x) for x, number in table.items()} | {number: len(text.encode()) for text, number in added.items()}
+        #: The number of bytes of every id.
+        self.bytes_of = np.zeros(max(sizes) + 1, dtype=np.int64)
+        self.bytes_of[list(sizes)] = list(sizes.values())
+
+    def _ids(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        """One text's ids as little-endian unsigned 32-bit numbers, encoded as it stands."""
+        return self._ids(text).astype("<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[chunk] = out = self.whole(" " + chunk)
-        return out
+    def plain(self, text: str) -> bytes:
+        """The same, chunk by chunk."""
+        return self._chunked(pa.array([text], pa.large_string()))[0].tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.cut is not None and self.cut.search(text):
-            return b"".join(self.added[x] if x in self.added else self.plain(x) for x in self.cut.split(text) if x)
-        return self.plain(text)
-
-    def plain(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return self.whole(text)
-        head, *rest = text.split(" ")
-        return self.whole(head) + b"".join(map(self.__getitem__, rest))
+        """The same, with the ids of added tokens."""
+        return self.column(pa.array([text], pa.large_string()))[0].tobytes()
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column's texts, end to end, and where each text's begin, with the end. Null is empty."""
+        if not any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.added):
+            return self._chunked(texts)
+        cut = [self.cut.split(x or "") for x in texts.to_pylist()]  # in turns what is between added tokens, and such a token
+        ids, first = self._chunked(pa.array([x for own in cut for x in own[::2]], pa.large_string()))
+        tokens = np.array([len(own) // 2 for own in cut], dtype=np.int64)
+        ends = np.cumsum(tokens + 1)
+        followed = np.ones(len(first) - 1, dtype=bool)
+        followed[ends - 1] = False
+        ids = np.insert(ids, first[1:][followed], [self.added[x] for own in cut for x in own[1::2]])
+        return ids, np.concatenate(([0], first[ends] + np.cumsum(tokens)))
+
+    def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As `column`, without regard to added tokens."""
+        data, offsets = text_bytes(texts)
+        if not len(data):
+            return np.zeros(0, dtype="<u4"), np.zeros(len(offsets), dtype=np.int64)
+        cuts = _cuts(data, offsets)
+        starts = cuts.copy()
+        starts[offsets] = True
+        bounds = np.flatnonzero(starts)
+        chunks = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        number, inner = chunks.indices.to_numpy(), np.ones(len(chunks.dictionary), dtype=bool)
+        outer = ~cuts[bounds]
+        inner[number[outer[:-1] | outer[1:]]] = False
+
+        together, alone = chunks.dictionary.filter(pa.array(inner)), chunks.dictionary.filter(pa.array(~inner))
+        spelt, ends = text_bytes(together)
+        ids = self._ids(spelt.tobytes().decode())
+        first = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends[1:]) + 1  # each chunk's bytes are whole ids
+        singles = [self._ids(x) for x in alone.to_pylist()]
+        first = np.concatenate(([0], first, len(ids) + np.cumsum([len(x) for x in singles], dtype=np.int64)))
+        known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(4 * first), pa.py_buffer(np.concatenate([ids, *singles]).astype("<u4"))])
+
+        place = np.where(inner, np.cumsum(inner) - 1, len(together) + np.cumsum(~inner) - 1)
+        met = known.take(pa.array(place[number]))
+        at = np.frombuffer(met.buffers()[1], dtype=np.int64)[: len(met) + 1] // 4
+        return np.frombuffer(met.buffers()[2], dtype="<u4", count=at[-1]), at[np.searchsorted(bounds, offsets)]
 
 
 _encoders: dict[tuple[str, str, str], Encoder] = {}
@@ -115,19 +173,17 @@ def _encode(end: int, ranks: str | None):
         from pyspark import TaskContext
 
         tool, task, before = encoder(ranks), TaskContext.get().partitionId(), {}
-        stop = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [tool.encode(x) + stop if x else stop for x in part.column("text").to_pylist()]
+            for part in pieces(batch, most=PART):
+                ids, first = tool.column(part.column("text"))
+                short = np.split(np.insert(ids, first[1:], end), (first + np.arange(len(first)))[1:-1])
                 sources, places = part.column("source").to_pylist(), []
-                for source, own in zip(sources, ids):
+                for source, own in zip(sources, short):
                     places.append(before.get(source, 0))
-                    before[source] = places[-1] + len(own) // 4
-                short = [np.frombuffer(x, dtype="<u4") for x in ids]
+                    before[source] = places[-1] + len(own)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"), "source": part.column("source"), "task": pa.array([task] * len(ids), pa.int32()), "place": pa.array(places, pa.int64()), "n": pa.array([len(x) for x in short], pa.int64()),
-                    "ids": pa.array([x.astype("<u2").tobytes() if len(x) and int(x.max()) < 65536 else b"\0" + x.tobytes() for x in short], pa.binary())})
+                    "doc_id": part.column("doc_id"), "source": part.column("source"), "task": pa.array([task] * len(short), pa.int32()), "place": pa.array(places, pa.int64()), "n": pa.array([len(x) for x in short], pa.int64()),
+                    "ids": pa.array([x.astype("<u2").tobytes() if int(x.max()) < 65536 else b"\0" + x.astype("<u4").tobytes() for x in short], pa.binary())})
 
     return run
 

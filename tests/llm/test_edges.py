@@ -5,6 +5,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +270,36 @@ def test_added_tokens_have_their_own_id():
         assert np.frombuffer(encoder().encode(t), "<u4").tolist() == tool.encode(t, add_special_tokens=False).ids
 
 
+def test_columns_of_texts_get_their_ids():
+    """White space of all kinds on both sides of spaces, nulls, empty texts and added tokens, as `tokenizers` does by default."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    atoms = [*"   \n\t\r\x1c\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\u2019", "a", "the", "'s", "12", "é", "à", "漢", "😀", ".", "<|endoftext|>", "<|endof", "text|>"]
+    rng = np.random.default_rng(7)
+    texts = [None, "", " ", "<|endoftext|>", "text|>", *("".join(rng.choice(atoms, int(n))) for n in rng.integers(0, 30, 3000)), None, "a b <|endof"]
+    for part in (texts, texts[:1], [x for x in texts if x and "<|endoftext|>" not in x]):
+        ids, first = encoder().column(pa.array(["left out", *part], pa.string()).slice(1))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [tool.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert first[0] == 0 and first[-1] == len(ids)
+
+
+def test_distinct_words_are_encoded_once(monkeypatch):
+    """However many they are: more than a table of remembered words would hold, each met twice."""
+    tool, given = encoder(), []
+
+    class Counting:
+        def __getattr__(self, name, plain=tool.encoding):
+            return lambda text, *a, **b: given.append(len(text)) or getattr(plain, name)(text, *a, **b)
+
+    words = " ".join(f"w{i}x" for i in range(120_000))
+    want = tool.whole(f"{words} {words}")
+    monkeypatch.setattr(tool, "encoding", Counting())
+    assert tool.encode(f"{words} {words}") == want
+    assert len(given) < 10 and sum(given) < 1.1 * len(words)
+
+
 def test_attribution(docs, empty, spark):
     assert attribute(np.array([2, 3, 1]), np.array([0, 3, 6]), "most").tolist() == [1, 2]
     assert attribute(np.array([2, 2, 2]), np.array([0, 3, 6]), "most").tolist() == [2, 1]  # a tie goes to the earlier section
