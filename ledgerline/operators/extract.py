@@ -57,9 +57,9 @@ def values_below(anchor: DataFrame, words: DataFrame) -> DataFrame:
     return first.groupBy("document", "page", "field").agg(text.alias("value"), F.when(F.count("*") == F.count("confidence"), F.min("confidence")).alias("confidence"))
 
 
-def first_page(anchor: DataFrame, values: DataFrame) -> DataFrame:
-    """Per document and field, the value on the first page that has one; else the best-anchored miss."""
-    met = anchor.select("document", "page", "field", "similarity").join(values, ["document", "page", "field"], "left")
+def first_page(anchor: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """Per document and field, the value on the first page that has one; else the best-anchored miss. Without `values` the anchors have them, as pages.read gives them."""
+    met = anchor.select("document", "page", "field", "similarity", "value", "confidence") if values is None else anchor.select("document", "page", "field", "similarity").join(values, ["document", "page", "field"], "left")
     order = Window.partitionBy("document", "field").orderBy(F.col("value").isNull(), F.when(F.col("value").isNotNull(), F.col("page")), F.desc("similarity"), "page")
     return met.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
