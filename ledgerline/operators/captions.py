@@ -227,14 +227,11 @@ class Lookup:
         top = int(index.lengths.max(initial=0))
         self.kind = np.uint8 if top * index.most < 255 else np.uint16 if top * index.most < 65535 else np.int32
         self.never = min(np.iinfo(self.kind).max, NEVER)
-        # Rows are filled up to whole machine words with a caption that no run is similar to.
-        self.wide = size + 8 - size % 8
+        self.wide = max(1, size)
         #: More than the characters of any run that is similar to a caption.
         self.longest = int(2 * top / max(index.least, 1e-9)) + 2
-        self.columns = []
-        for n in range(1, index.most + 1):
-            own = np.flatnonzero(index.words + 1 >= n)
-            self.columns.append(np.append(own, np.full(-len(own) % 8 or 8, size)))
+        #: Captions that runs of 1, 2 and more words may be like.
+        self.columns = [np.flatnonzero(index.words + 1 >= n) for n in range(1, index.most + 1)]
         self.forget()
         self._forget_sizes()
 
@@ -286,7 +283,7 @@ class Lookup:
             for place in range(int(size[some[0]])):
                 to = int(np.searchsorted(-size[some], -place))
                 now = open_[:to]
-                hit = now & bits[letters[start[some[:to]] + place]]
+                hit = now & bits.take(letters.take(start[some[:to]] + place), axis=0)
                 open_[:to] = (now + hit | now - hit) & index.whole
             out[some, : len(index.captions)] = np.minimum(index.lengths, SHORT) - np.bitwise_count(open_)
         for number in np.flatnonzero(index.lengths > SHORT).tolist():
@@ -330,7 +327,7 @@ class Lookup:
         made, own, step = [], min(own, len(ids)), max(1, CELLS // 8 // self.wide)
         for begin in range(0, own, step):
             end, columns = min(begin + step, own), self.columns[0]
-            each = self.shares[ids[begin : end + index.most - 1]]
+            each = self.shares.take(ids[begin : end + index.most - 1], axis=0)
             share = each[: end - begin].copy()
             for n in range(1, index.most + 1):
                 if len(self.columns[n - 1]) < len(columns):
@@ -343,15 +340,10 @@ class Lookup:
                 # A run that its line does not hold is as one that is too long.
                 size = np.where(left[begin : begin + len(last)] >= n, ends[last] - start[begin : begin + len(last)], self.longest)
                 needed = self._needed(size)
-                need = self.need[needed] if len(columns) == self.wide else self.need.take(columns, axis=1)[needed]
-                enough = (share >= need).view(np.uint64).ravel()
-                cell = np.flatnonzero(enough)
-                which, byte = np.nonzero(enough[cell].view(np.uint8).reshape(-1, 8))
-                at = cell[which] * 8 + byte
-                row, number = at // len(columns), columns[at % len(columns)]
-                fits = index.words[number] + 1 >= n
-                row, number = row[fits], number[fits]
-                made.append((begin + row, np.full(len(row), n), number, size[row]))
+                need = self.need if len(columns) == self.wide else self.need.take(columns, axis=1)
+                at = np.flatnonzero((share >= need.take(needed, axis=0)).ravel())
+                row = at // len(columns)
+                made.append((begin + row, np.full(len(row), n), columns[at - row * len(columns)], size[row]))
         if not made:
             return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0),)
         row, n, number, size = (np.concatenate(x) for x in zip(*made))
